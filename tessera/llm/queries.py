@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import oracles
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.quality_rules import quality_rules, trusted_ids
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.token_files import token_digest
 
@@ -35,11 +36,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secrets": op3_secrets,
         "op5_token_files": op5_token_files,
         "op9_decontaminate": op9_decontaminate,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
