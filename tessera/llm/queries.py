@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import oracles
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.quality_rules import quality_rules, trusted_ids
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.token_files import token_digest
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("secrets")
 
@@ -42,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_secrets": op3_secrets,
         "op5_token_files": op5_token_files,
         "op9_decontaminate": op9_decontaminate,
