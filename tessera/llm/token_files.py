@@ -40,8 +40,10 @@ BLOCK = 1 << 16
 END_ID = 2
 #: Text bytes that one shard holds, about; it sets the number of shards.
 SHARD_BYTES = 32 << 20
-#: Pieces kept encoded by a worker; beyond it the memory of pieces starts anew.
-KEPT_PIECES = 400_000
+#: Pieces kept encoded by a worker; once full, further ones are encoded whenever they occur.
+KEPT_PIECES = 600_000
+#: Pieces that go to the library in one text.
+JOINED_PIECES = 1000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -177,10 +179,35 @@ class Encoder:
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not said.get("normalizer") and not said.get("post_processor")
         self.added = [x["content"] for x in said.get("added_tokens", [])]
         self.kept: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.vocabulary, dtype=bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.spaced[k] = token.startswith("\u0120")  # how a byte-level vocabulary writes a space
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. Pieces of one leading space go to the library joined: the ids that begin with a
+        space then tell where each begins. Any other piece, and any run whose count disagrees, goes piece by piece."""
+        plain, other = [], []
+        for k, x in enumerate(pieces):
+            (plain if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() and x.find(" ", 1) < 0 else other).append(k)
+        out: list[bytes] = [b""] * len(pieces)
+        runs = [plain[k : k + JOINED_PIECES] for k in range(0, len(plain), JOINED_PIECES)]
+        encoded = self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in run]) for run in runs], add_special_tokens=False)
+        for run, x in zip(runs, encoded, strict=True):
+            ids = np.array(x.ids, dtype="<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(run) or starts[0] != 0:
+                other += run
+                continue
+            data, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+            for k, low, high in zip(run, cuts[:-1], cuts[1:], strict=True):
+                out[k] = data[low:high]
+        for k, ids in zip(other, self._whole([pieces[k] for k in other]), strict=True):
+            out[k] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
@@ -198,13 +225,13 @@ class Encoder:
                 cut.append((k, [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]))
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = {}
         kept = self.kept
         missing = list({x for _, pieces in cut for x in pieces if x not in kept})
-        kept.update(zip(missing, self._whole(missing), strict=True))
+        kept.update(zip(missing, self._pieces(missing), strict=True))
         for k, pieces in cut:
             out[k] = b"".join([kept[x] for x in pieces])
+        for x in missing[max(0, KEPT_PIECES - len(kept) + len(missing)) :]:
+            del kept[x]
         return out
 
 
