@@ -10,24 +10,39 @@ from tessera.llm.shared import checkpoint_root
 MOST_ROUNDS = 60
 
 
+def _roots(labels: DataFrame) -> DataFrame:
+    """(node, label) with every label followed to its own label until it stays: pointer jumping."""
+    for _ in range(MOST_ROUNDS):
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        new = labels.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), (F.col("above") < F.col("label")).alias("moved")).checkpoint()
+        moved = new.where("moved").limit(1).count()
+        labels = new.select("node", "label")
+        if not moved:
+            return labels
+    raise RuntimeError(f"labels still move after {MOST_ROUNDS} rounds")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each node's component, for nodes that have an edge.
 
-    edges: columns a and b. Labels are the smallest neighbour's label, then the label's own label (pointer jumping),
-    until nothing changes; each round is written to the shared checkpoint folder, so lineage stays short and a lost
-    executor costs one round. Only counts reach the driver.
+    edges: columns a and b. Each round gives every node its smallest neighbour, follows these pointers to their
+    roots, and contracts the graph to the roots, which at least halves the nodes that still have edges. Rounds are
+    written to the shared checkpoint folder, so lineage stays short. Only a few flags reach the driver.
     """
     checkpoint_root(edges.sparkSession)
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
+    left = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    rounds: list[DataFrame] = []
     for _ in range(MOST_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        lower = labels.join(near.select(F.col("a").alias("node"), "c"), "node").select("node", "component", F.least("component", "c").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = lower.join(jump, "c").select("node", F.least("c", "cc").alias("component"), (F.least("c", "cc") < F.col("component")).alias("moved"))
-        new = new.checkpoint()
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError(f"labels still move after {MOST_ROUNDS} rounds")
+        both = left.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label").union(left.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+        labels = _roots(both.groupBy("node").agg(F.min("label").alias("label")).checkpoint())
+        rounds.append(labels)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
+        left = left.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct().checkpoint()
+        if not left.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"edges are left after {MOST_ROUNDS} rounds")
+    out = rounds[0]
+    for labels in rounds[1:]:
+        out = out.join(labels.select(F.col("node").alias("label"), F.col("label").alias("above")), "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return out.select("node", F.col("label").alias("component"))

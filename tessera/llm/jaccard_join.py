@@ -11,10 +11,10 @@ around a passage that many texts share, are split again on freshly sampled shing
 is then still large is truly similar and is compared in blocks. Runs are as many as the target recall needs at the
 second level (see runs_for). Sketches only drop pairs that are six standard deviations below the similarity.
 
-A bucket gives the edges of a spanning forest, not pairs. The candidates' components are then verified exactly: the
+A bucket gives a star for each group of similar nodes in it, not pairs. The candidates' components are then verified exactly: the
 texts of their nodes are read again, and all pairs inside a component are compared on whole sets, in blocks of
-BLOCK nodes, so links that a run missed inside a component are found too. Out come link counts and a spanning
-forest again; its components are the classes. No step holds more than two blocks of sets, none is capped, and no
+BLOCK nodes, so links that a run missed inside a component are found too. Out come link counts and stars
+again; their components are the classes. No step holds more than two blocks of sets, none is capped, and no
 link, class or fingerprint reaches the driver.
 """
 
@@ -154,6 +154,15 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
         return True
 
+    def stars(self, name: list[str], low: int, high: int) -> list[tuple[str, str]]:
+        """(member, smallest name of its tree) for the other members of each tree among low .. high: as the head is
+        chosen by name, most buckets of a group give the same edges."""
+        head: dict[int, str] = {}
+        roots = [self.find(k) for k in range(low, high)]
+        for k, r in enumerate(roots, low):
+            head[r] = min(head.get(r, name[k]), name[k])
+        return [(name[k], head[r]) for k, r in enumerate(roots, low) if name[k] != head[r]]
+
 
 def groups_of(batches, keys: int) -> Iterator[pa.Table]:
     """Whole groups of the first `keys` columns, from batches sorted by them, gathered into tables of many groups."""
@@ -194,7 +203,7 @@ def _group_starts(table: pa.Table, keys: int) -> np.ndarray:
 
 
 def _compare_sketches(least: float) -> Callable:
-    """Batches of (path, i, j, side, sig, sketch) sorted by (path, i, j) to spanning edges (a, b) of each bucket."""
+    """Batches of (path, i, j, side, sig, sketch) sorted by (path, i, j) to stars (a, b) of each bucket's similar nodes."""
 
     def f(batches):
         for table in groups_of(batches, 3):
@@ -212,9 +221,10 @@ def _compare_sketches(least: float) -> Callable:
                     x, y = rows[x], y + a
                     on = x < y
                     for i, j in zip(x[on].tolist(), y[on].tolist(), strict=True):
-                        if forest.join(i, j):
-                            left.append(sig[i])
-                            right.append(sig[j])
+                        forest.join(i, j)
+                for member, head in forest.stars(sig, a, b):
+                    left.append(member)
+                    right.append(head)
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
@@ -278,9 +288,10 @@ def _verify(similarity: float) -> Callable:
                         like &= side != side[x]
                     links[x] = weight[like].sum()
                     for y in np.flatnonzero(like).tolist():
-                        if forest.join(x, y):
-                            left.append(sig[x])
-                            right.append(sig[y])
+                        forest.join(x, y)
+                for member, head in forest.stars(sig, 0, n):
+                    left.append(member)
+                    right.append(head)
                 kept = np.flatnonzero(links).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([sig[k] for k in kept] + left, pa.string()), pa.array([None] * len(kept) + right, pa.string()), pa.array(links[kept].tolist() + [None] * len(left), pa.int64())],
