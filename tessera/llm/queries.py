@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import oracles
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.html_extract import extract_text
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.language_id import language_id
 from tessera.llm.quality_rules import quality_rules, trusted_ids
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.token_files import token_digest
@@ -25,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -47,9 +57,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secrets": op3_secrets,
         "op5_token_files": op5_token_files,
+        "op7_language_id": op7_language_id,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
     }
