@@ -11,6 +11,7 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_extract import extract_text
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.language_id import language_id
+from tessera.llm.ngram_trie import lm_scores
 from tessera.llm.quality_rules import quality_rules, trusted_ids
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.token_files import token_digest
@@ -47,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op5_token_files": op5_token_files,
         "op7_language_id": op7_language_id,
+        "op8_lm_scores": op8_lm_scores,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
     }
