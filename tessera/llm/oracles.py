@@ -29,4 +29,53 @@ SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(h.n_hit, 0):
 FROM words d LEFT JOIN hits h USING (doc_id) LEFT JOIN owners o USING (doc_id)
 """ % (_ASCII_LOWER.format("text"), _ASCII_LOWER.format("text"))
 
-SQL = {"op9_decontaminate": OP9}
+OP4 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS mix_id, coalesce('s' || source, '') AS mix_source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024 AS block
+  FROM documents
+), blocks AS (SELECT mix_source, block, sum(n_tokens)::BIGINT AS block_tokens FROM keyed GROUP BY ALL),
+sources AS (SELECT mix_source, sum(block_tokens)::BIGINT AS source_tokens FROM blocks GROUP BY ALL),
+one AS (
+  SELECT max(source_tokens) AS largest, list_transform(list_sort(list(source_tokens)), lambda t: t / max(source_tokens)) AS r
+  FROM (SELECT source_tokens FROM sources WHERE source_tokens > 0)
+), by_entropy(k, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN h < 0.98 * ln(n) THEN low ELSE mid END, CASE WHEN h < 0.98 * ln(n) THEN mid ELSE high END
+  FROM (SELECT k, low, high, mid, n, list_sum(list_transform(w, lambda x: -x / z * ln(x / z))) AS h
+        FROM (SELECT k, low, high, mid, len(w) AS n, w, list_sum(w) AS z
+              FROM (SELECT k, low, high, (low + high) / 2 AS mid, list_transform(r, lambda x: pow(x, (low + high) / 2)) AS w FROM by_entropy, one WHERE k < 40)))
+), by_epochs(k, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
+  FROM (SELECT k, low, high, (low + high) / 2 AS mid, pow(list_min(r), (low + high) / 2 - 1) <= 1.5 AS ok FROM by_epochs, one WHERE k < 40)
+), chosen AS (
+  SELECT largest, r, ceil(greatest(
+           CASE WHEN list_sum(list_transform(r, lambda x: -x / list_sum(r) * ln(x / list_sum(r)))) < 0.98 * ln(len(r))
+                THEN (SELECT high FROM by_entropy WHERE k = 40) ELSE 1.0 END,
+           CASE WHEN pow(list_min(r), -1) <= 1.5 THEN 0.0 ELSE (SELECT high FROM by_epochs WHERE k = 40) END) * 1000000) / 1000000 AS a
+  FROM one
+), fit AS (
+  SELECT mix_source, a AS exponent, pow(source_tokens / largest, a) / list_sum(list_transform(r, lambda x: pow(x, a))) AS weight,
+         CASE WHEN source_tokens > 0 THEN quota // source_tokens ELSE 1 END AS epochs,
+         CASE WHEN source_tokens > 0 THEN quota % source_tokens ELSE 0 END AS rest
+  FROM (SELECT *, floor(largest * pow(source_tokens / largest, a))::BIGINT AS quota FROM sources, chosen)
+), placed AS (
+  SELECT *, sum(block_tokens) OVER (PARTITION BY mix_source
+              ORDER BY ('0x' || substr(md5(mix_source || ':' || block || ':' || epochs), 1, 8))::BIGINT, block ROWS UNBOUNDED PRECEDING) AS ends
+  FROM blocks JOIN fit USING (mix_source)
+), every AS (SELECT * FROM keyed JOIN placed USING (mix_source, block)),
+edge AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY mix_source, block
+              ORDER BY ('0x' || substr(md5(mix_id || ':' || epochs), 1, 8))::BIGINT, mix_id ROWS UNBOUNDED PRECEDING) AS used
+  FROM every WHERE ends > rest AND ends - block_tokens < rest
+)
+SELECT doc_id, source, n_tokens, unnest(range(epochs + CASE WHEN ends <= rest THEN 1 ELSE 0 END))::BIGINT AS epoch, block, exponent, weight FROM every
+UNION ALL
+SELECT doc_id, source, n_tokens, epochs::BIGINT, block, exponent, weight FROM edge WHERE used <= rest - ends + block_tokens
+"""
+
+SQL = {"op4_mix_sources": OP4, "op9_decontaminate": OP9}

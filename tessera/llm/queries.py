@@ -11,6 +11,7 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_extract import extract_text
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.language_id import language_id
+from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_trie import lm_scores
 from tessera.llm.quality_rules import quality_rules, trusted_ids
 from tessera.llm.secrets import scan_secrets
@@ -40,6 +41,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("secrets")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extract": op1_html_extract,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secrets": op3_secrets,
+        "op4_mix_sources": op4_mix_sources,
         "op5_token_files": op5_token_files,
         "op7_language_id": op7_language_id,
         "op8_lm_scores": op8_lm_scores,
