@@ -41,7 +41,7 @@ END_ID = 2
 #: Text bytes that one shard holds, about; it sets the number of shards.
 SHARD_BYTES = 32 << 20
 #: Pieces kept encoded by a worker; once full, further ones are encoded whenever they occur.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_000_000
 #: Pieces that go to the library in one text.
 JOINED_PIECES = 1000
 
@@ -154,6 +154,7 @@ class ShardReader:
 
 
 _ODD_SPACE = re.compile(r"\s ")
+_SPACE_FIRST = re.compile(r" (?:\s|\Z)")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
@@ -186,31 +187,38 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces. Pieces of one leading space go to the library joined: the ids that begin with a
-        space then tell where each begins. Any other piece, and any run whose count disagrees, goes piece by piece."""
-        plain, other = [], []
-        for k, x in enumerate(pieces):
-            (plain if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() and x.find(" ", 1) < 0 else other).append(k)
-        out: list[bytes] = [b""] * len(pieces)
-        runs = [plain[k : k + JOINED_PIECES] for k in range(0, len(plain), JOINED_PIECES)]
-        encoded = self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in run]) for run in runs], add_special_tokens=False)
-        for run, x in zip(runs, encoded, strict=True):
-            ids = np.array(x.ids, dtype="<u4")
+    def _spaced(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, each given without the space that it begins with. Pieces go to the library joined,
+        as the space before a name that does not begin with white space always begins a token: the ids that begin
+        with a space then tell where each piece begins. Other names, and any run whose count disagrees, go one by one."""
+        out: list[bytes] = []
+        for low in range(0, len(names), JOINED_PIECES):
+            run = names[low : low + JOINED_PIECES]
+            text = " " + " ".join(run)
+            if _SPACE_FIRST.search(text):
+                some = [k for k, x in enumerate(run) if not x or x[0].isspace()]
+                other = dict(zip(some, self._whole([" " + run[k] for k in some]), strict=True))
+                rest = iter(self._spaced([x for k, x in enumerate(run) if k not in other]))
+                out += [other[k] if k in other else next(rest) for k in range(len(run))]
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(run) or starts[0] != 0:
-                other += run
+            if len(starts) != len(run):
+                out += self._whole([" " + x for x in run])
                 continue
             data, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            for k, low, high in zip(run, cuts[:-1], cuts[1:], strict=True):
-                out[k] = data[low:high]
-        for k, ids in zip(other, self._whole([pieces[k] for k in other]), strict=True):
-            out[k] = ids
+            out += [data[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def _learn(self, known: dict[str, bytes], wanted: set[str], encode) -> list[str]:
+        missing = list(wanted.difference(known))
+        known.update(zip(missing, encode(missing), strict=True))
+        return missing
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
+        plain: list[tuple[int, list[str]]] = []  # the first piece, and the others without their space
         cut: list[tuple[int, list[str]]] = []
         whole: list[int] = []
         for k, text in enumerate(texts):
@@ -221,17 +229,25 @@ class Encoder:
             elif _ODD_SPACE.search(text):
                 cut.append((k, _BEFORE_SPACE.split(text)))
             else:
-                first, *rest = text.split(" ")
-                cut.append((k, [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]))
+                plain.append((k, text.split(" ")))
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        kept = self.kept
-        missing = list({x for _, pieces in cut for x in pieces if x not in kept})
-        kept.update(zip(missing, self._pieces(missing), strict=True))
+        firsts = [pieces[0] for _, pieces in plain]
+        for _, pieces in plain:
+            pieces[0] = "."  # any frequent name: its ids are replaced below
+        names = set().union(*(pieces for _, pieces in plain)) if plain else set()
+        missing = self._learn(self.kept, names, self._spaced)
+        others: dict[str, bytes] = {"": b""}
+        self._learn(others, {x for x in firsts if x}.union(*(pieces for _, pieces in cut)), self._whole)
+        get = self.kept.__getitem__
+        for (k, pieces), first in zip(plain, firsts, strict=True):
+            ids = list(map(get, pieces))
+            ids[0] = others[first]
+            out[k] = b"".join(ids)
         for k, pieces in cut:
-            out[k] = b"".join([kept[x] for x in pieces])
-        for x in missing[max(0, KEPT_PIECES - len(kept) + len(missing)) :]:
-            del kept[x]
+            out[k] = b"".join(map(others.__getitem__, pieces))
+        for x in missing[max(0, KEPT_PIECES - len(self.kept) + len(missing)) :]:
+            del self.kept[x]
         return out
 
 
