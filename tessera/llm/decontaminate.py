@@ -170,6 +170,39 @@ def _count_rarity(docs: DataFrame, held: _Blocks) -> DataFrame:
     return partial.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _index(docs: DataFrame, benchmark: DataFrame) -> _Blocks:
+    """The benchmark's windows by their rarest words in docs, held for the join."""
+    spark = docs.sparkSession
+    blocks = [b for b in (Block(items) for items in _read_blocks(benchmark)) if b.grams]
+    if not blocks:
+        return _Blocks()
+    counts = {r.code & (2**64 - 1): r.n for r in _count_rarity(docs, _hold(spark, blocks)).toLocalIterator()}
+    for block in blocks:
+        block.index(counts)
+    return _hold(spark, blocks)
+
+
+def _judge(texts: pa.LargeStringArray, held: _Blocks) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Words, words hit and items of each text."""
+    n_words, n_hit, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for a, b in slices(texts):
+        w = words(texts.slice(a, b - a), NOT_WORD, lower=True)
+        covered = np.zeros(len(w.hash) + 1, dtype=np.int64)
+        found: dict[int, set[str]] = {}
+        for block in held:
+            for first, window in block.matches(w):
+                np.add.at(covered, first, 1)
+                np.add.at(covered, first + block.length[window], -1)
+                doc = np.searchsorted(w.first, first, side="right") - 1
+                for d, k in set(zip(doc.tolist(), window.tolist(), strict=True)):
+                    found.setdefault(d, set()).update(block.ids[x] for x in block.owners[k])
+        hits = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
+        n_words.append(w.count())
+        n_hit.append(hits[w.first[1:]] - hits[w.first[:-1]])
+        items += [sorted(found.get(d, ())) for d in range(b - a)]
+    return np.concatenate(n_words), np.concatenate(n_hit), items
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
     """Words of each document that lie in a benchmark window, and the items they come from.
 
@@ -178,47 +211,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     repeated items are each judged alike; items without words or without an id have no windows; other columns of
     the inputs are not read.
     """
-    spark = docs.sparkSession
-    blocks = [b for b in (Block(items) for items in _read_blocks(benchmark)) if b.grams]
-    if blocks:
-        held = _hold(spark, blocks)
-        counts = {r.code & (2**64 - 1): r.n for r in _count_rarity(docs, held).toLocalIterator()}
-        for block in blocks:
-            block.index(counts)
-        held = _hold(spark, blocks)
-    else:
-        held = _Blocks()
+    held = _index(docs, benchmark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def join(batches):
         for batch in batches:
-            texts = text_array(batch)
-            n_words, n_hit, n_items, digest, items = [], [], [], [], []
-            for a, b in slices(texts):
-                w = words(texts.slice(a, b - a), NOT_WORD, lower=True)
-                covered = np.zeros(len(w.hash) + 1, dtype=np.int64)
-                found: dict[int, set[str]] = {}
-                for block in held:
-                    for first, window in block.matches(w):
-                        np.add.at(covered, first, 1)
-                        np.add.at(covered, first + block.length[window], -1)
-                        doc = np.searchsorted(w.first, first, side="right") - 1
-                        for d, k in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                            found.setdefault(d, set()).update(block.ids[x] for x in block.owners[k])
-                hits = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
-                n_words.append(w.count())
-                n_hit.append(hits[w.first[1:]] - hits[w.first[:-1]])
-                for d in range(b - a):
-                    own = sorted(found.get(d, ()))
-                    items.append(own)
-                    n_items.append(len(own))
-                    digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-            long = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+            n_words, n_hit, items = _judge(text_array(batch), held)
+            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+            n_items = [len(x) for x in items]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), long(n_words), long(n_hit), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array([x >= min_items for x in n_items], pa.bool_()), pa.array(items, pa.list_(pa.string()))],
+                [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array([x >= min_items for x in n_items], pa.bool_()), pa.array(items, pa.list_(pa.string()))],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
         join, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
+    """The rows of docs that hold windows of fewer than min_items benchmark items, with docs' own columns only."""
+    held = _index(docs, benchmark)
+
+    def keep(batches):
+        for batch in batches:
+            _, _, items = _judge(text_array(batch), held)
+            yield batch.filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -10,6 +10,7 @@ from tessera.llm import oracles
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_extract import extract_text
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.kneser_ney import classify
 from tessera.llm.language_id import language_id
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_trie import lm_scores
@@ -49,6 +50,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_files": op5_token_files,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_language_id": op7_language_id,
         "op8_lm_scores": op8_lm_scores,
         "op9_decontaminate": op9_decontaminate,
