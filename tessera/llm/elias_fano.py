@@ -1,8 +1,9 @@
 """Elias-Fano coded monotone sequences over numpy arrays, with vectorised access and successor search.
 
 A sequence of n values below u keeps the low l = log2(u / n) bits of each value packed, and the high parts in unary
-in a bit vector: value i sets bit (high + i). Ones and zeros of the vector are selected through counts per block of
-512 bits, so an access reads a block and a successor search reads two blocks and the few values of one high part.
+in a bit vector: value i sets bit (high + i). Ones and zeros of the vector are selected through the ones before each
+64-bit word and sums of bytes within it, so an access reads one word and a successor search two words and the few
+values of one high part.
 All arrays may be memory maps.
 """
 
@@ -12,15 +13,26 @@ import io
 
 import numpy as np
 
-_WORDS = 8  # 64-bit words of a block
-_BITS = 64 * _WORDS
-_COUNT8 = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
-_SELECT8 = np.zeros((256, 8), dtype=np.uint8)  # place of the k-th one of a byte
+_BITS = 64
+_U = np.uint64
+_ONES, _HIGHS = _U(0x0101010101010101), _U(0x8080808080808080)
+_SELECT8 = np.zeros((256, 8), dtype=np.int64)  # place of the k-th one of a byte
 for _x in range(256):
     _ones = [b for b in range(8) if _x >> b & 1]
     _SELECT8[_x, : len(_ones)] = _ones
 
 
+def select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one (from 0) of each 64-bit word, which must have that many."""
+    with np.errstate(over="ignore"):
+        s = word - ((word >> _U(1)) & _U(0x5555555555555555))
+        s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+        sums = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # ones up to and with each byte
+        place = np.bitwise_count(((k * _ONES | _HIGHS) - sums) & _HIGHS).astype(np.uint64) * _U(8)
+        rest = k - ((sums << _U(8)) >> place & _U(0xFF))
+        return place.astype(np.int64) + _SELECT8[(word >> place & _U(0xFF)).astype(np.int64), rest.astype(np.int64)]
+
+
 def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
     """Values of `bits` bits each, one after another in 64-bit words (one word more than they fill)."""
     n = len(values)
@@ -61,12 +73,11 @@ class EliasFano:
         low = pack_bits(values & np.uint64((1 << bits) - 1), bits)
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = (int(place[-1]) if n else 0) + 2
-        blocks = size // _BITS + 1
-        flags = np.zeros(blocks * _BITS, dtype=np.uint8)
+        flags = np.zeros((size // _BITS + 1) * _BITS, dtype=np.uint8)
         flags[place] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        per_block = np.bitwise_count(high).reshape(blocks, _WORDS).sum(axis=1, dtype=np.int64)
-        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(per_block)[:-1]]).astype(np.int64))
+        many = np.bitwise_count(high).astype(np.int64)
+        return cls(n, bits, low, high, np.cumsum(many) - many)
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"head": np.array([self.n, self.bits], dtype=np.int64), "low": self.low, "high": self.high, "ones": self.ones}
@@ -76,22 +87,9 @@ class EliasFano:
         return cls(int(a["head"][0]), int(a["head"][1]), a["low"], a["high"], a["ones"])
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        block = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[block]
-        words = self.high[block[:, None] * _WORDS + np.arange(_WORDS)]
-        if flip:
-            words = ~words
-        many = np.bitwise_count(words).astype(np.int64)
-        sums = np.cumsum(many, axis=1)
-        which = (sums <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        rest = rest - (sums[rows, which] - many[rows, which])
-        data = np.ascontiguousarray(words[rows, which]).view(np.uint8).reshape(-1, 8)
-        many8 = _COUNT8[data].astype(np.int64)
-        sums8 = np.cumsum(many8, axis=1)
-        byte = (sums8 <= rest[:, None]).sum(axis=1)
-        rest = rest - (sums8[rows, byte] - many8[rows, byte])
-        return block * _BITS + which * 64 + byte * 8 + _SELECT8[data[rows, byte], rest]
+        at = np.searchsorted(before, k, side="right") - 1
+        word = self.high[at]
+        return at * _BITS + select_in_word(~word if flip else word, (k - before[at]).astype(np.uint64))
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
@@ -111,6 +109,7 @@ class EliasFano:
         want = part & np.uint64((1 << self.bits) - 1)
         low = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) - (h - 1), 0)
         high = self._select(h, self.zeros, True) - h
+        stop = high.copy()
         while True:  # binary search among the values of one high part
             open_ = np.flatnonzero(low < high)
             if not len(open_):
@@ -119,11 +118,10 @@ class EliasFano:
             less = read_bits(self.low, self.bits, middle) < want[open_]
             low[open_] = np.where(less, middle + 1, low[open_])
             high[open_] = np.where(less, high[open_], middle)
-        place = np.where(beyond, self.n, low)
         same = np.zeros(len(x), dtype=bool)
-        inside = np.flatnonzero(place < self.n)
-        same[inside] = self.get(place[inside]) == x[inside]
-        return place, same
+        inside = np.flatnonzero((low < stop) & ~beyond)
+        same[inside] = read_bits(self.low, self.bits, low[inside]) == want[inside]
+        return np.where(beyond, self.n, low), same
 
 
 def save(arrays: dict[str, np.ndarray]) -> bytes:

@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -267,7 +268,7 @@ class Reader:
         return out
 
     def children(self, order: int, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For contexts of order - 1 and children relative to them: the child's node or -1, its discounted share, the
+        """For contexts of order - 1 and children relative to them, sorted by context and child: the child's node or -1, its discounted share, the
         context's g (1 without children), and the number of the context's first child."""
         level = self.trie.levels[order - 2]
         n = len(context)
@@ -282,16 +283,16 @@ class Reader:
             file, _, base = level.shards[s]
             a = _arrays(file)
             contexts, pointers, ids = _part(a, "context"), _part(a, "pointer"), _part(a, "child")
-            c, order_of = np.unique(context[at], return_inverse=True)
+            own = context[at]
+            fresh = np.concatenate([[True], own[1:] != own[:-1]])  # the pairs come sorted
+            c, order_of = own[fresh], np.cumsum(fresh) - 1
             place, same = contexts.successor(c.astype(np.uint64))
             held = np.flatnonzero(same)
             place = place[held]
             g_of, start_of, low_of, high_of, base_of = np.ones(len(c)), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.uint64)
             g_of[held] = restore(a["g"][place])
-            low_of[held], high_of[held] = pointers.get(place).astype(np.int64), pointers.get(place + 1).astype(np.int64)
+            low_of[held] = pointers.get(place).astype(np.int64)
             start_of[held] = base + low_of[held]
-            later = held[low_of[held] > 0]
-            base_of[later] = ids.get(low_of[later] - 1)
             for x, (first, whole) in level.split.items():
                 k = np.searchsorted(c, x)
                 if k < len(c) and c[k] == x:
@@ -301,11 +302,17 @@ class Reader:
             if not len(ask):
                 continue
             o = order_of[ask]
-            place, same_child = ids.successor(base_of[o] + child[at[ask]].astype(np.uint64) + np.uint64(1))
-            found = same_child & (place >= low_of[o]) & (place < high_of[o])
+            used = np.zeros(len(c), dtype=bool)
+            used[o] = True
+            used = used[held]
+            high_of[held[used]] = pointers.get(place[used] + 1).astype(np.int64)
+            later = held[used & (low_of[held] > 0)]
+            base_of[later] = ids.get(low_of[later] - 1)
+            found_at, same_child = ids.successor(base_of[o] + child[at[ask]].astype(np.uint64) + np.uint64(1))
+            found = same_child & (found_at >= low_of[o]) & (found_at < high_of[o])
             hit = at[ask[found]]
-            node[hit] = base + place[found]
-            share[hit] = restore(a["share"][place[found]])
+            node[hit] = base + found_at[found]
+            share[hit] = restore(a["share"][found_at[found]])
         return node, share, g, start
 
     def walk(self, hashes: np.ndarray, first: np.ndarray, order: int) -> Walk:
@@ -319,7 +326,7 @@ class Walk:
 
     def __init__(self, reader: Reader, hashes: np.ndarray, first: np.ndarray, order: int):
         trie = reader.trie
-        known, back = np.unique(hashes, return_inverse=True)
+        known, back = distinct(hashes)
         number, count = reader.words(known)
         self.number, self.count = number[back], count[back]
         self.p1 = (self.count + 0.5) / (trie.tokens + 0.5 * (trie.size + 1))
@@ -349,12 +356,22 @@ class Walk:
         return before[ask], child, ask
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the place of each key among them; by hashing, so only the distinct ones are sorted."""
+    code, value = pd.factorize(keys.view(np.int64))
+    value = value.view(np.uint64)
+    order = np.argsort(value)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return value[order], rank[code]
+
+
 def _unique_pairs(context: np.ndarray, child: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Distinct pairs, sorted, and the place of each input pair among them. A child of -1 becomes one past the largest
     that can be asked for, which no context has."""
     child = np.where(child < 0, child.max(initial=0) + 1, child)
     bits = int(child.max(initial=0)).bit_length()
-    keys, back = np.unique((context.astype(np.uint64) << np.uint64(bits)) | child.astype(np.uint64), return_inverse=True)
+    keys, back = distinct((context.astype(np.uint64) << np.uint64(bits)) | child.astype(np.uint64))
     return ((keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)), back
 
 
