@@ -123,7 +123,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, most_queries: int = BRO
         parts = [r.p for r in queries.select(part.alias("p")).distinct().collect()]
         out = None
         for p in parts:
-            some = dense_scores(vectors, queries.where(part == p), 1 << 60)
+            some = dense_scores(vectors, queries.where(part == p), (1 << 31) - 2)
             out = some if out is None else out.unionByName(some)
         return out
     names = [r.query_id for r in ids]
