@@ -53,14 +53,14 @@ def windows_above(text: str, least: float) -> list[tuple[int, int]]:
     total = 0.0  # sum of c * log2 c
     most = WINDOW * (math.log2(WINDOW) - least) + 1e-9
     for i, x in enumerate(text):
-        c = counts.get(x, 0)
-        total += _BITS[c + 1] - _BITS[c]
-        counts[x] = c + 1
         if i >= WINDOW:
             y = text[i - WINDOW]
             c = counts[y]
             total += _BITS[c - 1] - _BITS[c]
             counts[y] = c - 1
+        c = counts.get(x, 0)
+        total += _BITS[c + 1] - _BITS[c]
+        counts[x] = c + 1
         if i >= WINDOW - 1 and total <= most:
             start = i - WINDOW + 1
             if spans and start <= spans[-1][1]:
