@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import shared_folder, slices, text_array
+from tessera.llm.shared import lean, shared_folder, slices, text_array
 from tessera.llm.textvec import NOT_WORD, Words, words
 
 WINDOW = 8
@@ -166,7 +166,7 @@ def _count_rarity(docs: DataFrame, held: _Blocks) -> DataFrame:
         codes = np.array(list(totals), dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(list(totals.values()), pa.int64())], ["code", "n"])
 
-    partial = docs.select("text").mapInArrow(count, "code long, n long")
+    partial = docs.select("text").mapInArrow(lean(count), "code long, n long")
     return partial.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -225,7 +225,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        join, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+        lean(join), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
     )
 
 
@@ -238,4 +238,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1)
             _, _, items = _judge(text_array(batch), held)
             yield batch.filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.html_pages import CLOSE, OPEN, pages
 from tessera.llm.html_tree import Node, attributes, parse
-from tessera.llm.shared import text_array
+from tessera.llm.shared import lean, text_array
 
 TRAIN_PAGES = 800
 
@@ -240,4 +240,4 @@ def extract_text(web: DataFrame, model: PageModel | None = None) -> DataFrame:
             texts = [model.text(x.as_py()) if len(x.as_py()) else "" for x in text_array(batch, "html")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return web.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return web.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

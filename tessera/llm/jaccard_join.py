@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import checkpoint_root, slices, text_array
+from tessera.llm.shared import checkpoint_root, lean, slices, text_array
 from tessera.llm.textvec import WHITE, _splitmix, combine, mix64, words
 
 SHINGLE = 5
@@ -323,7 +323,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     checkpoint_root(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text")
-    rows = slim.mapInArrow(_features, f"doc_id {kind}, sig string, size long, sketch binary, sample binary").checkpoint()
+    rows = slim.mapInArrow(lean(_features), f"doc_id {kind}, sig string, size long, sketch binary, sample binary").checkpoint()
     nodes = (
         rows.where("sig is not null")
         .groupBy("sig")
@@ -332,7 +332,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     )
     marks = nodes.select("sig", "sketch")
     least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / SKETCH)
-    paths = nodes.select("sig", "sample").mapInArrow(_first_paths(runs_for(recall, similarity), similarity), "path long, run int, sig string")
+    paths = nodes.select("sig", "sample").mapInArrow(lean(_first_paths(runs_for(recall, similarity), similarity)), "path long, run int, sig string")
     leaves = None
     for level in range(2, DEPTH + 2):
         paths = paths.checkpoint()
@@ -345,20 +345,20 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
         if last or not sized.where(F.col("n") > SMALL).limit(1).count():
             break
         large = sized.where(F.col("n") > SMALL).select("path", "run", "sig").join(nodes.select("sig", "sample"), "sig")
-        paths = large.select("path", "run", "sig", "sample").mapInArrow(_next_paths(level, similarity), "path long, run int, sig string")
+        paths = large.select("path", "run", "sig", "sample").mapInArrow(lean(_next_paths(level, similarity)), "path long, run int, sig string")
     compared = _in_blocks(leaves.join(marks, "sig"), "path", "n", SMALL).select("path", "i", "j", "sig", "sketch")
     compared = compared.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    candidates = connected_components(compared.mapInArrow(_compare_sketches(least), "a string, b string"))
+    candidates = connected_components(compared.mapInArrow(lean(_compare_sketches(least)), "a string, b string"))
     sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("n")), "component")
     wanted = sized.join(nodes.select("sig", "rep", "copies"), sized.node == nodes.sig).select("component", "n", "sig", "rep", "copies").checkpoint()
     ids = wanted.select(F.col("rep").alias("wanted_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     again = slim.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = again.mapInArrow(_sets_of, "sig string, set binary")
+    sets = again.mapInArrow(lean(_sets_of), "sig string, set binary")
     parts = _in_blocks(wanted.drop("rep").join(sets, "sig"), "component", "n", BLOCK).select(F.xxhash64("component").alias("c"), "i", "j", "own", "sig", "copies", "set")
     parts = parts.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    found = parts.mapInArrow(_verify(similarity), "a string, b string, links long").checkpoint()
+    found = parts.mapInArrow(lean(_verify(similarity)), "a string, b string, links long").checkpoint()
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("b is not null").select("a", "b"))
     named = classes.join(nodes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_rep"))

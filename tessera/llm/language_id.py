@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, text_array
+from tessera.llm.shared import lean, slices, text_array
 from tessera.llm.textvec import raw_bytes
 
 DIM = 1 << 12
@@ -153,7 +153,7 @@ def train(docs: DataFrame) -> Model | None:
             rows = [v.tobytes() for a, b in slices(texts) for v in features(texts.slice(a, b - a))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["lang", "x"])
 
-    rows = sorted((r.lang, bytes(r.x)) for r in some.mapInArrow(measure, "lang string, x binary").collect())
+    rows = sorted((r.lang, bytes(r.x)) for r in some.mapInArrow(lean(measure), "lang string, x binary").collect())
     seen = sorted({c for c, _ in rows})
     if not seen:
         return None
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 score += np.where(lettered, np.clip(p, 0.0, 1.0), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(predict), f"doc_id {kind}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

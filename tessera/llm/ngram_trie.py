@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.elias_fano import EliasFano, load, save
 from tessera.llm.language_id import held_out
-from tessera.llm.shared import shared_folder, slices, text_array
+from tessera.llm.shared import lean, shared_folder, slices, text_array
 from tessera.llm.textvec import WHITE, mix64, words
 
 ORDER = 3
@@ -389,7 +389,7 @@ def _count_words(docs: DataFrame, buckets: int) -> DataFrame:
                 sums.add(token_hashes(texts)[0])
         yield from _hand_on(sums, _by_range, buckets)
 
-    return docs.select("text").mapInArrow(f, "bucket int, data binary")
+    return docs.select("text").mapInArrow(lean(f), "bucket int, data binary")
 
 
 def _count_ngrams(docs: DataFrame, trie: Trie, order: int, bits: int, buckets: int) -> DataFrame:
@@ -403,7 +403,7 @@ def _count_ngrams(docs: DataFrame, trie: Trie, order: int, bits: int, buckets: i
                 sums.add((context[can].astype(np.uint64) << np.uint64(bits)) | child[can].astype(np.uint64))
         yield from _hand_on(sums, _by_mix, buckets)
 
-    return docs.select("text").mapInArrow(f, "bucket int, data binary")
+    return docs.select("text").mapInArrow(lean(f), "bucket int, data binary")
 
 
 def _word_shards(counted: DataFrame, buckets: int, folder: str) -> Trie:
@@ -413,7 +413,7 @@ def _word_shards(counted: DataFrame, buckets: int, folder: str) -> Trie:
             _write(file, {**_prefixed("hash", EliasFano.of(keys)), "count": counts})
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([file]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["bucket", "file", "n", "tokens"])
 
-    rows = {r.bucket: r for r in counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(f, "bucket long, file string, n long, tokens long").collect()}
+    rows = {r.bucket: r for r in counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(f), "bucket long, file string, n long, tokens long").collect()}
     trie = Trie(buckets=buckets)
     for b in range(buckets):
         r = rows.get(b)
@@ -430,7 +430,7 @@ def _level(counted: DataFrame, trie: Trie, order: int, bits: int, buckets: int,
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(keys[on].view(np.int64)), pa.array(counts[on])], ["key", "count"])
 
-    kept = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(held, "key long, count long").checkpoint()
+    kept = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(held), "key long, count long").checkpoint()
     n = kept.count()
     level = Level(bits=bits, size=n)
     if not n:
@@ -473,7 +473,7 @@ def _level(counted: DataFrame, trie: Trie, order: int, bits: int, buckets: int,
             ["number", "file", "first", "n", "contexts", "starts", "taken"],
         )
 
-    rows = kept.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(write, "number long, file string, first long, n long, contexts array<long>, starts array<long>, taken array<double>").collect()
+    rows = kept.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(lean(write), "number long, file string, first long, n long, contexts array<long>, starts array<long>, taken array<double>").collect()
     base, open_context, open_start, open_taken = 0, None, 0, 0.0
     for r in sorted(rows):
         level.shards.append((r.file, r.first, base))
@@ -527,7 +527,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(whole, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(f, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(f), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

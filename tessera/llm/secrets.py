@@ -16,7 +16,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import text_array
+from tessera.llm.shared import lean, text_array
 
 # The rules' patterns and least lengths, in the order in which kinds sort at one start.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -143,7 +143,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run,
+        lean(run),
         f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long, "
         "secrets array<struct<kind: string, start: long, end: long, text: string>>",
     )

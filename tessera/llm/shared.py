@@ -7,8 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 #: Text bytes that one vectorised step works on; a longer single document is a step of its own.
 SLICE_BYTES = 2 << 20
@@ -54,6 +53,30 @@ def slices(texts: pa.LargeStringArray, most: int = SLICE_BYTES) -> Iterator[tupl
         start = end
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text: other columns, whatever their names, never meet the operators' own."""
-    return docs.select(F.col("doc_id"), F.col("text"))
+def lean(f):
+    """f, a function of batches for mapInArrow, which gives memory back to the system when its task ends: a worker
+    lives on between tasks, and what its allocators keep counts against the executor."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    from tessera.llm import textvec
+
+    textvec.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it has no such call
+        pass
+

@@ -50,6 +50,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
+def forget() -> None:
+    """Drops the kept powers."""
+    _powers.clear()
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """256 booleans, True in the inclusive ranges."""
     out = np.zeros(256, dtype=bool)

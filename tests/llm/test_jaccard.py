@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import components
 from tessera.llm import jaccard_join as jj
 from tessera.llm.components import connected_components
 
@@ -57,8 +58,9 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("small", [256, 4])
-def test_against_all_pairs(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,few", [(256, 100_000), (4, 0)])
+def test_against_all_pairs(spark, monkeypatch, small, few):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", few)
     monkeypatch.setattr(jj, "SMALL", small)  # 4: paths are split level by level, and large buckets go in blocks
     monkeypatch.setattr(jj, "BLOCK", 8)
     rows = corpus(3)
@@ -84,7 +86,9 @@ def test_runs_reach_the_recall():
     assert 5 < jj.runs_for(0.999) < jj.runs_for(0.99999)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", few)  # 0: by contraction
     rng = random.Random(1)
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120) if i % 40 != 39] + [("z", "z")] + [(f"m{rng.randrange(50)}", f"m{rng.randrange(50)}") for _ in range(60)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
