@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tessera.functions import text as t
 # Statuses that count as success.
 SUCCESS = ("ok", "success")
 NEAR = 0.90
+#: Vectors of one block.
+BLOCK = 1024
 
 
 def zero_reason(status: Column, text: Column, rejections: Column, apply_rejections: bool = True) -> Column:
@@ -54,33 +58,55 @@ def exact_duplicates(windows: DataFrame, text: Column, key: str = "window_id") -
     return windows.select(key, norm.alias("norm")).where("norm <> ''").groupBy(F.sha2("norm", 256).alias("digest")).agg(F.count("*").alias("members"), F.min(key).alias("first_id")).where("members > 1")
 
 
-def near_pairs(windows: DataFrame, least: float = NEAR) -> DataFrame:
-    """Pairs of windows with a character n-gram cosine of `least` or more, (left_id, right_id, similarity, exact).
+def near_pairs(windows: DataFrame, least: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """Pairs of windows with a character n-gram cosine of `least` or more: (left_id, right_id, similarity).
 
-    windows: window_id and text. Windows of one text stand in one class; the classes' vectors are joined on their
-    rarest grams only: with weights of unit length, a pair of cosine s shares a gram of each one's prefix, the grams
-    in order of rarity until what is left has norm below s. So frequent grams never meet."""
+    windows: window_id and text. Windows of one text are one class, named by its first window, so copies form no
+    pairs. The similarity of TF-IDF vectors has no selective filter at this threshold, so classes are compared in
+    pairs of blocks, each by its inverted lists: a task holds two blocks of vectors, only pairs above the threshold
+    become rows, and no list of a frequent n-gram leaves its task. Work grows with the square of the classes over
+    the block size; for whole corpora use a shingle join."""
     norm = windows.select("window_id", t.for_matching(F.col("text")).alias("norm")).where("norm <> ''")
     classes = norm.groupBy("norm").agg(F.min("window_id").alias("class_id"), F.count("*").alias("members"))
-    n = norm.count()
+    size = classes.agg(F.sum("members").alias("n"), F.count("*").alias("k")).first()
+    if not size.k:
+        return windows.sparkSession.createDataFrame([], "left_id string, right_id string, similarity double")
     grams = classes.select("class_id", "members", F.explode(t.char_grams(t.tokens(F.col("norm")))).alias("gram")).groupBy("class_id", "members", "gram").agg(F.count("*").alias("tf"))
-    idf = grams.groupBy("gram").agg(F.sum("members").alias("df")).select("gram", "df", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = grams.join(idf, "gram").select("class_id", "gram", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("class_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norms, "class_id").select("class_id", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
-    by_class = unit.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("vector"))
-    prefix = F.aggregate(
-        "vector",
-        F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(s["left"] < least * least - 1e-9, s).otherwise(F.struct((s["left"] - x["w"] * x["w"]).alias("left"), F.concat(s["out"], F.array(x["gram"])).alias("out"))),
-        lambda s: s["out"],
-    )
-    probes = by_class.select("class_id", F.explode(prefix).alias("gram"))
-    met = probes.alias("a").join(probes.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class_id") < F.col("b.class_id"))).select(F.col("a.class_id").alias("left_class"), F.col("b.class_id").alias("right_class")).distinct()
-    left = unit.select(F.col("class_id").alias("left_class"), "gram", F.col("w").alias("lw"))
-    right = unit.select(F.col("class_id").alias("right_class"), "gram", F.col("w").alias("rw"))
-    scored = met.join(left, "left_class").join(right, ["right_class", "gram"]).groupBy("left_class", "right_class").agg(F.sum(F.col("lw") * F.col("rw")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least).select(F.col("left_class").alias("left_id"), F.col("right_class").alias("right_id"), "similarity")
+    idf = grams.groupBy("gram").agg(F.sum("members").alias("df")).select("gram", (F.log((F.lit(1.0) + size.n) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = grams.join(idf, "gram").select("class_id", F.xxhash64("gram").alias("g"), (F.col("tf") * F.col("idf")).alias("w"))
+    vectors = weighted.groupBy("class_id").agg(F.collect_list(F.struct("g", "w")).alias("v")).select("class_id", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
+    blocks = -(-size.k // block)
+    own = F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int")
+    dealt = vectors.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return dealt.select("i", "j", "own", "class_id", "g", "w").groupBy("i", "j").applyInPandas(_compare_blocks(least), "left_id string, right_id string, similarity double")
+
+
+def _compare_blocks(least: float):
+    def f(key, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        ids, own = rows["class_id"].to_numpy(), rows["own"].to_numpy()
+        sizes = np.array([len(x) for x in rows["g"]])
+        grams, weights = np.concatenate(rows["g"].to_numpy()), np.concatenate(rows["w"].to_numpy())
+        holder = np.repeat(np.arange(len(ids)), sizes)
+        weights = weights / np.sqrt(np.bincount(holder, weights=weights * weights))[holder]
+        value, place = np.unique(grams, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        ends = np.cumsum(np.bincount(place, minlength=len(value)))
+        first = ends - np.bincount(place, minlength=len(value))
+        listed, of = holder[order], weights[order]
+        where = np.concatenate([[0], np.cumsum(sizes)])
+        out = []
+        for x in range(len(ids)):
+            slots, mine = place[where[x] : where[x + 1]], weights[where[x] : where[x + 1]]
+            many = ends[slots] - first[slots]
+            at = np.repeat(first[slots], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            like = np.bincount(listed[at], weights=of[at] * np.repeat(mine, many), minlength=len(ids))
+            for y in np.flatnonzero(like >= least).tolist():
+                if ids[x] < ids[y] and (i == j or own[x] != own[y]):
+                    out.append((ids[x], ids[y], float(like[y])))
+        return pd.DataFrame(out, columns=["left_id", "right_id", "similarity"])
+
+    return f
 
 
 def relationship(left_video: Column, right_video: Column, left_index: Column, right_index: Column) -> Column:

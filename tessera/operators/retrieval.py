@@ -30,9 +30,11 @@ def _small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, length): postings of the eligible documents."""
+def term_frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, length): postings of the eligible documents, of the wanted terms only if such are given."""
     rows = docs.where("eligible").select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        rows = rows.join(_small(wanted), "term")
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -56,30 +58,43 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, post
     n, mean = stats.n_docs, stats.mean_length or 1.0
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = terms.select("term").distinct()
-    held = (term_frequencies(docs) if postings is None else postings).join(_small(wanted), "term")
+    held = term_frequencies(docs, wanted) if postings is None else postings.join(_small(wanted), "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     part = bm25_idf(F.lit(float(n)), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     return held.join(df, "term").join(_small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def _weights(grams: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """TF-IDF vectors of unit length."""
-    raw = grams.groupBy(key, "gram").agg(F.count("*").alias("tf")).join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+def _term_counts(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _grams_of(terms: DataFrame) -> DataFrame:
+    """(term, gram, times): the character n-grams of each distinct term, which are made once for all documents."""
+    each = terms.select("term").distinct().select("term", F.explode(char_grams(F.array("term"))).alias("gram"))
+    return each.groupBy("term", "gram").agg(F.count("*").alias("times"))
+
+
+def _weights(terms: DataFrame, grams: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """TF-IDF vectors of unit length over the n-grams that idf has."""
+    known = grams.join(idf, "gram")
+    raw = terms.join(known, "term").groupBy(key, "gram").agg((F.sum(F.col("tf") * F.col("times")) * F.first("idf")).alias("w"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, fitted_on: str = "queries") -> DataFrame:
     """(query_id, doc_id, score): cosine of character 3- to 5-gram TF-IDF vectors, vocabulary and idf from the queries
-    or from the eligible documents. idf is ln((1 + n) / (1 + df)) + 1."""
-    d = docs.where("eligible").select("doc_id", F.explode(char_grams(F.col("terms"))).alias("gram"))
-    q = queries.select("query_id", F.explode(char_grams(F.col("terms"))).alias("gram"))
-    base, key, side = (q, "query_id", queries) if fitted_on == "queries" else (d, "doc_id", docs.where("eligible"))
+    or from the eligible documents. idf is ln((1 + n) / (1 + df)) + 1. N-grams lie inside words, so they are made of
+    the distinct words and reach documents through their word counts."""
+    d, q = _term_counts(docs.where("eligible"), "doc_id"), _term_counts(queries, "query_id")
+    dg, qg = _grams_of(d), _grams_of(q)
+    base, grams, key, side = (q, qg, "query_id", queries) if fitted_on == "queries" else (d, dg, "doc_id", docs.where("eligible"))
     n = side.count()
-    idf = base.groupBy("gram").agg(F.count_distinct(key).alias("df")).select("gram", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    holders = base.join(grams, "term").select(key, "gram").distinct()
+    idf = holders.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
     if fitted_on == "queries":
         idf = _small(idf)
-    left, right = _weights(q, idf, "query_id"), _weights(d, idf, "doc_id")
+    left, right = _weights(q, qg, idf, "query_id"), _weights(d, dg, idf, "doc_id")
     return right.withColumnRenamed("w", "dw").join(_small(left), "gram").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
 
 
