@@ -164,3 +164,24 @@ def test_empty_tables(spark):
     s = scored(spark, [])
     assert k.candidate_pool(s, 3, 2).count() == 0 and k.peaks(s).count() == 0 and e.video_scores(s).count() == 0
     assert d.near_pairs(spark.createDataFrame([], "window_id string, text string")).count() == 0
+
+
+def test_reports(spark):
+    from tessera.operators import reports as p
+
+    rows = [("a0", "a", 0, "one two three"), ("a1", "a", 1, "one two three"), ("a2", "a", 2, "else"), ("b0", "b", 0, "One, two three!"), ("b1", "b", 1, "")]
+    df = spark.createDataFrame(rows, "window_id string, video_id string, window_index int, text string")
+    got = {(r.left_id, r.right_id): (r.relationship, r.exact) for r in p.duplicate_report(df).collect()}
+    assert got == {("a0", "a1"): ("adjacent_same_video", True), ("a0", "b0"): ("cross_video", True), ("a1", "a2"): ("adjacent_same_video", False), ("b0", "b1"): ("adjacent_same_video", False)}
+    assert [r.exact for r in p.duplicate_report(df, most=2).collect()] == [True, True]
+    cases = p.inspection_cases(df, {"long": (F.lit(True), F.length("text")), "none": (F.lit(False), F.length("text"))}, "window_id").collect()
+    assert [(r.case, r.window_id) for r in cases] == [("long", "b0")]
+    m = spark.createDataFrame([("q", "w", "raw", 2, 0.5), ("q", "w", "processed", 1, 1.0), ("q", "p", "raw", 1, 1.0)], "query_id string, model_id string, view string, video_rank int, video_rr double")
+    assert p.view_comparison(m, "processed", "raw", ["model_id", "query_id"]).where("model_id = 'w'").first().relation == "better"
+    assert {(r.fast_view, r.slow_view): r.passes for r in p.pair_gates(m, "p", "w", 0.1).collect()} == {("raw", "raw"): True, ("raw", "processed"): True}
+    assert p.gap_summary(m.where("view = 'raw'"), ["query_id"], "model_id", "w", "p", ["video_rr"]).first().video_rr_gap == -0.5
+    splits = spark.createDataFrame([("a", "core"), ("b", "holdout")], "video_id string, split string")
+    assert [p.scope(df, splits, n).count() for n in ("all", "core", "holdout", "non_holdout")] == [5, 3, 2, 3]
+    s = spark.createDataFrame([([([0.0, 1.5], " x  y ")],)], "s array<struct<timestamp:array<double>,text:string>>")
+    assert tuple(s.select(p.canonical_segments(F.col("s"), "chunks").alias("c")).first().c[0]) == (0, 0.0, 1.5, "x y")
+    assert set(p.pivot_by_view(m.where("model_id = 'w'"), ["video_rr"], ["raw", "processed"]).columns) == {"query_id", "raw", "processed"}
