@@ -195,6 +195,29 @@ SQL: dict[str, str] = {
     "unit_aliases": "SELECT event_id, event_id || ' kg and ' || user_id || ' kg kg of kg' AS aliased FROM events",
 }
 
+_VIEWS = METRICS + """,
+vw AS (SELECT query_id, method_id AS view, video_rank, video_rr FROM m WHERE query_id % 3 <> 0 OR method_id = 'exact'),
+vc AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.video_rank AS processed_rank, b.video_rank AS raw_rank, coalesce(a.video_rr, 0) - coalesce(b.video_rr, 0) AS rr_delta
+       FROM (SELECT * FROM vw WHERE view = 'exact') a FULL JOIN (SELECT * FROM vw WHERE view = 'coarse') b ON a.query_id = b.query_id)"""
+_ROLE = f"""wt AS (SELECT role, window_id, video_id, {toks(norm("text"))} AS w FROM win WHERE role IN ('user', 'assistant')),
+ps AS (SELECT role, window_id, video_id, len(w) AS size, unnest(flatten([[{{'p': array_to_string(w[i : i + k - 1], ' '), 'k': k}} FOR i IN range(1, len(w) - k + 2)] FOR k IN range(3, 5)])) AS g FROM wt),
+e AS (SELECT role, window_id, video_id, size, g.p AS phrase, g.k AS n, count(*) AS c FROM ps GROUP BY ALL),
+f AS (SELECT role AS model_id, phrase, n, sum(c)::BIGINT AS occurrences, count(DISTINCT video_id) AS videos, count(DISTINCT video_id) * max(least(1.0, c * n / size)) AS suspicion FROM e GROUP BY ALL HAVING count(DISTINCT video_id) >= 2)"""
+SQL |= {
+    "runtime_gap": f"WITH {OPS}, n AS (SELECT min(model_id) AS a, (SELECT DISTINCT model_id FROM ops ORDER BY model_id LIMIT 1 OFFSET 1) AS b FROM ops) SELECT stage_id, round(max(mean_rtf) FILTER (model_id = a) - max(mean_rtf) FILTER (model_id = b), 6) AS mean_rtf_gap, round(max(p90_rtf) FILTER (model_id = a) - max(p90_rtf) FILTER (model_id = b), 6) AS p90_rtf_gap FROM ops, n GROUP BY stage_id",
+    "view_comparison": f"WITH {_VIEWS} SELECT query_id, processed_rank, raw_rank, {rel('processed_rank', 'raw_rank')} AS relation, round(rr_delta, 6) AS rr_delta FROM vc",
+    "view_summary": f"WITH {_VIEWS}, r AS (SELECT {rel('processed_rank', 'raw_rank')} AS relation, rr_delta FROM vc) SELECT relation, count(*) AS queries, round(avg(rr_delta), 6) AS delta_mean, round(median(rr_delta), 6) AS delta_median FROM r GROUP BY relation",
+    "pair_gates": f"WITH {_VIEWS}, j AS (SELECT b.view AS fast_view, a.view AS slow_view, a.video_rr - b.video_rr AS d FROM vw a JOIN vw b USING (query_id) WHERE a.view = 'exact' AND b.view = 'coarse') SELECT fast_view, slow_view, count(*) AS queries, round(avg(d), 6) AS deficit, avg(d) <= 0.02 AS passes FROM j GROUP BY ALL",
+    "inspection_cases": "SELECT lang AS \"case\", doc_id FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1",
+    "top_phrases_by_role": f"WITH {WIN}, {_ROLE} SELECT model_id, phrase, occurrences, videos, row_number() OVER (PARTITION BY model_id ORDER BY suspicion DESC, videos DESC, occurrences DESC, phrase) AS place FROM f QUALIFY place <= 10",
+    "completed_windows": "SELECT documents.doc_id, lang, quality, CASE WHEN labels.doc_id IS NULL THEN 'missing' ELSE 'ok' END AS status FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id",
+    "metric_regression": f"WITH {METRICS}, a AS (SELECT method_id, avg(video_rr) AS actual FROM m GROUP BY ALL), e AS (SELECT unnest(['exact', 'coarse', 'other']) AS method_id, (SELECT actual FROM a WHERE method_id = 'exact') AS expected) SELECT method_id, round(actual, 6) AS actual, round(expected, 6) AS expected, CASE WHEN actual IS NULL THEN 'missing' WHEN abs(actual - expected) > 1e-9 THEN 'different' ELSE 'same' END AS status FROM e LEFT JOIN a USING (method_id)",
+    "json_lines_round_trip": "SELECT * FROM conversations",
+    "csv_round_trip": "SELECT * FROM labels",
+    "release_videos": f"WITH {WIN}, n AS (SELECT *, {norm('text')} AS t FROM win) SELECT video_id::VARCHAR AS video_id, count(*) AS windows, count(*) FILTER (t <> '') AS eligible_windows, max(end_s) AS duration_s FROM n GROUP BY video_id",
+    "score_cache_round_trip": f"WITH {JUDGED} SELECT method_id, query_id, window_id, round(score, 6) + 0.0 AS score FROM judged",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,15 @@ from tessera.operators import diagnostics as d
 from tessera.operators import evaluation as e
 from tessera.operators import governance as g
 from tessera.operators import ranking as k
+from tessera.operators import reports as p
 from tessera.operators import retrieval as r
 from tessera.operators import windowing as w
+from tessera import plugins
 from tessera.plans import adapters as a
+from tessera.plans.search import Engine, SearchConfig
+from tessera.session import shared_root
+from tessera.sources import tables
+from tessera.sources.release import build_release
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,8 +288,8 @@ def consecutive_duplicate_windows(s, x):
 
 @query
 def processed_windows(s, x):
-    p = w.processed(a.windows(s, x).withColumnRenamed("text", "raw_text"))
-    return p.select("window_id", "retrieval_text", F.concat_ws(",", "warnings").alias("warnings"), F.concat_ws(",", "rejections").alias("rejections"), F.concat_ws(",", "transformations").alias("transformations"))
+    done = w.processed(a.windows(s, x).withColumnRenamed("text", "raw_text"))
+    return done.select("window_id", "retrieval_text", F.concat_ws(",", "warnings").alias("warnings"), F.concat_ws(",", "rejections").alias("rejections"), F.concat_ws(",", "transformations").alias("transformations"))
 
 
 @query
@@ -502,5 +509,109 @@ def latest_status(s, x):
     return ev.where("at = 1").select("user_id", "event_id", "event_type")
 
 
+@query
+def runtime_gap(s, x):
+    m = d.operational_summary(a.runs(s, x), ["model_id", "stage_id"]).select("stage_id", "model_id", "mean_rtf", "p90_rtf")
+    names = [r_.model_id for r_ in m.select("model_id").distinct().orderBy("model_id").limit(2).collect()]
+    return p.gap_summary(m, ["stage_id"], "model_id", names[0], names[-1], ["mean_rtf", "p90_rtf"]).select("stage_id", six("mean_rtf_gap"), six("p90_rtf_gap"))
+
+
+def _views(s, x):
+    return _metrics(s, x).withColumnRenamed("method_id", "view").where("query_id % 3 <> 0 or view = 'exact'")
+
+
+@query
+def view_comparison(s, x):
+    return p.view_comparison(_views(s, x), "exact", "coarse", ["query_id"]).select("query_id", "processed_rank", "raw_rank", "relation", six("rr_delta"))
+
+
+@query
+def view_summary(s, x):
+    return p.view_summary(p.view_comparison(_views(s, x), "exact", "coarse", ["query_id"]), ["relation"]).select("relation", "queries", six("delta_mean"), six("delta_median"))
+
+
+@query
+def pair_gates(s, x):
+    m = _views(s, x).withColumn("model_id", F.when(F.col("view") == "exact", "slow").otherwise("fast"))
+    return p.pair_gates(m, "fast", "slow", 0.02).select("fast_view", "slow_view", "queries", six("deficit"), "passes")
+
+
+@query
+def inspection_cases(s, x):
+    docs = a.table(s, x, "documents")
+    cases = {lang: (F.col("lang") == lang, F.col("n_chars")) for lang in ("de", "en", "es", "fr")}
+    return p.inspection_cases(docs, cases, "doc_id")
+
+
+@query
+def top_phrases_by_role(s, x):
+    w_ = a.windows(s, x)
+    each = [d.mine_phrases(w_.where(F.col("role") == role), 3, 4, most=None).withColumn("model_id", F.lit(role)) for role in ("user", "assistant")]
+    return p.top_phrases(g.unioned(each), 10).select("model_id", "phrase", "occurrences", "videos", F.col("place").cast("long").alias("place"))
+
+
+@query
+def duplicate_report(s, x):
+    return p.duplicate_report(a.windows(s, x)).select("left_id", "right_id", "relationship", "exact", six("token_f1"))
+
+
+@query
+def completed_windows(s, x):
+    """Every document with its label, or the status `missing`."""
+    labels = a.table(s, x, "labels").select("doc_id", "quality", F.lit("ok").alias("status"))
+    return g.completed(a.table(s, x, "documents").select("doc_id", "lang"), labels, ["doc_id"])
+
+
+@query
+def metric_regression(s, x):
+    m = e.metric_summary(_metrics(s, x), ["method_id"])
+    expected = m.where("method_id = 'exact'").withColumn("method_id", F.explode(F.array(F.lit("exact"), F.lit("coarse"), F.lit("other"))))
+    return e.regression(m, expected, ["method_id"], "video_mrr", 1e-9).select("method_id", six("actual"), six("expected"), "status")
+
+
+def _folder(s, name):
+    return f"{shared_root(s)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query
+def json_lines_round_trip(s, x):
+    rows, folder = a.table(s, x, "conversations"), _folder(s, "jsonl")
+    tables.write_json_lines(rows, folder)
+    return tables.read_json_lines(s, folder, rows.schema)
+
+
+@query
+def csv_round_trip(s, x):
+    rows, folder = a.table(s, x, "labels"), _folder(s, "csv")
+    tables.write_csv(rows, folder)
+    return tables.read_csv(s, folder, rows.schema)
+
+
+def _release(s, x):
+    rows = w.processed(a.windows(s, x).withColumnRenamed("text", "raw_text"))
+    ready = rows.withColumn("eligible", F.trim("retrieval_text") != "").select("window_id", F.col("video_id").cast("string").alias("video_id"), "window_index", "start_s", "end_s", "retrieval_text", "eligible")
+    return build_release(s, ready, _folder(s, "releases"), "r1", plugins.encode)
+
+
+@query
+def release_videos(s, x):
+    return _release(s, x).videos.select("video_id", "windows", "eligible_windows", "duration_s")
+
+
+@query
+def release_search(s, x):
+    """End to end: text rules, release, both kinds of evidence, fusion, pool, reranking, ranked videos."""
+    q = a.table(s, x, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(t.tokens(t.for_matching(F.col("text"))), 1, a.QUERY_TERMS)).alias("query_text"))
+    found = Engine(_release(s, x), config=SearchConfig(top_k=10)).search(q)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", six("first_stage_score"), six("final_score"), F.size("windows").cast("long").alias("windows"))
+
+
+@query
+def score_cache_round_trip(s, x):
+    rows, folder = a.two_methods(s, x).select("method_id", "query_id", "window_id", "score"), _folder(s, "scores")
+    tables.save_scores(rows, folder, "1", "identity")
+    return tables.load_scores(s, folder, "1", "identity").select(F.col("method_id").cast("string").alias("method_id"), "query_id", "window_id", six("score"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -23,3 +23,13 @@ def session(name: str, cores: int | None = None, **conf: str) -> SparkSession:
         n = cores or os.cpu_count() or 1
         b = b.master(f"local[{n}]").config("spark.sql.shuffle.partitions", str(n)).config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
     return b.getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    import tempfile
+
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="tessera-shared-"))
+    return spark.sparkContext.getCheckpointDir()
