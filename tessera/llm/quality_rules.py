@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLANK = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
@@ -102,8 +101,8 @@ def quality_columns(docs: DataFrame, trusted: DataFrame, threshold: float = THRE
         grams = F.greatest(2 * F.size(w) - 1, F.lit(1))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.translate(text, BLANK, "")).cast("long").alias("word_chars"),
-            (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             _repeated_words(w).alias("n_repeat_words"),
             (total / grams).alias("llr"),
