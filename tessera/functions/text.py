@@ -81,13 +81,19 @@ def unicode_form(text: Column, composed: bool = True) -> Column:
 
 
 def for_matching(text: Column, composed: bool = True) -> Column:
-    """Lower-case letters and digits, everything else a space."""
-    return squeeze(F.regexp_replace(F.lower(unicode_form(text, composed)), r"(?U)[^0-9a-zA-ZÀ-ỹđĐ\s]", " "))
+    """Lower-case letters and digits; any run of other characters is one space, none at the ends. One pass: what is
+    not kept and what is white space end up alike."""
+    lower = F.lower(F.coalesce(text, F.lit("")) if composed else unicode_form(text, False))
+    return F.trim(F.regexp_replace(lower, "[[^0-9a-zA-ZÀ-ỹđĐ]\u1680]+", " "))
 
 
 def accent_fold(text: Column, composed: bool = True) -> Column:
     """for_matching without marks on letters; as long as for_matching where the text is NFC."""
-    return squeeze(F.translate(for_matching(text, composed), _FOLD_FROM, _FOLD_TO))
+
+    def fold(plain: Column) -> Column:
+        return F.when(plain.rlike("[À-ỹ]"), F.trim(F.regexp_replace(F.translate(plain, _FOLD_FROM, _FOLD_TO), " +", " "))).otherwise(plain)
+
+    return let(for_matching(text, composed), fold)
 
 
 def unit_aliases(text: Column) -> Column:
@@ -98,8 +104,8 @@ def unit_aliases(text: Column) -> Column:
 
 
 def for_agreement(text: Column) -> Column:
-    """Lower case, punctuation and underscores as spaces."""
-    return squeeze(F.translate(F.regexp_replace(F.lower(unicode_form(text)), r"(?U)[^\w\s]", " "), "_", " "))
+    """Lower case; any run of punctuation, underscores and white space is one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\W_]+", " "))
 
 
 def for_metric(text: Column) -> Column:

@@ -377,7 +377,7 @@ def physical_windowing_60_45(s, x):
 
 @query
 def event_sliding_windows_60_45(s, x):
-    """Tumbling and sliding windows of events: 60 s every 15 s. (A slide of 45 s does not divide 60 s evenly and is given too.)"""
+    """Windows of 60 s that begin every 45 s."""
     ev = a.table(s, x, "events")
     rows = ev.groupBy(F.window("ts", "60 seconds", "45 seconds").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return rows.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n", "total")
