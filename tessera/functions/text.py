@@ -81,10 +81,9 @@ def unicode_form(text: Column, composed: bool = True) -> Column:
 
 
 def for_matching(text: Column, composed: bool = True) -> Column:
-    """Lower-case letters and digits; any run of other characters is one space, none at the ends. One pass: what is
-    not kept and what is white space end up alike."""
+    """Lower-case letters and digits; everything else is space, squeezed."""
     lower = F.lower(F.coalesce(text, F.lit("")) if composed else unicode_form(text, False))
-    return F.trim(F.regexp_replace(lower, "[[^0-9a-zA-ZÀ-ỹđĐ]\u1680]+", " "))
+    return squeeze(F.regexp_replace(lower, r"(?U)[^0-9a-zA-ZÀ-ỹđĐ\s]", " "))
 
 
 def accent_fold(text: Column, composed: bool = True) -> Column:
