@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.elias_fano import EliasFano, load, save
 from tessera.llm.language_id import held_out
-from tessera.llm.shared import lean, shared_folder, slices, text_array
+from tessera.llm.shared import lean, put_in_place, shared_folder, slices, text_array
 from tessera.llm.textvec import WHITE, mix64, words
 
 ORDER = 3
@@ -164,7 +164,7 @@ def _write(uri: str, arrays: dict[str, np.ndarray]) -> None:
     hidden = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(hidden) as f:
         f.write(save(arrays))
-    store.move(hidden, path)
+    put_in_place(store, hidden, path)
 
 
 def _prefixed(name: str, e: EliasFano) -> dict[str, np.ndarray]:

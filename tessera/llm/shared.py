@@ -30,6 +30,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def put_in_place(store, hidden: str, path: str) -> None:
+    """Renames a finished file. A store that does not replace files keeps the one that a first run of the task put
+    there, which is equal."""
+    from pyarrow import fs
+
+    try:
+        store.move(hidden, path)
+    except OSError:
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(hidden)
+
+
 def text_array(batch: pa.RecordBatch, name: str = "text") -> pa.LargeStringArray:
     """The column as large strings, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

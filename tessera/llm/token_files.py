@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import lean, shared_folder, slices, text_array
+from tessera.llm.shared import lean, put_in_place, shared_folder, slices, text_array
 
 MAGIC, VERSION = b"TKPK", 1
 HEADER = struct.Struct("<4sHHQQQQ")
@@ -305,8 +305,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             with place.open_output_stream(hidden + ".ids") as f, pa.ipc.new_stream(f, pa.schema([("doc_id", ids_of[0].type)])) as s:
                 for x in ids_of:
                     s.write_batch(pa.record_batch([x], ["doc_id"]))
-            place.move(hidden + ".ids", path + ".ids")
-            place.move(hidden, path + ".bin")
+            put_in_place(place, hidden + ".ids", path + ".ids")
+            put_in_place(place, hidden, path + ".bin")
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f"{folder}/shard-{number:06d}"]), pa.array([len(writer.index)], pa.int64()), pa.array([writer.tokens], pa.int64())], ["number", "path", "documents", "tokens"])
 
     rows = sorted(dealt.mapInArrow(lean(write), "number long, path string, documents long, tokens long").collect())

@@ -91,3 +91,25 @@ def test_ids_come_back(spark):
     _, shards = tf.write_tokens(df, tokenizer_path())
     r = tf.read_tokens(spark, shards, with_ids=True).first()
     assert list(r.ids) == [*tf.encoder(tokenizer_path()).tokenizer.encode("a b c").ids, 2]
+
+
+def test_a_store_that_does_not_replace_files(tmp_path):
+    from pyarrow import fs
+
+    from tessera.llm.shared import put_in_place
+
+    class Strict:
+        inner = fs.LocalFileSystem()
+        get_file_info, delete_file = inner.get_file_info, inner.delete_file
+
+        def move(self, a, b):
+            if self.inner.get_file_info(b).type == fs.FileType.File:
+                raise OSError("it exists")
+            self.inner.move(a, b)
+
+    for text in ("first", "second"):
+        (tmp_path / "hidden").write_text(text)
+        put_in_place(Strict(), str(tmp_path / "hidden"), str(tmp_path / "file"))
+    assert (tmp_path / "file").read_text() == "first" and not (tmp_path / "hidden").exists()
+    with pytest.raises(OSError):
+        put_in_place(Strict(), str(tmp_path / "none"), str(tmp_path / "other"))
