@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators.retrieval import grams_of, term_counts
 
 # Statuses that count as success.
 SUCCESS = ("ok", "success")
@@ -71,7 +72,8 @@ def near_pairs(windows: DataFrame, least: float = NEAR, block: int = BLOCK) -> D
     size = classes.agg(F.sum("members").alias("n"), F.count("*").alias("k")).first()
     if not size.k:
         return windows.sparkSession.createDataFrame([], "left_id string, right_id string, similarity double")
-    grams = classes.select("class_id", "members", F.explode(t.char_grams(t.tokens(F.col("norm")))).alias("gram")).groupBy("class_id", "members", "gram").agg(F.count("*").alias("tf"))
+    terms = term_counts(classes.withColumn("terms", t.tokens(F.col("norm"))), "class_id", "members")
+    grams = terms.join(grams_of(terms), "term").groupBy("class_id", "members", "gram").agg(F.sum(F.col("tf") * F.col("times")).alias("tf"))
     idf = grams.groupBy("gram").agg(F.sum("members").alias("df")).select("gram", (F.log((F.lit(1.0) + size.n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = grams.join(idf, "gram").select("class_id", F.xxhash64("gram").alias("g"), (F.col("tf") * F.col("idf")).alias("w"))
     vectors = weighted.groupBy("class_id").agg(F.collect_list(F.struct("g", "w")).alias("v")).select("class_id", F.col("v.g").alias("g"), F.col("v.w").alias("w"))

@@ -64,11 +64,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, post
     return held.join(df, "term").join(_small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def _term_counts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term, tf) of rows with terms."""
+    return rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def _grams_of(terms: DataFrame) -> DataFrame:
+def grams_of(terms: DataFrame) -> DataFrame:
     """(term, gram, times): the character n-grams of each distinct term, which are made once for all documents."""
     each = terms.select("term").distinct().select("term", F.explode(char_grams(F.array("term"))).alias("gram"))
     return each.groupBy("term", "gram").agg(F.count("*").alias("times"))
@@ -86,8 +87,8 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, fitted_on: str = "queries"
     """(query_id, doc_id, score): cosine of character 3- to 5-gram TF-IDF vectors, vocabulary and idf from the queries
     or from the eligible documents. idf is ln((1 + n) / (1 + df)) + 1. N-grams lie inside words, so they are made of
     the distinct words and reach documents through their word counts."""
-    d, q = _term_counts(docs.where("eligible"), "doc_id"), _term_counts(queries, "query_id")
-    dg, qg = _grams_of(d), _grams_of(q)
+    d, q = term_counts(docs.where("eligible"), "doc_id"), term_counts(queries, "query_id")
+    dg, qg = grams_of(d), grams_of(q)
     base, grams, key, side = (q, qg, "query_id", queries) if fitted_on == "queries" else (d, dg, "doc_id", docs.where("eligible"))
     n = side.count()
     holders = base.join(grams, "term").select(key, "gram").distinct()
