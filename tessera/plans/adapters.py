@@ -17,9 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where their files give fewer than half as many splits; so few splits are small, and the
+    text work that follows costs more than moving them. Tables of many files stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as windows of 60 s every 45 s of a video."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     start = F.col("turn") * 45.0
     return c.select(
         t.window_id(F.col("conv_id"), F.col("turn")).alias("window_id"), F.col("conv_id").alias("video_id"), F.col("turn").alias("window_index"),
@@ -30,7 +37,8 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
     """Documents as windows of their sources, tokenised; eligible if any token is left."""
     norm = t.accent_fold(F.col("text")) if folded else t.for_matching(F.col("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("video_id"), t.tokens(norm).alias("terms"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("video_id"), "text"))
+    d = d.select("doc_id", "video_id", t.tokens(norm).alias("terms"))
     return d.withColumn("eligible", F.size("terms") > 0)
 
 
