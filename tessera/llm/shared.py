@@ -66,11 +66,16 @@ def slices(texts: pa.LargeStringArray, most: int = SLICE_BYTES) -> Iterator[tupl
         start = end
 
 
-def lean(f):
+def lean(f, keep_pieces: bool = False):
     """f, a function of batches for mapInArrow, which gives memory back to the system when its task ends: a worker
     lives on between tasks, and what its allocators keep counts against the executor."""
 
     def run(batches):
+        import sys
+
+        tokens = sys.modules.get("tessera.llm.token_files")
+        if tokens is not None and not keep_pieces:
+            tokens._encoders.clear()  # another kind of task left its pieces in this worker
         try:
             yield from f(batches)
         finally:

@@ -309,7 +309,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             put_in_place(place, hidden, path + ".bin")
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f"{folder}/shard-{number:06d}"]), pa.array([len(writer.index)], pa.int64()), pa.array([writer.tokens], pa.int64())], ["number", "path", "documents", "tokens"])
 
-    rows = sorted(dealt.mapInArrow(lean(write), "number long, path string, documents long, tokens long").collect())
+    rows = sorted(dealt.mapInArrow(lean(write, keep_pieces=True), "number long, path string, documents long, tokens long").collect())
     out, base = [], 0
     for r in rows:
         out.append({"path": r.path, "documents": r.documents, "tokens": r.tokens, "shard_base": base, "doc_id": kind})
@@ -347,7 +347,7 @@ def read_tokens(spark, shards: list[dict], with_ids: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(columns, schema_names(with_ids))
 
     n = len(plan)
-    return spark.range(0, n, 1, max(n, 1)).mapInArrow(lean(read), schema)
+    return spark.range(0, n, 1, max(n, 1)).mapInArrow(lean(read, keep_pieces=True), schema)
 
 
 def schema_names(with_ids: bool) -> list[str]:
