@@ -440,7 +440,7 @@ def unit_aliases(s, x):
 
 @query
 def query_category_classify(s, x):
-    return a.table(s, x, "documents").select("doc_id", t.classify_query(F.substring("text", 1, 200)).alias("category"))
+    return a.table(s, x, "documents").select("doc_id", t.classify_query(F.col("text")).alias("category"))
 
 
 @query
