@@ -32,7 +32,10 @@ def _small(queries: DataFrame) -> DataFrame:
 
 def term_frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(term, doc_id, tf, length): postings of the eligible documents, of the wanted terms only if such are given."""
-    rows = docs.where("eligible").select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    rows = docs.where("eligible").select("doc_id", "terms")
+    if wanted is not None:
+        rows = rows.repartition("doc_id")  # whole documents move once; what is grouped by doc_id later stays in place
+    rows = rows.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     if wanted is not None:
         rows = rows.join(_small(wanted), "term")
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
@@ -60,6 +63,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, post
     wanted = terms.select("term").distinct()
     held = term_frequencies(docs, wanted) if postings is None else postings.join(_small(wanted), "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
+    if wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        df = F.broadcast(df)  # a row for each wanted term at most
     part = bm25_idf(F.lit(float(n)), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     return held.join(df, "term").join(_small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 

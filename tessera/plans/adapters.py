@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators import retrieval as r
 
-QUERY_TERMS = 12
 #: Every vector whose id is divisible by it is a query: the stated query set of searches.
 QUERY_EVERY = 20
 
@@ -43,9 +42,9 @@ def documents(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFra
 
 
 def queries(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
-    """The first tokens of benchmark passages as queries."""
+    """Benchmark passages as queries, with all their tokens."""
     norm = t.accent_fold(F.col("text")) if folded else t.for_matching(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(t.tokens(norm), 1, QUERY_TERMS).alias("terms"), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), t.tokens(norm).alias("terms"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

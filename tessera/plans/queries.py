@@ -601,7 +601,7 @@ def release_videos(s, x):
 @query
 def release_search(s, x):
     """End to end: text rules, release, both kinds of evidence, fusion, pool, reranking, ranked videos."""
-    q = a.table(s, x, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(t.tokens(t.for_matching(F.col("text"))), 1, a.QUERY_TERMS)).alias("query_text"))
+    q = a.table(s, x, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", t.tokens(t.for_matching(F.col("text")))).alias("query_text"))
     found = Engine(_release(s, x), config=SearchConfig(top_k=10)).search(q)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", six("first_stage_score"), six("final_score"), F.size("windows").cast("long").alias("windows"))
 
