@@ -1,8 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Model. Tokens are the lower-cased words of a text and one end token. A trie of orders 1 to ORDER holds every token of
-the training texts and every longer n-gram seen at least LEAST times (a longer one only if its parts are held, which
-its count implies). Probabilities are smoothed by interpolated absolute discounting: with c the counts of training,
+the training texts and every longer n-gram, however rare. Probabilities are smoothed by interpolated absolute
+discounting: with c the counts of training,
 
     p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
     pk(w | h) = max(c(hw) - D, 0) / c(h) + g(h) p(k-1)(w | shorter h),   g(h) = 1 - sum over held children of (c - D) / c(h)
@@ -20,7 +20,8 @@ memory-mapped from the shared folder, so a scorer's memory does not grow with th
 
 Shape. Three scans of the training texts count one order each. A task sums its n-grams in arrays and hands on one
 compressed block per key bucket, so a frequent n-gram is one entry a task and no bucket follows a frequent word;
-buckets are merged by streaming and singletons end there. One scan scores. Only shard boundaries reach the driver.
+buckets are merged by streaming, packed again, and cut into shards at quantiles of sampled keys. One scan scores. Only
+the samples and the shards' names and ends reach the driver.
 """
 
 from __future__ import annotations
@@ -40,12 +41,11 @@ from tessera.llm.shared import lean, put_in_place, shared_folder, slices, text_a
 from tessera.llm.textvec import WHITE, mix64, words
 
 ORDER = 3
-LEAST = 2
 DISCOUNT = 0.75
 #: Text bytes of a vectorised step, and entries after which a task's sums are merged.
 STEP_BYTES, MERGE_AT = 4 << 20, 3_000_000
-#: Text bytes that one key bucket stands for; held n-grams in one shard of a level.
-BUCKET_BYTES, SHARD_NGRAMS = 48 << 20, 3_000_000
+#: Text bytes that one key bucket stands for; n-grams in one shard of a level, and sampled keys for each shard.
+BUCKET_BYTES, SHARD_NGRAMS, SAMPLES = 48 << 20, 3_000_000, 64
 END = np.uint64(0x9B1A6F6C8D2E4A57)  # the end token's hash
 _FIXED = 4096.0  # steps of a stored log10, down to -16
 
@@ -424,56 +424,62 @@ def _word_shards(counted: DataFrame, buckets: int, folder: str) -> Trie:
 
 
 def _level(counted: DataFrame, trie: Trie, order: int, bits: int, buckets: int, folder: str) -> Level:
-    def held(batches):
+    every = max(1, SHARD_NGRAMS // SAMPLES)
+
+    def packed(batches):
         for _, keys, counts in _merged_buckets(batches):
-            on = counts >= LEAST
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[on].view(np.int64)), pa.array(counts[on])], ["key", "count"])
+            sample = keys[every // 2 :: every].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([sample], pa.binary()), pa.array([press(keys, counts)], pa.binary())], ["n", "sample", "data"])
 
-    kept = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(held), "key long, count long").checkpoint()
-    n = kept.count()
+    kept = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(packed), "n long, sample binary, data binary").checkpoint()
+    told = kept.select("n", "sample").collect()
+    n = sum(r.n for r in told)
     level = Level(bits=bits, size=n)
     if not n:
         return level
     shards = -(-n // SHARD_NGRAMS)
+    sample = np.sort(np.frombuffer(b"".join(r.sample for r in told), dtype=np.uint64))
+    bounds = np.unique(sample[np.arange(1, shards) * len(sample) // shards]) if len(sample) else sample
+
+    def cut(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                keys, counts = unpress(data.as_py())
+                ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                for shard, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if i < j:
+                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([press(keys[i:j], counts[i:j])], pa.binary())], ["bucket", "data"])
 
     def write(batches):
-        from pyspark import TaskContext
-
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        keys = np.concatenate([k for k, _ in got]).view(np.uint64)
-        counts = np.concatenate([c for _, c in got])
-        number = TaskContext.get().partitionId()
-        context, child = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
-        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        total = Reader(trie).node_counts(order - 1, context[at])
-        taken = np.add.reduceat(counts - DISCOUNT, at)
-        many = np.diff(np.append(at, len(keys)))
-        last = child[np.append(at[1:], len(keys)) - 1] + np.uint64(1)  # the largest child of each context, from 1
-        base = np.concatenate([[np.uint64(0)], np.cumsum(last)[:-1]]).astype(np.uint64)
-        share = (counts - DISCOUNT) / np.repeat(total, many)
-        file = f"{folder}/level-{order}-{number:06d}"
-        _write(
-            file,
-            {
-                **_prefixed("context", EliasFano.of(context[at].astype(np.uint64))),
-                **_prefixed("pointer", EliasFano.of(np.append(at, len(keys)).astype(np.uint64))),
-                **_prefixed("child", EliasFano.of(np.repeat(base, many) + child + np.uint64(1))),
-                "share": quantise(share),
-                "g": quantise(1 - taken / total),
-                "count": counts,
-                "sieve": _sieve(keys),
-            },
-        )
-        ends = [0, -1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x], t) for x, t in ((number, pa.int64()), (file, pa.string()), (int(keys[0].view(np.int64)), pa.int64()), (len(keys), pa.int64()), ([int(context[at][e]) for e in ends], pa.list_(pa.int64())), ([int(at[e]) for e in ends], pa.list_(pa.int64())), ([float(taken[e] / total[e]) for e in ends], pa.list_(pa.float64())))],
-            ["number", "file", "first", "n", "contexts", "starts", "taken"],
-        )
-
-    rows = kept.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(lean(write), "number long, file string, first long, n long, contexts array<long>, starts array<long>, taken array<double>").collect()
+        for number, keys, counts in _merged_buckets(batches):
+            context, child = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
+            at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            total = Reader(trie).node_counts(order - 1, context[at])
+            taken = np.add.reduceat(counts - DISCOUNT, at)
+            many = np.diff(np.append(at, len(keys)))
+            last = child[np.append(at[1:], len(keys)) - 1] + np.uint64(1)  # the largest child of each context, from 1
+            base = np.concatenate([[np.uint64(0)], np.cumsum(last)[:-1]]).astype(np.uint64)
+            share = (counts - DISCOUNT) / np.repeat(total, many)
+            file = f"{folder}/level-{order}-{number:06d}"
+            _write(
+                file,
+                {
+                    **_prefixed("context", EliasFano.of(context[at].astype(np.uint64))),
+                    **_prefixed("pointer", EliasFano.of(np.append(at, len(keys)).astype(np.uint64))),
+                    **_prefixed("child", EliasFano.of(np.repeat(base, many) + child + np.uint64(1))),
+                    "share": quantise(share),
+                    "g": quantise(1 - taken / total),
+                    "count": counts.astype(np.uint32),
+                    "sieve": _sieve(keys),
+                },
+            )
+            ends = [0, -1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in ((number, pa.int64()), (file, pa.string()), (int(keys[0].view(np.int64)), pa.int64()), (len(keys), pa.int64()), ([int(context[at][e]) for e in ends], pa.list_(pa.int64())), ([int(at[e]) for e in ends], pa.list_(pa.int64())), ([float(taken[e] / total[e]) for e in ends], pa.list_(pa.float64())))],
+                ["number", "file", "first", "n", "contexts", "starts", "taken"],
+            )
+
+    rows = kept.select("data").mapInArrow(lean(cut), "bucket int, data binary").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(write), "number long, file string, first long, n long, contexts array<long>, starts array<long>, taken array<double>").collect()
     base, open_context, open_start, open_taken = 0, None, 0, 0.0
     for r in sorted(rows):
         level.shards.append((r.file, r.first, base))
