@@ -499,7 +499,7 @@ def extreme_pairs(s, x):
 @query
 def identity_of_table(s, x):
     docs = a.table(s, x, "labels")
-    return g.table_identity(docs, ["doc_id", "quality", "toxic"]).select("n")
+    return g.table_identity(docs, ["doc_id", "quality", "toxic"])
 
 
 @query
