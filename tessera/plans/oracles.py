@@ -33,7 +33,7 @@ docs AS (SELECT doc_id, source AS video_id, {toks(f("text"))} AS terms FROM docu
 ok AS (SELECT * FROM docs WHERE len(terms) > 0),
 stats AS (SELECT count(*) AS n, avg(len(terms)) AS m FROM ok),
 post AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS length FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM ok) GROUP BY doc_id, term),
-q AS (SELECT item_id AS query_id, {toks(f("text"))}[1:12] AS terms FROM benchmark),
+q AS (SELECT item_id AS query_id, {toks(f("text"))} AS terms FROM benchmark),
 qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(terms) AS term FROM q)),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 raw AS (
@@ -117,7 +117,7 @@ def _six(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n.split('.')[-1]}" for n in names)
 
 
-TFIDF = f"""d AS (SELECT doc_id, {toks(norm("text"))} AS t FROM documents), q AS (SELECT item_id AS query_id, {toks(norm("text"))}[1:12] AS t FROM benchmark),
+TFIDF = f"""d AS (SELECT doc_id, {toks(norm("text"))} AS t FROM documents), q AS (SELECT item_id AS query_id, {toks(norm("text"))} AS t FROM benchmark),
 dw AS (SELECT doc_id, ' ' || unnest(t) || ' ' AS w FROM d), qw AS (SELECT query_id, ' ' || unnest(t) || ' ' AS w FROM q),
 qg AS (SELECT query_id, unnest(flatten([[w[i : i + k - 1] FOR i IN range(1, greatest(len(w) - k + 1, 1) + 1)] FOR k IN range(3, greatest(least(5, len(w)), 3) + 1)])) AS g FROM qw),
 idf AS (SELECT g, ln((1.0 + (SELECT count(*) FROM q)) / (1 + count(DISTINCT query_id))) + 1 AS idf FROM qg GROUP BY g),
@@ -181,7 +181,7 @@ SQL: dict[str, str] = {
     "temporal_monotonic": "WITH x AS (SELECT user_id, event_id, epoch_us(ts) AS a, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, event_id, a AS \"at\", b AS before FROM x WHERE a < b",
     "row_contract": f"WITH {WIN} SELECT 'positive_duration' AS \"check\", count(*) FILTER (NOT end_s > start_s) AS violations FROM win UNION ALL SELECT 'start_not_negative', count(*) FILTER (NOT start_s >= 0) FROM win UNION ALL SELECT 'has_video', count(*) FILTER (video_id IS NULL) FROM win UNION ALL SELECT 'short_text', count(*) FILTER (NOT coalesce(len(text) < 200, false)) FROM win",
     "field_mismatches": "SELECT 'lang' AS field, count(*) FILTER (lang IS DISTINCT FROM 'en') AS mismatches FROM documents UNION ALL SELECT 'n_chars', count(*) FILTER (n_chars IS DISTINCT FROM len(text)) FROM documents",
-    "query_category_classify": f"WITH x AS (SELECT doc_id, lower(text[1:200]) AS l FROM documents) SELECT doc_id, CASE WHEN regexp_matches(l, '{_NUMBER}') OR regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}_])\\d+([.,]\\d+)?\\s*%[\\p{{L}}\\p{{N}}_]') THEN 'number_or_measurement' WHEN {' OR '.join(f'''contains(l, '{x}')''' for x in NAMED)} THEN 'person_organization_location' ELSE 'other' END AS category FROM x",
+    "query_category_classify": f"WITH x AS (SELECT doc_id, lower(text) AS l FROM documents) SELECT doc_id, CASE WHEN regexp_matches(l, '{_NUMBER}') OR regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}_])\\d+([.,]\\d+)?\\s*%[\\p{{L}}\\p{{N}}_]') THEN 'number_or_measurement' WHEN {' OR '.join(f'''contains(l, '{x}')''' for x in NAMED)} THEN 'person_organization_location' ELSE 'other' END AS category FROM x",
     "document_identity_hash": "SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}') AS identity FROM documents",
     "view_pivot_spread": f"WITH {RUNS}, p AS (SELECT stage_id, model_id, round(avg(runtime_s), 6) AS v FROM runs GROUP BY ALL) SELECT stage_id, round(max(v) - min(v), 6) AS spread FROM p GROUP BY stage_id",
     "value_counts_with_nulls": "SELECT lang, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
@@ -190,7 +190,7 @@ SQL: dict[str, str] = {
     "fraction_parse": "SELECT o_orderkey, round(CASE WHEN o_custkey % 5 <> 0 THEN (o_orderkey % 7)::DOUBLE / (o_custkey % 5) END, 6) AS value FROM orders",
     "video_id_checks": r"SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9._-]*$'), false) AS valid, regexp_matches(printf('K%02d_V%03d', page_id % 100, page_id), '^[KL]\d{2}_V\d{3}$') AS corpus_valid FROM pages",
     "extreme_pairs": f"WITH {METRICS}, x AS (SELECT candidate_method, query_id, round(video_rr_delta, 9) AS delta FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY candidate_method ORDER BY delta DESC, query_id) AS t, row_number() OVER (PARTITION BY candidate_method ORDER BY delta, query_id) AS b FROM x) SELECT candidate_method, query_id, round(delta, 6) AS delta FROM r WHERE t <= 5 OR b <= 5 OR delta < -0.5",
-    "identity_of_table": "SELECT count(*) AS n FROM labels",
+    "identity_of_table": f"WITH h AS (SELECT sha256('{{' || concat_ws(',', '\"doc_id\":' || doc_id, '\"quality\":' || quality, '\"toxic\":' || toxic) || '}}') AS h FROM labels) SELECT count(*) AS n, sha256(concat_ws(':', count(*), {', '.join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)" for k in range(8))})) AS digest FROM h",
     "latest_status": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "unit_aliases": "SELECT event_id, event_id || ' kg and ' || user_id || ' kg kg of kg' AS aliased FROM events",
 }
