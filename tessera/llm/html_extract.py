@@ -3,8 +3,9 @@
 Each block element of a page is a binary variable: part of the main content (or on the way to it) or not. A node's
 own potential is a logistic model of its tag, class and id words, length, links and place; a parent-child potential,
 by the parent's kind, ties neighbours. Sum-product messages upward from the leaves and downward from the root give
-each node's exact marginal, and text of nodes above one half is the page's text. Potentials are trained from
-labelled pages: html_pages makes a default set, and `train` takes any pages marked in the same way.
+each node's exact marginal, and text of nodes above one half is the page's text. Names weigh little where an element
+holds most of the text around it, so an article inside a `form` or a `section class="more"` is still one. Potentials are
+trained from labelled pages: html_pages makes a default set, and `train` takes any pages marked in the same way.
 
 One scan, no shuffle; a page is handled by itself, and the model (some hundred numbers) travels with the task.
 """
@@ -23,7 +24,8 @@ from tessera.llm.html_pages import CLOSE, OPEN, pages
 from tessera.llm.html_tree import Node, attributes, parse
 from tessera.llm.shared import lean, text_array
 
-TRAIN_PAGES = 800
+#: Made pages of the default model, and the share of odd ones among them.
+TRAIN_PAGES, TRAIN_ODD = 1500, 0.3
 
 # Words of class names, ids and roles, by what they say of an element.
 _SAYS = {
@@ -53,7 +55,10 @@ _TAGS = {
 }
 _KIND_OF_TAG = {t: k for k, ts in _TAGS.items() for t in ts}
 _WITHIN = (*_SAYS, "tag article", "tag nav", "tag header", "tag footer", "tag aside", "tag form")
-_NAMES = ["bias", *(f"tag {k}" for k in _TAGS), *(f"says {k}" for k in _SAYS), *(f"within {k}" for k in _WITHIN), "hidden", "length", "no text", "link share", "ends a sentence", "few words", "link list", "place", "depth"]
+#: what an element is called says less where the element holds most of the text around it: features of their own
+_MOST = " most"
+_NAMED = [f"{w} {k}{m}" for w, ks in (("says", _SAYS), ("within", _WITHIN)) for k in ks for m in ("", _MOST)]
+_NAMES = ["bias", *(f"tag {k}" for k in _TAGS), *_NAMED, "named prose", "named prose in article", "hidden", "length", "share", "no text", "link share", "ends a sentence", "few words", "link list", "link list in article", "place", "depth"]
 _AT = {x: k for k, x in enumerate(_NAMES)}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _said: dict[str, tuple[tuple[str, ...], bool]] = {}
@@ -73,60 +78,80 @@ def _says(text: str) -> tuple[tuple[str, ...], bool]:
     return known
 
 
-def parent_kind(node: Node) -> int:
-    """0 a box or the page, 1 an article, 2 a text block or list, 3 an element that names boilerplate."""
+def parent_kind(node: Node, most: bool = False) -> int:
+    """0 a box or the page, 1 an article, 2 a text block or list, 3 an element that names boilerplate. An element that
+    holds most of the text around it is taken for a box, whatever it is called."""
     kinds, _ = _says(node.attributes)
     tag = _KIND_OF_TAG.get(node.tag, "box")
     bad = any(k != "main" for k in kinds)
-    if bad or tag in ("nav", "footer", "aside", "form"):
+    if not most and (bad or tag in ("nav", "footer", "aside", "form")):
         return 3
     if tag == "article" or "main" in kinds:
         return 1
     return 2 if tag in ("prose", "list", "table", "heading", "header") else 0
 
 
-def features(nodes: list[Node]) -> list[tuple[list[int], list[float]]]:
+@dataclass
+class Around:
+    """Text below each node, and whether the node holds most of what is around it: at least half of its parent's text
+    and a fifth of its article's (of the page's, outside of articles)."""
+
+    chars: list[int]
+    links: list[int]
+    in_article: list[bool]
+    most: list[bool]
+
+    @classmethod
+    def of(cls, nodes: list[Node]) -> Around:
+        n = len(nodes)
+        chars, links = [x.own_chars for x in nodes], [x.link_chars for x in nodes]
+        for k in range(n - 1, 0, -1):
+            chars[nodes[k].parent] += chars[k]
+            links[nodes[k].parent] += links[k]
+        inside = [0] * n  # the innermost article around a node, or the root
+        for k in range(1, n):
+            p = nodes[k].parent
+            inside[k] = p if nodes[p].tag in ("article", "main") else inside[p]
+        most = [k > 0 and 2 * chars[k] >= chars[nodes[k].parent] > 0 and 5 * chars[k] >= chars[inside[k]] for k in range(n)]
+        return cls(chars, links, [x > 0 for x in inside], most)
+
+
+def features(nodes: list[Node], around: Around | None = None) -> list[tuple[list[int], list[float]]]:
     """Sparse features of each node, in _NAMES' places."""
-    n = len(nodes)
-    chars = [x.own_chars for x in nodes]
-    links = [x.link_chars for x in nodes]
-    for k in range(n - 1, 0, -1):
-        chars[nodes[k].parent] += chars[k]
-        links[nodes[k].parent] += links[k]
-    out, before, total = [], 0, max(1, chars[0])
-    around: list[frozenset[str]] = [frozenset()] * n  # what a node's ancestors say
+    around = around or Around.of(nodes)
+    out, before, total = [], 0, max(1, around.chars[0])
+    above: list[frozenset[str]] = [frozenset()] * len(nodes)  # what a node's ancestors say
     for k, x in enumerate(nodes):
         kinds, hidden = _says(x.attributes)
-        tag = "tag " + _KIND_OF_TAG.get(x.tag, "box")
+        tag = _KIND_OF_TAG.get(x.tag, "box")
+        chars, links, most = around.chars[k], around.links[k], around.most[k]
         if k:
-            above, said = nodes[x.parent], around[x.parent]
-            more = {*_says(above.attributes)[0], "tag " + _KIND_OF_TAG.get(above.tag, "box")}.intersection(_WITHIN) - said
-            around[k] = said | more if more else said
-        at = [0, _AT[tag], *(_AT["within " + a] for a in around[k])]
-        value = [1.0] * len(at)
-        for kind in kinds:
-            at.append(_AT["says " + kind])
-            value.append(1.0)
+            p = x.parent
+            said = {*_says(nodes[p].attributes)[0], "tag " + _KIND_OF_TAG.get(nodes[p].tag, "box")}.intersection(_WITHIN)
+            mark = _MOST if around.most[p] else ""
+            more = {f"within {w}{mark}" for w in said} - above[p]
+            above[k] = above[p] | more if more else above[p]
+        at = [0, _AT["tag " + tag], *(_AT[a] for a in above[k])]
+        at += [_AT[f"says {kind}{_MOST if most else ''}"] for kind in kinds]
+        if any(kind != "main" for kind in kinds):
+            if tag in ("prose", "heading"):
+                at.append(_AT["named prose in article" if around.in_article[k] else "named prose"])
         if hidden:
             at.append(_AT["hidden"])
-            value.append(1.0)
-        share = links[k] / chars[k] if chars[k] else 0.0
-        at += (_AT["length"], _AT["link share"], _AT["place"], _AT["depth"])
-        value += (math.log1p(chars[k]) / 8, share, before / total, min(x.depth, 10) / 10)
+        share = links / chars if chars else 0.0
         if not x.texts:
             at.append(_AT["no text"])
-            value.append(1.0)
         else:
             last = x.texts[-1][1]
             if last[-1] in ".!?…\"'”’)":
                 at.append(_AT["ends a sentence"])
-                value.append(1.0)
             if last.count(" ") < 4:
                 at.append(_AT["few words"])
-                value.append(1.0)
         if share > 0.6 and x.tag in ("ul", "ol", "li"):
-            at.append(_AT["link list"])
-            value.append(1.0)
+            at.append(_AT["link list in article" if around.in_article[k] else "link list"])
+        value = [1.0] * len(at)
+        at += (_AT["length"], _AT["share"], _AT["link share"], _AT["place"], _AT["depth"])
+        value += (math.log1p(chars) / 8, chars / total, share, before / total, min(x.depth, 10) / 10)
         before += x.own_chars
         out.append((at, value))
     return out
@@ -143,11 +168,12 @@ class PageModel:
         """Each node's probability of being content, exact on the tree; the root is content."""
         n, w = len(nodes), self.weights
         own0, own1 = [1.0] * n, [1.0] * n
-        for k, (at, value) in enumerate(features(nodes)):
+        around = Around.of(nodes)
+        for k, (at, value) in enumerate(features(nodes, around)):
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] * v for i, v in zip(at, value, strict=True))))))
             own0[k], own1[k] = max(1 - p, 1e-12), max(p, 1e-12)
         own0[0], own1[0] = 0.0, 1.0
-        kind = [parent_kind(x) for x in nodes]
+        kind = [parent_kind(x, m) for x, m in zip(nodes, around.most, strict=True)]
         up0, up1 = [1.0] * n, [1.0] * n  # from a node to its parent
         in0, in1 = own0[:], own1[:]  # own potential times what children sent
         for k in range(n - 1, 0, -1):
@@ -188,13 +214,14 @@ def labelled(page: str) -> tuple[list[Node], list[int]]:
     return nodes, state
 
 
-def train(marked: list[str], rounds: int = 60, decay: float = 3e-6) -> PageModel:
+def train(marked: list[str], rounds: int = 30, decay: float = 3e-7) -> PageModel:
     """Potentials from marked pages: logistic regression of nodes, and parent-child counts over the child's own rate."""
     rows, states, counts = [], [], np.full((4, 2, 2), 0.5)
     for page in marked:
         nodes, state = labelled(page)
-        kinds = [parent_kind(x) for x in nodes]
-        for k, x in enumerate(features(nodes)):
+        around = Around.of(nodes)
+        kinds = [parent_kind(x, m) for x, m in zip(nodes, around.most, strict=True)]
+        for k, x in enumerate(features(nodes, around)):
             if k == 0:
                 continue
             rows.append(x)
@@ -222,15 +249,16 @@ _default: list[PageModel] = []
 def default_model() -> PageModel:
     """The model of the made pages, trained once in a process."""
     if not _default:
-        _default.append(train(pages(TRAIN_PAGES)))
+        _default.append(train(pages(TRAIN_PAGES, odd=TRAIN_ODD)))
     return _default[0]
 
 
 def extract_text(web: DataFrame, model: PageModel | None = None) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (its code points), one row per input row.
 
-    A null or empty page gives an empty text; a page cut off anywhere is read as far as it goes; repeated pages are
-    read alike; other columns are not read.
+    A null or empty page gives an empty text; a page cut off anywhere is read as far as it goes; very long and deeply
+    nested pages are read whole, in time that grows with their length; repeated rows and equal page_ids are each read
+    alike; a table without rows gives none; other columns, whatever their names, are not read.
     """
     model = model or default_model()
     kinds = {c: web.schema[c].dataType.simpleString() for c in ("page_id", "url")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
@@ -18,7 +19,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose text is never shown as page text
-SILENT = frozenset("script style noscript template iframe object svg math canvas title textarea select option datalist button audio video head".split())
+SILENT = frozenset("script style noscript template iframe object svg canvas title textarea select option datalist button audio video head".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -38,6 +39,10 @@ _IMPLIED = {
 }
 
 
+#: end tags that reach beyond the innermost table cell
+_TABLE_ENDS = frozenset("tr tbody thead tfoot table body html".split())
+
+
 @dataclass
 class Node:
     """A block element. texts: its own runs of text as (order on the page, text)."""
@@ -55,10 +60,71 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text else {}
 
 
+class Open:
+    """The open elements of a page, innermost last. Everything that a tag asks of them takes constant or logarithmic
+    time, however deep they are: each name keeps the places where it is open, and blocks keep theirs."""
+
+    def __init__(self):
+        self.names = ["body"]
+        self.block_of = [0]  # the block node that each open element's text belongs to
+        self.places: dict[str, list[int]] = {"body": [0]}
+        self.blocks = [0]  # places of open block elements
+
+    def innermost(self, name: str) -> int:
+        held = self.places.get(name)
+        return held[-1] if held else -1
+
+    def push(self, name: str, block: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.block_of.append(block)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.block_of.pop()
+        if name:
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+        return name
+
+    def forget(self, name: str) -> int:
+        """Takes every open element of a name as not there; returns how many there were."""
+        held = self.places.pop(name, [])
+        for k in held:
+            self.names[k] = ""
+        return len(held)
+
+    def to_close(self, name: str) -> int:
+        """The place down to which an end tag closes, or 0: an end tag inside a table cell does not reach beyond it."""
+        at = self.innermost(name)
+        if name not in _TABLE_ENDS and at < max(self.innermost("td"), self.innermost("th"), self.innermost("table")):
+            return 0
+        return max(at, 0)
+
+    def implied(self, name: str) -> int:
+        """The place down to which a start tag closes what it implies the end of, or 0."""
+        at = 0
+        if name in _ENDS_P and self.names[self.blocks[-1]] == "p":
+            at = self.blocks[-1]
+        if name in _IMPLIED:
+            ends, stop = _IMPLIED[name]
+            limit = max(0, *(self.innermost(x) for x in stop))
+            for x in ends:
+                held = self.places.get(x, [])
+                k = bisect_right(held, limit)
+                if k < len(held) and (not at or held[k] < at):
+                    at = held[k]
+        return at
+
+
 def parse(page: str) -> list[Node]:
-    """Block elements in page order, the root (an unnamed body) first; text is decoded and its white space squeezed."""
+    """Block elements in page order, the root (an unnamed body) first; text is decoded and its white space squeezed.
+    Time grows with the page's length alone, whatever is nested or left open."""
     nodes = [Node("body", "", -1, 0)]
-    stack: list[tuple[str, int]] = [("body", 0)]  # open elements and their block
+    stack = Open()
     block, links, silent, order = 0, 0, 0, 0
     run: list[str] = []
     run_links = 0
@@ -76,15 +142,15 @@ def parse(page: str) -> list[Node]:
 
     def close(depth: int):
         nonlocal block, links, silent
-        while len(stack) > depth:
-            name, at = stack.pop()
+        while len(stack.names) > depth:
+            name = stack.pop()
             if name in BLOCK:
                 flush()
             elif name == "a":
                 links -= 1
             if name in SILENT:
                 silent -= 1
-            block = stack[-1][1]
+            block = stack.block_of[-1]
 
     def text(value: str):
         nonlocal run_links
@@ -109,12 +175,9 @@ def parse(page: str) -> list[Node]:
             break  # the page stops inside a tag
         name = name.lower()
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "table") and name not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-                    break
+            depth = stack.to_close(name)
+            if depth:
+                close(depth)
             continue
         if name in ("br", "hr", "wbr"):
             text("" if name == "wbr" else " ")
@@ -123,22 +186,9 @@ def parse(page: str) -> list[Node]:
             continue
         if name in VOID:
             continue
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if name in _IMPLIED:
-            ends, stop = _IMPLIED[name]
-            k, found = len(stack) - 1, 0
-            while k > 0 and stack[k][0] not in stop:
-                if stack[k][0] in ends:
-                    found = k
-                k -= 1
-            if found:
-                close(found)
+        depth = stack.implied(name)
+        if depth:
+            close(depth)
         if rest.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
@@ -155,11 +205,8 @@ def parse(page: str) -> list[Node]:
             block = len(nodes) - 1
         elif name == "a":
             links += 1
-        stack.append((name, block))
-        if name in ("article", "main", "section", "div", "p") and "head" in (s for s, _ in stack[:-1]):
-            # a head that was never closed
-            k = next(k for k, (s, _) in enumerate(stack) if s == "head")
-            stack.pop(k)
-            silent -= 1
+        stack.push(name, block)
+        if name in ("article", "main", "section", "div", "p") and stack.innermost("head") >= 0:
+            silent -= stack.forget("head")  # a head that was never closed
     flush()
     return nodes
