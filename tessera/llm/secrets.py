@@ -1,10 +1,11 @@
 """Secret scans: rules for known shapes, and sliding-window Shannon entropy for the rest.
 
-A candidate string is a maximal run of characters that keys are written with. For each character class (lower hex,
-upper hex, base64 text) a window slides over the candidate; the entropy of its characters is kept from counts that
-change by one character out and one in. Windows at or above the class's threshold are merged into a span, unless
-the allow-list suppresses it. Spans of the rules always stay; an entropy span that only repeats a rule's span is
-not given twice.
+A candidate string is a maximal run of characters that keys are written with. It is looked at once for each character
+class, over the runs of that class: hex of any case, lower case with digits, upper case with digits, and base64 text
+(its parts that are words or numbers, as in a path, do not count as key). A window slides over a run; the entropy of its
+characters is kept from counts that change by one character out and one in. Windows at or above the class's own
+threshold are merged into a span, unless the allow-list knows the span's text. Spans of the rules always stay; of an
+entropy span, what a rule or an earlier class has not covered is given.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,23 +26,33 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_lower", "entropy_upper", "entropy_base64")
 
 #: Candidate strings, by the characters of which keys are made.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Least entropy, in bits a character, of a window of each class.
-HEX_BITS, BASE64_BITS = 3.0, 3.9
+#: Runs of each class inside a candidate, and the least entropy, in bits a character, of a window.
+CLASSES = (
+    ("entropy_hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.0),
+    ("entropy_lower", re.compile(r"[0-9a-z]{20,}"), 3.5),
+    ("entropy_upper", re.compile(r"[0-9A-Z]{20,}"), 3.5),
+)
+BASE64_BITS = 3.9
 
-# Strings that look random and are not secrets.
+# Texts that look random and are not secrets.
 ALLOWED = re.compile(
     r"^[0-9]+$"  # numbers
     r"|^[A-Za-z]+$"  # letters only: words run together
+    r"|^[A-Za-z]+[0-9]+$|^[0-9]+[A-Za-z]+$"  # words with a number
     r"|(?i:example|sample|dummy|placeholder|changeme|lorem|0123456789|abcdefghij|x{6,})"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"  # UUID
     r"|^(?:[A-Za-z]+[-_/=+])+[A-Za-z]*[0-9]{0,4}$"  # words joined by signs: slugs and paths
     r"|^(?:[0-9]+[-_/=+])+[0-9]*$"  # dates, phone numbers
 )
+#: Parts of a candidate that are no part of a key: words and numbers between signs; at its ends, short ones too.
+_SIGN = re.compile(r"[+/_=-]")
+_WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}|[0-9]{1,10}")
+_SHORT = re.compile(r"|[A-Za-z]{1,3}|[A-Za-z]?[0-9]{1,3}")
 _BITS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -70,26 +82,75 @@ def windows_above(text: str, least: float) -> list[tuple[int, int]]:
     return spans
 
 
-_HEX_RUN = re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}")
+def minus(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What covered, sorted and without overlaps, leaves of [start, end)."""
+    out = []
+    k = bisect_right(covered, (start, start))
+    k -= k > 0 and covered[k - 1][1] > start
+    while k < len(covered) and covered[k][0] < end:
+        if covered[k][0] > start:
+            out.append((start, covered[k][0]))
+        start = max(start, covered[k][1])
+        k += 1
+    return [*out, (start, end)] if start < end else out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def key_parts(candidate: str) -> list[tuple[int, int]]:
+    """[start, end) of the parts of a candidate between words and numbers."""
+    parts: list[list[tuple[int, int]]] = [[]]
+    at = 0
+    for m in [*_SIGN.finditer(candidate), None]:
+        end = m.start() if m else len(candidate)
+        if _WORDLIKE.fullmatch(candidate, at, end):
+            parts.append([])
+        else:
+            parts[-1].append((at, end))
+        at = end + 1
+    out = []
+    for part in parts:
+        low, high = 0, len(part)
+        while low < high and _SHORT.fullmatch(candidate, *part[low]):
+            low += 1
+        while low < high and _SHORT.fullmatch(candidate, *part[high - 1]):
+            high -= 1
+        if low < high:
+            out.append((part[low][0], part[high - 1][1]))
+    return out
 
 
-def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of random-looking parts of the candidate strings."""
+def entropy_spans(text: str, covered: list[tuple[int, int]] = ()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of random-looking parts of the candidate strings, without what is covered already."""
     out = []
     for m in CANDIDATE.finditer(text):
         candidate, at = m.group(), m.start()
-        if ALLOWED.search(candidate):
+        if ALLOWED.fullmatch(candidate):
             continue
-        taken: list[tuple[int, int]] = []
-        for h in _HEX_RUN.finditer(candidate):
-            run = h.group()
-            if any(x.isdigit() for x in run) and any(x.isalpha() for x in run):
-                taken += [(a + h.start(), b + h.start()) for a, b in windows_above(run, HEX_BITS)]
-        out += [(at + a, at + b, "entropy_hex") for a, b in taken]
-        if any(x.isdigit() for x in candidate) and any("A" <= x <= "Z" for x in candidate) and any("a" <= x <= "z" for x in candidate):
-            for a, b in windows_above(candidate, BASE64_BITS):
-                if not any(c < b and a < d for c, d in taken):
-                    out.append((at + a, at + b, "entropy_base64"))
+        looked = [(kind, [(r.start(), r.end()) for r in runs.finditer(candidate) if not r.group().isdigit()], bits) for kind, runs, bits in CLASSES]
+        if any("A" <= x <= "Z" for x in candidate) and any("a" <= x <= "z" for x in candidate):
+            looked.append(("entropy_base64", key_parts(candidate), BASE64_BITS))
+        taken: list[tuple[int, int]] = []  # by the classes before
+        for kind, runs, bits in looked:
+            new = []
+            for low, high in runs:
+                run = candidate[low:high]
+                if not any(x.isdigit() for x in run):
+                    continue
+                for a, b in windows_above(run, bits):
+                    if not ALLOWED.search(run[a:b]):
+                        new += minus(a + low, b + low, taken)
+            for a, b in new:
+                out += [(x, y, kind) for x, y in minus(a + at, b + at, covered)]
+            taken = merged(taken + new)
     return out
 
 
@@ -109,8 +170,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     """(rule spans, all spans), each by start, then by kind as listed in KINDS; positions are code points."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(rule_spans(text), key=order)
-    more = [s for s in entropy_spans(text) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
-    return base, sorted(base + more, key=order)
+    return base, sorted(base + entropy_spans(text, merged([(a, b) for a, b, _ in base])), key=order)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -121,8 +181,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """Secrets of every whole text: one row per input row, in one pass and without a shuffle.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy, secrets (array of kind, start, end, text).
-    A null text counts as empty: no spans, and the digest of the empty string. Repeated rows are scanned alike;
-    other columns are not read.
+    A null text counts as empty: no spans, and the digest of the empty string. Very long texts are scanned whole, in time
+    that grows with their length; repeated rows are scanned alike, and of equal starts the kinds stand in KINDS' order; a
+    table without rows gives none; other columns, whatever their names, are not read. `secrets` holds the found texts
+    themselves: drop it, as the registered query does, where they must not travel on.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
