@@ -31,7 +31,7 @@ FROM words d LEFT JOIN hits h USING (doc_id) LEFT JOIN owners o USING (doc_id)
 
 OP4 = r"""
 WITH RECURSIVE keyed AS (
-  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS mix_id, coalesce('s' || source, '') AS mix_source,
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS mix_id, coalesce('s' || source, '') AS mix_source, md5(coalesce(text, '')) AS digest,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024 AS block
   FROM documents
@@ -63,19 +63,21 @@ one AS (
          CASE WHEN source_tokens > 0 THEN quota // source_tokens ELSE 1 END AS epochs,
          CASE WHEN source_tokens > 0 THEN quota % source_tokens ELSE 0 END AS rest
   FROM (SELECT *, floor(largest * pow(source_tokens / largest, a))::BIGINT AS quota FROM sources, chosen)
-), placed AS (
-  SELECT *, sum(block_tokens) OVER (PARTITION BY mix_source
-              ORDER BY ('0x' || substr(md5(mix_source || ':' || block || ':' || epochs), 1, 8))::BIGINT, block ROWS UNBOUNDED PRECEDING) AS ends
-  FROM blocks JOIN fit USING (mix_source)
-), every AS (SELECT * FROM keyed JOIN placed USING (mix_source, block)),
-edge AS (
-  SELECT *, sum(n_tokens) OVER (PARTITION BY mix_source, block
-              ORDER BY ('0x' || substr(md5(mix_id || ':' || epochs), 1, 8))::BIGINT, mix_id ROWS UNBOUNDED PRECEDING) AS used
-  FROM every WHERE ends > rest AND ends - block_tokens < rest
+), shown AS (SELECT *, unnest(range(epochs::BIGINT + 1)) AS epoch, ceil(block_tokens / 4194304)::BIGINT AS parts FROM blocks JOIN fit USING (mix_source)),
+placed AS (
+  SELECT *, row_number() OVER w AS block_rank, sum(block_tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS ends FROM shown
+  WINDOW w AS (PARTITION BY mix_source, epoch ORDER BY ('0x' || substr(md5(mix_source || ':' || block || ':' || epoch), 1, 8))::BIGINT, block)
+), every AS (
+  SELECT *, CASE WHEN parts > 1 THEN ('0x' || substr(md5(mix_id || ':part'), 1, 8))::BIGINT % parts ELSE 0 END AS part
+  FROM keyed JOIN placed USING (mix_source, block) WHERE epoch < epochs OR ends <= rest OR ends - block_tokens < rest
+), ordered AS (
+  SELECT *, row_number() OVER w AS place, sum(n_tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM every
+  WINDOW w AS (PARTITION BY mix_source, epoch, block
+    ORDER BY ('0x' || substr(md5(mix_source || ':' || block || ':' || part || ':' || epoch), 1, 8))::BIGINT, part,
+             ('0x' || substr(md5(mix_id || ':' || epoch), 1, 8))::BIGINT, mix_id, digest)
 )
-SELECT doc_id, source, n_tokens, unnest(range(epochs + CASE WHEN ends <= rest THEN 1 ELSE 0 END))::BIGINT AS epoch, block, exponent, weight FROM every
-UNION ALL
-SELECT doc_id, source, n_tokens, epochs::BIGINT, block, exponent, weight FROM edge WHERE used <= rest - ends + block_tokens
+SELECT doc_id, source, n_tokens, epoch, block, block_rank, place, exponent, weight FROM ordered
+WHERE epoch < epochs OR ends <= rest OR used <= rest - ends + block_tokens
 """
 
 SQL = {"op4_mix_sources": OP4, "op9_decontaminate": OP9}
