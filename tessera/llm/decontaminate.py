@@ -7,66 +7,77 @@ window then fixes the window's only possible place in the document (positional b
 (length bound). What is left is verified word by word, first by hash and then by bytes.
 
 Shape: documents are only scanned, once for the rarity of the benchmark's words and once for the join; no
-document row is shuffled. The benchmark is held in blocks of at most ``BLOCK_BYTES`` of text. One block is
-broadcast; more are written to the shared folder and each batch of documents meets them one after another, so
-memory stays bounded for any size of the benchmark.
+document row is shuffled. The benchmark is cut into blocks of about BLOCK_BYTES of text by item. Tasks make the blocks,
+index them by the counted rarity, and keep them in the shared folder; a batch of documents meets them one after
+another. The driver sees the blocks' numbers only, so its memory and a task's stay bounded for any benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import lean, shared_folder, slices, text_array
+from tessera.llm.shared import lean, put_in_place, shared_folder, slices, text_array
 from tessera.llm.textvec import NOT_WORD, Words, words
 
 WINDOW = 8
-#: Text bytes of the benchmark that one block holds at most (one item alone may be longer).
-BLOCK_BYTES = 32 << 20
+#: Text bytes of the benchmark that one block holds, about (one item alone may be longer).
+BLOCK_BYTES = 8 << 20
 #: Candidate windows verified at a time.
 CHUNK = 1 << 18
 
 
 class Block:
-    """Windows of some benchmark items and, once rarity is known, their index by rarest word."""
+    """Windows of some benchmark items in arrays and, once rarity is known, their index by rarest word."""
 
     def __init__(self, items: list[tuple[str, str]]):
         self.ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.ids)}
-        texts = pa.array([t for _, t in items], pa.large_string())
-        w = words(texts, NOT_WORD, lower=True)
-        grams: dict[tuple[bytes, ...], set[int]] = {}
-        for k, (item, _) in enumerate(items):
-            own = [w.bytes_of(i) for i in range(w.first[k], w.first[k + 1])]
-            size = min(WINDOW, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                grams.setdefault(tuple(own[i : i + size]), set()).add(number[item])
-        self.grams = list(grams)
-        self.owners = [np.array(sorted(x), dtype=np.int64) for x in grams.values()]
-        vocabulary = sorted({x for g in self.grams for x in g})
-        coded = words(pa.array([v.decode("utf-8") for v in vocabulary], pa.large_string()), NOT_WORD).hash
-        self.word_hash = dict(zip(vocabulary, coded.tolist(), strict=True))
-        self.hashes = np.unique(coded)
-
-    def index(self, counts: dict[int, int]) -> None:
-        """Windows by their rarest word: hash of the word, its place, the window's length and hashes."""
-        n = len(self.grams)
-        pivot, self.offset, self.length = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.codes = np.zeros((n, WINDOW), np.uint64)
-        for k, g in enumerate(self.grams):
-            codes = [self.word_hash[x] for x in g]
-            at = min(range(len(g)), key=lambda i: (counts.get(codes[i], 0), codes[i], i))
-            pivot[k], self.offset[k], self.length[k] = codes[at], at, len(g)
-            self.codes[k, : len(g)] = codes
+        w = words(pa.array([t for _, t in items], pa.large_string()), NOT_WORD, lower=True)
+        known: dict[bytes, int] = {}
+        at = np.fromiter((known.setdefault(w.bytes_of(i), len(known)) for i in range(len(w.hash))), np.int32, len(w.hash))
+        self.vocabulary = np.frombuffer(b"".join(known), dtype=np.uint8)  # the words' bytes, one after another
+        self.word_ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)))])
+        self.word_hash = np.zeros(len(known), np.uint64)
+        self.word_hash[at] = w.hash
+        sizes = np.minimum(w.count(), WINDOW)
+        many = np.where(sizes > 0, w.count() - sizes + 1, 0)
+        item = np.repeat(np.arange(len(items)), many)
+        first = np.repeat(w.first[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        held = np.arange(WINDOW)[None, :] < sizes[item][:, None]
+        rows = np.where(held, at[np.minimum(first[:, None] + np.arange(WINDOW), max(len(at) - 1, 0))] if len(at) else -1, -1).astype(np.int32)
+        self.windows, of = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows.reshape(0, WINDOW), np.zeros(0, np.int64))
+        self.length = (self.windows >= 0).sum(axis=1)
+        owner = np.fromiter((number[i] for i, _ in items), np.int64, len(items))[item]
+        pairs = np.unique(of.reshape(-1).astype(np.int64) * len(self.ids) + owner)
+        self.owner = pairs % max(len(self.ids), 1)  # items of each window, one after another
+        self.owner_ends = np.searchsorted(pairs, np.arange(len(self.windows) + 1) * len(self.ids))
+        self.hashes = np.unique(self.word_hash)
+
+    def index(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Windows by their rarest word, given the counts of some word hashes in the corpus (of the others: 0)."""
+        total = np.zeros(len(self.hashes), np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, codes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[place] == codes if len(self.hashes) else np.zeros(len(codes), bool)
+        np.add.at(total, place[known], counts[known])
+        own = total[np.searchsorted(self.hashes, self.word_hash)]
+        rank = np.empty(len(own) + 1, np.int64)
+        rank[np.lexsort((self.word_hash, own))] = np.arange(len(own))
+        rank[-1] = len(own)  # of the places behind a short window's end
+        self.codes = np.append(self.word_hash, np.uint64(0))[self.windows]
+        self.offset = rank[self.windows].argmin(axis=1) if len(self.windows) else np.zeros(0, np.int64)
+        pivot = self.codes[np.arange(len(self.windows)), self.offset]
         self.order = np.argsort(pivot, kind="stable")
         self.pivots, self.at = np.unique(pivot[self.order], return_index=True)
-        self.at = np.append(self.at, n)
+        self.at = np.append(self.at, len(pivot))
         self.sieve = np.zeros(1 << 16, dtype=bool)
         self.sieve[(self.pivots & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -96,106 +107,176 @@ class Block:
                 at = np.minimum(first + k, len(w.hash) - 1)
                 ok = ~in_window | (w.hash[at] == self.codes[window, k])
                 first, window = first[ok], window[ok]
-            exact = np.fromiter((self._same(w, f, k) for f, k in zip(first.tolist(), window.tolist(), strict=True)), bool, len(first))
+            exact = self._same(w, first, window)
             yield first[exact], window[exact]
             low = high
 
-    def _same(self, w: Words, first: int, window: int) -> bool:
-        return all(w.bytes_of(first + k) == x for k, x in enumerate(self.grams[window]))
+    def _same(self, w: Words, first: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Whether the words from `first` on are those of the windows, by their bytes."""
+        same = np.ones(len(first), dtype=bool)
+        for k in range(WINDOW):
+            at = np.flatnonzero(same & (self.length[window] > k))
+            word, own = first[at] + k, self.windows[window[at], k]
+            size = w.end[word] - w.start[word]
+            equal = size == self.word_ends[own + 1] - self.word_ends[own]
+            same[at[~equal]] = False
+            at, word, own, size = at[equal], word[equal], own[equal], size[equal]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            unlike = w.data[np.repeat(w.start[word], size) + step] != self.vocabulary[np.repeat(self.word_ends[own], size) + step]
+            same[np.repeat(at, size)[unlike]] = False
+        return same
+
+
+def _put(path: str, block: Block) -> None:
+    """A block's file, complete or not there: a task that is run again puts an equal one in its place."""
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(path)
+    hidden = f"{inside}.{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as f:
+        f.write(pickle.dumps(block))
+    put_in_place(store, hidden, inside)
 
 
-class _Blocks:
-    """Blocks by broadcast (one) or from the shared folder (several, one in memory at a time)."""
+_last: tuple[str, Block] | None = None
 
-    def __init__(self, broadcast=None, paths: tuple[str, ...] = ()):
-        self.broadcast, self.paths = broadcast, paths
 
-    def __iter__(self) -> Iterator[Block]:
-        if self.broadcast is not None:
-            yield self.broadcast.value
+def _get(path: str) -> Block:
+    """A block from the shared folder; a task keeps the last one, so it reads a benchmark of one block once."""
+    global _last
+    if _last is None or _last[0] != path:
+        _last = None
         from pyarrow import fs
 
-        for path in self.paths:
-            store, inside = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inside) as f:
-                yield pickle.loads(f.read())
+        store, inside = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(inside) as f:
+            _last = (path, pickle.loads(f.read()))
+    return _last[1]
+
+
+def forget() -> None:
+    """Drops the kept block."""
+    global _last
+    _last = None
+
+
+@dataclass(frozen=True)
+class Held:
+    """Blocks in the shared folder, by number."""
+
+    folder: str
+    numbers: tuple[int, ...]
+    kind: str
+
+    def path(self, number: int) -> str:
+        return f"{self.folder}/{number:06d}.{self.kind}"
+
+    def __iter__(self) -> Iterator[tuple[int, Block]]:
+        for number in self.numbers:
+            yield number, _get(self.path(number))
 
 
-def _hold(spark: SparkSession, blocks: list[Block]) -> _Blocks:
-    if len(blocks) == 1:
-        return _Blocks(spark.sparkContext.broadcast(blocks[0]))
+def _groups(batches) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(number, rows) of batches sorted by their first column."""
+    current, rows = None, []
+    for batch in batches:
+        number = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if rows and number[a] != current:
+                yield current, rows
+                rows = []
+            current = int(number[a])
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        yield current, rows
+
+
+def _cut_blocks(benchmark: DataFrame) -> Held:
+    """Blocks of the benchmark, made by tasks: items fall into them by a hash of their id."""
+    spark = benchmark.sparkSession
+    folder = shared_folder(spark, "benchmark")
     from pyarrow import fs
 
-    folder, paths = shared_folder(spark, "benchmark-blocks"), []
     store, inside = fs.FileSystem.from_uri(folder)
     store.create_dir(inside)
-    for k, block in enumerate(blocks):
-        with store.open_output_stream(f"{inside}/{k}.pickle") as f:
-            f.write(pickle.dumps(block))
-        paths.append(f"{folder}/{k}.pickle")
-    return _Blocks(None, tuple(paths))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK_BYTES))
+    held = Held(folder, (), "words")
 
+    def make(batches):
+        for number, parts in _groups(batches):
+            block = Block([x for p in parts for x in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True)])
+            if len(block.windows):
+                _put(held.path(number), block)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], ["number"])
+
+    dealt = rows.select(F.pmod(F.xxhash64("i"), F.lit(n)).alias("number"), "i", "t").repartition(int(n), "number").sortWithinPartitions("number", "i", "t")
+    numbers = sorted(r.number for r in dealt.mapInArrow(lean(make), "number long").collect())
+    return Held(folder, tuple(numbers), "words")
+
+
+def _count_rarity(docs: DataFrame, held: Held) -> DataFrame:
+    """(number, code, n): how often each block's words occur in docs."""
 
-def _read_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """Items as text pairs, in blocks of bounded size; partitions reach the driver one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _count_rarity(docs: DataFrame, held: _Blocks) -> DataFrame:
     def count(batches):
-        totals: dict[int, int] = {}
+        totals: dict[int, np.ndarray] = {}
+        hashes: dict[int, np.ndarray] = {}
         for batch in batches:
             texts = text_array(batch)
             for a, b in slices(texts):
                 found = words(texts.slice(a, b - a), NOT_WORD, lower=True).hash
-                for block in held:
-                    slot = np.minimum(np.searchsorted(block.hashes, found), len(block.hashes) - 1)
-                    hit = np.bincount(slot[block.hashes[slot] == found], minlength=len(block.hashes))
-                    for k in np.flatnonzero(hit).tolist():
-                        code = int(block.hashes[k])
-                        totals[code] = totals.get(code, 0) + int(hit[k])
-        codes = np.array(list(totals), dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(list(totals.values()), pa.int64())], ["code", "n"])
+                for number, block in held:
+                    own = hashes.setdefault(number, block.hashes)
+                    slot = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                    totals[number] = totals.get(number, 0) + np.bincount(slot[own[slot] == found], minlength=len(own))
+        for number, n in totals.items():
+            hit = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), number)), pa.array(hashes[number][hit].view(np.int64)), pa.array(n[hit])], ["number", "code", "n"])
 
-    partial = docs.select("text").mapInArrow(lean(count), "code long, n long")
-    return partial.groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(count), "number long, code long, n long").groupBy("number", "code").agg(F.sum("n").alias("n"))
 
 
-def _index(docs: DataFrame, benchmark: DataFrame) -> _Blocks:
+def _index(docs: DataFrame, benchmark: DataFrame) -> Held:
     """The benchmark's windows by their rarest words in docs, held for the join."""
     spark = docs.sparkSession
-    blocks = [b for b in (Block(items) for items in _read_blocks(benchmark)) if b.grams]
-    if not blocks:
-        return _Blocks()
-    counts = {r.code & (2**64 - 1): r.n for r in _count_rarity(docs, _hold(spark, blocks)).toLocalIterator()}
-    for block in blocks:
-        block.index(counts)
-    return _hold(spark, blocks)
+    held = _cut_blocks(benchmark)
+    if not held.numbers:
+        return held
+    indexed = replace(held, kind="index")
+
+    def make(batches):
+        for number, parts in _groups(batches):
+            block = _get(held.path(number))
+            block.index(np.concatenate([p.column(1).to_numpy() for p in parts]).view(np.uint64), np.concatenate([p.column(2).to_numpy() for p in parts]))
+            _put(indexed.path(number), block)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], ["number"])
+
+    every = spark.createDataFrame([(k, 0, 0) for k in held.numbers], "number long, code long, n long")  # blocks without any count too
+    rows = _count_rarity(docs, held).unionByName(every).repartition(len(held.numbers), "number").sortWithinPartitions("number", "code")
+    rows.mapInArrow(lean(make), "number long").agg(F.count("*")).collect()
+    return indexed
 
 
-def _judge(texts: pa.LargeStringArray, held: _Blocks) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def _judge(texts: pa.LargeStringArray, held: Held) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """Words, words hit and items of each text."""
     n_words, n_hit, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for a, b in slices(texts):
         w = words(texts.slice(a, b - a), NOT_WORD, lower=True)
         covered = np.zeros(len(w.hash) + 1, dtype=np.int64)
         found: dict[int, set[str]] = {}
-        for block in held:
+        for _, block in held:
             for first, window in block.matches(w):
                 np.add.at(covered, first, 1)
                 np.add.at(covered, first + block.length[window], -1)
                 doc = np.searchsorted(w.first, first, side="right") - 1
-                for d, k in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                    found.setdefault(d, set()).update(block.ids[x] for x in block.owners[k])
+                low, many = block.owner_ends[window], block.owner_ends[window + 1] - block.owner_ends[window]
+                owner = block.owner[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                for x in np.unique(np.repeat(doc, many) * len(block.ids) + owner).tolist():
+                    found.setdefault(x // len(block.ids), set()).add(block.ids[x % len(block.ids)])
         hits = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
         n_words.append(w.count())
         n_hit.append(hits[w.first[1:]] - hits[w.first[:-1]])
@@ -207,9 +288,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     """Words of each document that lie in a benchmark window, and the items they come from.
 
     Returns one row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_items >=
-    min_items), items (their sorted ids). Null and empty texts have no words and no hits; repeated documents and
-    repeated items are each judged alike; items without words or without an id have no windows; other columns of
-    the inputs are not read.
+    min_items), items (their sorted ids). Null and empty texts have no words and no hits; very long texts are read whole;
+    repeated documents and repeated items are each judged alike; items without words or without an id have no windows;
+    a table without rows gives none, and without items nothing is hit; other columns of the inputs, whatever their
+    names, are not read.
     """
     held = _index(docs, benchmark)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -88,9 +88,14 @@ def release_memory() -> None:
     import ctypes
     import gc
 
+    import sys
+
     from tessera.llm import textvec
 
     textvec.forget()
+    blocks = sys.modules.get("tessera.llm.decontaminate")
+    if blocks is not None:
+        blocks.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

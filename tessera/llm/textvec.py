@@ -30,6 +30,8 @@ def mix64(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(32))
 
 
+#: Bytes that are hashed at a time; a longer single word is a span of its own.
+SPAN_BYTES = 4 << 20
 _TABLE = _splitmix(256, 7)
 _BASE = 0xA24BAED4963EE407  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -105,15 +107,43 @@ def raw_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, a: int, most: int) -> int:
+    """The end of a span from a on that cuts no word: at most `most` bytes long, or as long as its one word asks for."""
+    n = len(data)
+    low, high = a, min(n, a + most)
+    while high < n:
+        between = np.flatnonzero(separators[data[low:high]])
+        text = int(offsets[np.searchsorted(offsets, high, side="right") - 1])
+        at = max(text, low + int(between[-1]) + 1 if len(between) else 0)
+        if at > a:
+            return at
+        low, high = high, min(n, high + most)
+    return n
+
+
 def words(texts: pa.LargeStringArray, separators: np.ndarray, lower: bool = False) -> Words:
-    """Words of each text, in order."""
+    """Words of each text, in order. The arrays besides a byte and the words themselves are of one span at a time, so a
+    very long text takes little more than its own size."""
     data, offsets = raw_bytes(texts)
     if lower:
         data = LOWER[data]
     n = len(data)
-    if n == 0:
-        zero = np.zeros(0, np.int64)
-        return Words(data, zero, zero, zero.astype(np.uint64), np.zeros(len(offsets), np.int64), offsets)
+    starts, ends, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    a = 0
+    while a < n:
+        b = _cut(data, offsets, separators, a, SPAN_BYTES)
+        start, end, code = _words_of(data[a:b], offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a, separators)
+        starts.append(start + a)
+        ends.append(end + a)
+        codes.append(code)
+        a = b
+    start, end, code = (x[1] if len(x) == 2 else np.concatenate(x) for x in (starts, ends, codes))
+    return Words(data, start, end, code, np.searchsorted(start, offsets), offsets)
+
+
+def _words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a span; texts begin at offsets."""
+    n = len(data)
     inside = ~separators[data]
     fresh = np.zeros(n + 1, dtype=bool)  # a text begins here
     fresh[offsets] = True
@@ -129,7 +159,7 @@ def words(texts: pa.LargeStringArray, separators: np.ndarray, lower: bool = Fals
         np.cumsum(_TABLE[data] * _power(_BASE, n)[:n], dtype=np.uint64, out=sums[1:])
         code = (sums[end] - sums[start]) * _power(_INVERSE, n)[start]
         code = mix64(code + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return Words(data, start, end, code, np.searchsorted(start, offsets), offsets)
+    return start, end, code
 
 
 def combine(*columns: np.ndarray) -> np.ndarray:
