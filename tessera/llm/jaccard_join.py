@@ -11,25 +11,35 @@ around a passage that many texts share, are split again on freshly sampled shing
 is then still large is truly similar and is compared in blocks. Runs are as many as the target recall needs at the
 second level (see runs_for). Sketches only drop pairs that are six standard deviations below the similarity.
 
-A bucket gives a star for each group of similar nodes in it, not pairs. The candidates' components are then verified exactly: the
-texts of their nodes are read again, and all pairs inside a component are compared on whole sets, in blocks of
-BLOCK nodes, so links that a run missed inside a component are found too. Out come link counts and stars
-again; their components are the classes. No step holds more than two blocks of sets, none is capped, and no
-link, class or fingerprint reaches the driver.
+A bucket gives a star for each group of similar nodes in it, not pairs. The candidates' components are then verified
+exactly: the texts of their nodes are read again, and all pairs inside a component are compared on whole sets, in blocks
+of BLOCK nodes, so links that a run missed inside a component are found too. Out come link counts and stars again; their
+components are the classes. No step holds more than two blocks of sets, none is capped, and no link, class or
+fingerprint reaches the driver.
+
+A group of more than one block is shuffled once: each block is a file in the shared folder, and a task that compares
+two blocks reads their files, so what is shuffled grows with the group and not with its square. Keys with many rows
+(paths, components, sets) meet their one row by broadcast or, where there are too many such keys, by salt.
+
+Recall. A pair of equal sizes at the similarity is compared with probability 0.9999995, 0.9999, 0.9995 and 0.9983 if
+its bucket is found at the first to the fourth level (after no, one, two and three splits); more similar pairs, and
+pairs in one component, do better.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import checkpoint_root, lean, slices, text_array
+from tessera.llm.shared import checkpoint_root, lean, put_in_place, shared_folder, slices, text_array
 from tessera.llm.textvec import WHITE, _splitmix, combine, mix64, words
 
 SHINGLE = 5
@@ -41,6 +51,8 @@ SMALL, DEPTH, BLOCK = 256, 3, 512
 CHUNK = 1 << 19
 #: As many ids as are broadcast at most, to find the candidates' texts again; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: As many keys with more than SMALL rows as are broadcast at most, and salts of a key beyond that.
+BROADCAST_KEYS, SALTS = 500_000, 32
 
 _A = _splitmix(SKETCH, 101) | np.uint64(1)
 
@@ -231,18 +243,81 @@ def _compare_sketches(least: float) -> Callable:
     return f
 
 
-def _in_blocks(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
-    """Rows with (key, i, j): each pair of blocks of a group once, each row in every pair that its block is in."""
+def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows inner-joined with table, which has one row a key. counts: (key, n), the rows of each key. The rows of a key
+    with more than SMALL of them stay where they are, or are dealt by salt: no task gets a key whole."""
+    hot = table.join(counts.where(F.col("n") > SMALL).select(key), key, "left_semi").withColumn("hot", F.lit(True)).checkpoint()
+    if hot.count() <= BROADCAST_KEYS:
+        marked = rows.join(F.broadcast(hot), key, "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)))
+        marked = salted.join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "salt"], "left")
+    columns = [*rows.columns, *(c for c in table.columns if c != key)]
+    return marked.where("hot").select(*columns).unionByName(marked.where("hot is null").select(*rows.columns).join(table, key).select(*columns))
+
+
+def _blocks(size: str, most: int) -> tuple[Column, Column]:
+    """The blocks of a row's group, and the one that it is in."""
     blocks = F.greatest(F.ceil(F.col(size) / most), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    return (
-        rows.withColumn("n_blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .drop("n_blocks", "other", size)
-    )
+    return blocks, F.pmod(F.xxhash64("sig"), blocks).cast("int")
+
+
+def compared(rows: DataFrame, key: str, most: int, compare: Callable, schema: str) -> DataFrame:
+    """compare over all pairs of blocks of each group. rows: key (a long), n (of the group), sig and what compare reads;
+    compare gets batches of (key, i, j, own, sig, ..) sorted by the first three."""
+    payload = [c for c in rows.columns if c not in (key, "n", "sig")]
+    columns = [key, "i", "j", "own", "sig", *payload]
+    zero = F.lit(0)
+    one = rows.where(F.col("n") <= most).select(key, zero.alias("i"), zero.alias("j"), zero.alias("own"), "sig", *payload)
+    out = one.repartition(key).sortWithinPartitions(key).mapInArrow(lean(compare), schema)
+    large = rows.where(F.col("n") > most)
+    if not large.limit(1).count():
+        return out
+    spark = rows.sparkSession
+    folder = shared_folder(spark, "blocks")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path)
+    blocks, own = _blocks("n", most)
+
+    def write(batches):
+        place, at = fs.FileSystem.from_uri(folder)
+        for table in groups_of(batches, 2):
+            starts = _group_starts(table, 2)
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                part = table.slice(a, b - a)
+                file = f"{at}/{part.column(0)[0].as_py() & (2**64 - 1):016x}-{part.column(1)[0].as_py()}"
+                hidden = f"{file}.{uuid.uuid4().hex}"
+                with place.open_output_stream(hidden) as f, pa.ipc.new_stream(f, part.schema) as s:
+                    s.write_table(part)
+                put_in_place(place, hidden, file)
+            yield pa.RecordBatch.from_arrays([table.column(0).take(starts[:-1]).combine_chunks(), table.column(2).take(starts[:-1]).combine_chunks()], ["g", "blocks"])
+
+    def read(place, file: str) -> list[pa.Table]:
+        if place.get_file_info(file).type != fs.FileType.File:  # a block that no row fell into
+            return []
+        with place.open_input_stream(file) as f:
+            return [pa.ipc.open_stream(f).read_all()]
+
+    def pairs(batches):
+        place, at = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for g, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = [t for k in sorted({i, j}) for t in read(place, f"{at}/{g & (2**64 - 1):016x}-{k}")]
+                if not held:
+                    continue
+                both = pa.concat_tables(held).combine_chunks()
+                n = both.num_rows
+                arrays = [pa.array(np.full(n, g)), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, j, np.int32)), both.column("own").combine_chunks(), both.column("sig").combine_chunks(), *(both.column(c).combine_chunks() for c in payload)]
+                yield from compare(iter([pa.RecordBatch.from_arrays(arrays, columns)]))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = large.select(F.col(key).alias("g"), own.alias("own"), blocks.alias("blocks"), "sig", *payload).repartition("g", "own").sortWithinPartitions("g", "own")
+    assert types[key] == "bigint"
+    groups = dealt.mapInArrow(lean(write), "g long, blocks int").distinct().checkpoint()
+    each = groups.select("g", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i")).select("g", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
+    return out.unionByName(each.repartition("g", "i", "j").mapInArrow(lean(pairs), schema))
 
 
 def _verify(similarity: float) -> Callable:
@@ -311,13 +386,16 @@ def _sets_of(batches):
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Near-duplicate classes: one row per input row with doc_id, class_id, n_links, n_copies.
+    """Near-duplicate classes: one row per input row with doc_id, class_id, n_links, n_copies, sig (a digest of its set,
+    null without one).
 
     Two documents are linked if their shingle sets have a Jaccard similarity of `similarity` or more. class_id is
     the smallest doc_id of the documents that links lead to; n_links counts the other documents that are linked,
     copies among them; n_copies the documents of the same set, itself included. A null or empty text, or one of
     white space, has no shingles: it is a class of its own with no links. Repeated rows are copies. A null doc_id is
-    treated like any other row but never names a class unless all are null. Other columns are not read.
+    treated like any other row but never names a class unless all are null. A doc_id may come with several texts: each
+    is a row of its own class. Very long texts are read whole; a table without rows gives none; other columns, whatever
+    their names, are not read.
     """
     spark = docs.sparkSession
     checkpoint_root(spark)
@@ -336,63 +414,73 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     leaves = None
     for level in range(2, DEPTH + 2):
         paths = paths.checkpoint()
-        sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = paths.join(sizes, "path").checkpoint()
+        sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+        sized = hot_join(paths, sizes, "path", sizes).checkpoint()
         last = level == DEPTH + 1
-        small = sized if last else sized.where(F.col("n") <= SMALL)
-        small = small.select("path", "sig", "n")
+        small = (sized if last else sized.where(F.col("n") <= SMALL)).select("path", "sig", "n")
         leaves = small if leaves is None else leaves.unionByName(small)
         if last or not sized.where(F.col("n") > SMALL).limit(1).count():
             break
         large = sized.where(F.col("n") > SMALL).select("path", "run", "sig").join(nodes.select("sig", "sample"), "sig")
         paths = large.select("path", "run", "sig", "sample").mapInArrow(lean(_next_paths(level, similarity)), "path long, run int, sig string")
-    compared = _in_blocks(leaves.join(marks, "sig"), "path", "n", SMALL).select("path", "i", "j", "sig", "sketch")
-    compared = compared.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    candidates = connected_components(compared.mapInArrow(lean(_compare_sketches(least)), "a string, b string"))
-    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("n")), "component")
-    wanted = sized.join(nodes.select("sig", "rep", "copies"), sized.node == nodes.sig).select("component", "n", "sig", "rep", "copies").checkpoint()
+    stars = compared(leaves.join(marks, "sig").select("path", "n", "sig", "sketch"), "path", SMALL, _compare_sketches(least), "a string, b string")
+    candidates = connected_components(stars).select(F.col("node").alias("sig"), "component").checkpoint()
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("n")).checkpoint()
+    wanted = hot_join(candidates, sizes, "component", sizes).join(nodes.select("sig", "rep", "copies"), "sig").select("component", "n", "sig", "rep", "copies").checkpoint()
     ids = wanted.select(F.col("rep").alias("wanted_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     again = slim.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     sets = again.mapInArrow(lean(_sets_of), "sig string, set binary")
-    parts = _in_blocks(wanted.drop("rep").join(sets, "sig"), "component", "n", BLOCK).select(F.xxhash64("component").alias("c"), "i", "j", "own", "sig", "copies", "set")
-    parts = parts.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    found = parts.mapInArrow(lean(_verify(similarity)), "a string, b string, links long").checkpoint()
+    parts = wanted.drop("rep").join(sets, "sig").select(F.xxhash64("component").alias("c"), "n", "sig", "copies", "set")
+    found = compared(parts, "c", BLOCK, _verify(similarity), "a string, b string, links long").checkpoint()
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.where("b is not null").select("a", "b"))
-    named = classes.join(nodes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_rep"))
-    by_node = classes.join(named, "component").select(F.col("node").alias("linked"), "class_rep")
+    classes = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("sig"), "component").checkpoint()
+    named = classes.join(nodes.select("sig", "rep"), "sig").groupBy("component").agg(F.min("rep").alias("class_rep"), F.count("*").alias("n")).checkpoint()
+    by_node = hot_join(classes, named.select("component", "class_rep"), "component", named).select(F.col("sig").alias("linked"), "class_rep")
     full = (
         nodes.select("sig", "rep", "copies")
         .join(by_node, F.col("sig") == F.col("linked"), "left")
         .join(links, F.col("sig") == F.col("a"), "left")
-        .select("sig", F.coalesce("class_rep", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    )
-    return (
-        rows.select("doc_id", "sig")
-        .join(full, "sig", "left")
-        .select(
-            "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        )
+        .select("sig", F.coalesce("class_rep", "rep").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .checkpoint()
     )
+    known = hot_join(rows.select("doc_id", "sig").where("sig is not null"), full, "sig", full.select("sig", F.col("n_copies").alias("n")))
+    alone = rows.where("sig is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "sig")
+    return known.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", "n_copies", "sig").unionByName(alone)
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    """A table of ids, broadcast after a check of its size."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
+def _with_signature(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, sig) of whole rows."""
+
+    def f(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([signature(s) for s in shingle_sets(text_array(batch))], pa.string())], ["row", "doc_id", "sig"])
+
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    return packed.mapInArrow(lean(f), T.StructType([*packed.schema.fields[:2], T.StructField("sig", T.StringType())]))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents of docs without near copies: of each class the one whose doc_id names it, with docs' own columns.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id, one of each distinct text stays.
+    Rows without a doc_id stay. Rows that repeat a doc_id are each judged by the class of their own text, and of equal
+    ones that name their class one stays; one that lies in another document's class goes.
     """
     classes = jaccard_join(docs, similarity).checkpoint()
-    gone = classes.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    known = classes.where("doc_id is not null")
+    gone = _ids(known.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct())
     kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    twice = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id")).checkpoint()
     if not twice.limit(1).count():
         return kept
-    repeated = kept.join(twice, kept["doc_id"] == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, kept["doc_id"] == F.col("twice_id"), "left_anti").unionByName(repeated)
+    twice = _ids(twice)
+    heads = known.where("doc_id = class_id").select(F.col("doc_id").alias("head_id"), F.col("sig").alias("head_sig")).distinct()
+    repeated = _with_signature(docs.join(twice, docs["doc_id"] == F.col("twice_id"), "left_semi"))
+    judged = repeated.join(heads, (F.col("doc_id") == F.col("head_id")) & F.col("sig").eqNullSafe(F.col("head_sig")), "left_semi").select("row.*").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, kept["doc_id"] == F.col("twice_id"), "left_anti").unionByName(judged)
