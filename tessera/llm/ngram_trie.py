@@ -19,13 +19,16 @@ Levels are cut into shards of bounded size by key, so that children of one commo
 memory-mapped from the shared folder, so a scorer's memory does not grow with the model.
 
 Shape. Three scans of the training texts count one order each. A task sums its n-grams in arrays and hands on one
-compressed block per key bucket, so a frequent n-gram is one entry a task and no bucket follows a frequent word;
-buckets are merged by streaming, packed again, and cut into shards at quantiles of sampled keys. One scan scores. Only
-the samples and the shards' names and ends reach the driver.
+compressed block per shard, so a frequent n-gram is one entry a task and no shard follows a frequent word; it hands them
+on early where they are many, so its memory is bounded. Shards are ranges of keys, cut at quantiles of the n-grams of a
+small sample of texts (which decides nothing but the shards' sizes), and a shard's task merges its blocks by streaming
+and writes its file. Keys take 63 bits: where numbers of contexts and words need more, contexts are numbered by pages.
+One scan scores. Only the sample's keys and the shards' names and ends reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -44,8 +47,12 @@ ORDER = 3
 DISCOUNT = 0.75
 #: Text bytes of a vectorised step, and entries after which a task's sums are merged.
 STEP_BYTES, MERGE_AT = 4 << 20, 3_000_000
-#: Text bytes that one key bucket stands for; n-grams in one shard of a level, and sampled keys for each shard.
-BUCKET_BYTES, SHARD_NGRAMS, SAMPLES = 48 << 20, 3_000_000, 64
+#: Entries that a task holds before it hands them on.
+FLUSH_AT = 12_000_000
+#: Text bytes that one bucket of words stands for; n-grams of a level's shard, about; text bytes of the sample.
+BUCKET_BYTES, SHARD_NGRAMS, SAMPLE_BYTES = 48 << 20, 3_000_000, 4 << 20
+#: Bits of a key: a page's number of a context, then a child.
+KEY_BITS = 63
 END = np.uint64(0x9B1A6F6C8D2E4A57)  # the end token's hash
 _FIXED = 4096.0  # steps of a stored log10, down to -16
 
@@ -80,6 +87,7 @@ class Sums:
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.size = 0
+        self.merge_at = MERGE_AT
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         if counts is None:
@@ -87,11 +95,9 @@ class Sums:
         self.keys.append(keys)
         self.counts.append(counts.astype(np.int64))
         self.size += len(keys)
-        if self.size > MERGE_AT and len(self.keys) > 1:
-            before = self.size
+        if self.size > self.merge_at and len(self.keys) > 1:
             self.merged()
-            if self.size * 2 > before:  # little repeats: wait longer for the next merge
-                self.size = -self.size
+            self.merge_at = max(MERGE_AT, 2 * self.size)  # where little repeats, the next merge waits
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > 1:
@@ -119,13 +125,11 @@ def unpress(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
 
 
-def _hand_on(sums: Sums, bucket_of: Callable, buckets: int) -> Iterator[pa.RecordBatch]:
+def _hand_on(sums: Sums, bucket_of: Callable) -> Iterator[pa.RecordBatch]:
     keys, counts = sums.merged()
     if not len(keys):
         return
-    bucket = bucket_of(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order], counts[order], bucket[order]
+    bucket = bucket_of(keys)  # rises with the keys
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([press(keys[a:b], counts[a:b])], pa.binary())], ["bucket", "data"])
@@ -136,10 +140,6 @@ def _by_range(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _by_mix(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return _by_range(mix64(keys), buckets)
-
-
 def _merged_buckets(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, keys, counts), from rows sorted by bucket."""
     current, sums = None, Sums()
@@ -191,9 +191,9 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Shards of one order, in key order: (file, first key, number of its first node)."""
+    """Shards of one order, in key order: (file, page, first key, number of its first node)."""
 
-    shards: list[tuple[str, int, int]] = field(default_factory=list)
+    shards: list[tuple[str, int, int, int]] = field(default_factory=list)
     bits: int = 0  # of a child in a key
     size: int = 0
     #: the first context of each shard, which may begin in an earlier one: (number of the first child, g)
@@ -259,7 +259,7 @@ class Reader:
         if order == 1:
             return self.counts(nodes)
         level = self.trie.levels[order - 2]
-        bases = np.array([b for _, _, b in level.shards])
+        bases = np.array([b for *_, b in level.shards])
         out = np.zeros(len(nodes), dtype=np.int64)
         shard = np.searchsorted(bases, nodes, side="right") - 1
         for s in np.unique(shard).tolist():
@@ -275,12 +275,17 @@ class Reader:
         node, share, g, start = np.full(n, -1, dtype=np.int64), np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64)
         if not level.shards or not n:
             return node, share, g, start
-        key = (context.astype(np.uint64) << np.uint64(level.bits)) | child.astype(np.uint64)
-        firsts = np.array([k for _, k, _ in level.shards], dtype=np.uint64)
-        shard = np.maximum(np.searchsorted(firsts, key, side="right") - 1, 0)
-        for s in np.unique(shard).tolist():
+        page, key = _paged(context, child, level.bits)
+        pages, firsts = np.array([p for _, p, _, _ in level.shards]), np.array([k for _, _, k, _ in level.shards], dtype=np.uint64)
+        shard = np.full(n, -1, dtype=np.int64)
+        for p in np.unique(page).tolist():
+            low, high = np.searchsorted(pages, p), np.searchsorted(pages, p, side="right")
+            if low < high:
+                at = np.flatnonzero(page == p)
+                shard[at] = np.maximum(low + np.searchsorted(firsts[low:high], key[at], side="right") - 1, low)
+        for s in np.unique(shard[shard >= 0]).tolist():
             at = np.flatnonzero(shard == s)
-            file, _, base = level.shards[s]
+            file, _, _, base = level.shards[s]
             a = _arrays(file)
             contexts, pointers, ids = _part(a, "context"), _part(a, "pointer"), _part(a, "child")
             own = context[at]
@@ -371,6 +376,10 @@ def _unique_pairs(context: np.ndarray, child: np.ndarray) -> tuple[tuple[np.ndar
     that can be asked for, which no context has."""
     child = np.where(child < 0, child.max(initial=0) + 1, child)
     bits = int(child.max(initial=0)).bit_length()
+    if bits + int(context.max(initial=0)).bit_length() > KEY_BITS:  # too wide for one key: contexts by their rank
+        known, rank = distinct(context.astype(np.uint64))
+        (place, child), back = _unique_pairs(rank, child)
+        return (known[place].astype(np.int64), child), back
     keys, back = distinct((context.astype(np.uint64) << np.uint64(bits)) | child.astype(np.uint64))
     return ((keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)), back
 
@@ -381,27 +390,92 @@ def _steps(batch: pa.RecordBatch) -> Iterator[pa.LargeStringArray]:
         yield texts.slice(a, b - a)
 
 
+def _paged(context: np.ndarray, child: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The page of each context, and the key of (context in its page, child)."""
+    wide = np.int64(KEY_BITS - bits)
+    return context >> wide, ((context & ((np.int64(1) << wide) - 1)).astype(np.uint64) << np.uint64(bits)) | child.astype(np.uint64)
+
+
 def _count_words(docs: DataFrame, buckets: int) -> DataFrame:
     def f(batches):
-        sums = Sums()
+        sums, deal = Sums(), lambda keys: _by_range(keys, buckets)
         for batch in batches:
             for texts in _steps(batch):
                 sums.add(token_hashes(texts)[0])
-        yield from _hand_on(sums, _by_range, buckets)
+                if sums.size > FLUSH_AT:
+                    yield from _hand_on(sums, deal)
+                    sums = Sums()
+        yield from _hand_on(sums, deal)
 
     return docs.select("text").mapInArrow(lean(f), "bucket int, data binary")
 
 
-def _count_ngrams(docs: DataFrame, trie: Trie, order: int, bits: int, buckets: int) -> DataFrame:
+def _ngrams(reader: Reader, texts: pa.LargeStringArray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(page, keys) of the n-grams of an order, all orders below being in the trie."""
+    context, child, _ = reader.walk(*token_hashes(texts), order - 1).keys(order)
+    can = child >= 0
+    page, keys = _paged(context[can], child[can], bits)
+    for p in np.unique(page).tolist():
+        yield p, keys[page == p]
+
+
+@dataclass
+class Cuts:
+    """Lower ends of the shards of a level but the first, as (page, key): a shard lies in one page."""
+
+    page: np.ndarray
+    key: np.ndarray
+
+    def bucket_of(self, page: int, keys: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.page, page), np.searchsorted(self.page, page, side="right")
+        return low + np.searchsorted(self.key[low:high], keys, side="right")
+
+    def page_of(self, bucket: int) -> int:
+        return int(self.page[bucket - 1]) if bucket else 0
+
+
+def _cuts(sample: DataFrame, share: float, trie: Trie, order: int, bits: int, nodes: int) -> Cuts:
+    """Shards of about SHARD_NGRAMS n-grams each, by the n-grams of the sample, a share of the texts."""
+
+    def f(batches):
+        reader, sums = Reader(trie), {}
+        for batch in batches:
+            for texts in _steps(batch):
+                for page, keys in _ngrams(reader, texts, order, bits):
+                    sums.setdefault(page, Sums()).add(keys)
+        for page, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([s.merged()[0].tobytes()], pa.binary())], ["page", "keys"])
+
+    held: dict[int, list[np.ndarray]] = {}
+    for r in sample.mapInArrow(lean(f), "page long, keys binary").collect():
+        held.setdefault(r.page, []).append(np.frombuffer(r.keys, dtype=np.uint64))
+    pages = range(1, (max(nodes, 1) - 1 >> KEY_BITS - bits) + 1)
+    keys = [(p, np.unique(np.concatenate(held[p]))) for p in sorted(held)]
+    n = sum(len(k) for _, k in keys)
+    expected = n / share
+    shards = max(1, math.ceil(expected / SHARD_NGRAMS), min(sample.sparkSession.sparkContext.defaultParallelism, math.ceil(expected / 100_000)))
+    step = max(1, n // shards)
+    ends = [(p, int(x)) for p, k in keys for x in k[step::step]] + [(p, 0) for p in pages]
+    ends = sorted(set(ends) - {(0, 0)})
+    return Cuts(np.array([p for p, _ in ends], dtype=np.int64), np.array([k for _, k in ends], dtype=np.uint64))
+
+
+def _count_ngrams(docs: DataFrame, trie: Trie, order: int, bits: int, cuts: Cuts) -> DataFrame:
     def f(batches):
-        sums, reader = Sums(), Reader(trie)
+        sums, reader = {}, Reader(trie)
+
+        def all_of() -> Iterator[pa.RecordBatch]:
+            for page, s in sums.items():
+                yield from _hand_on(s, lambda keys: cuts.bucket_of(page, keys))  # noqa: B023
+            sums.clear()
+
         for batch in batches:
             for texts in _steps(batch):
-                walk = reader.walk(*token_hashes(texts), order - 1)
-                context, child, _ = walk.keys(order)
-                can = child >= 0
-                sums.add((context[can].astype(np.uint64) << np.uint64(bits)) | child[can].astype(np.uint64))
-        yield from _hand_on(sums, _by_mix, buckets)
+                for page, keys in _ngrams(reader, texts, order, bits):
+                    sums.setdefault(page, Sums()).add(keys)
+                if sum(s.size for s in sums.values()) > FLUSH_AT:
+                    yield from all_of()
+        yield from all_of()
 
     return docs.select("text").mapInArrow(lean(f), "bucket int, data binary")
 
@@ -423,36 +497,11 @@ def _word_shards(counted: DataFrame, buckets: int, folder: str) -> Trie:
     return trie
 
 
-def _level(counted: DataFrame, trie: Trie, order: int, bits: int, buckets: int, folder: str) -> Level:
-    every = max(1, SHARD_NGRAMS // SAMPLES)
-
-    def packed(batches):
-        for _, keys, counts in _merged_buckets(batches):
-            sample = keys[every // 2 :: every].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([sample], pa.binary()), pa.array([press(keys, counts)], pa.binary())], ["n", "sample", "data"])
-
-    kept = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(packed), "n long, sample binary, data binary").checkpoint()
-    told = kept.select("n", "sample").collect()
-    n = sum(r.n for r in told)
-    level = Level(bits=bits, size=n)
-    if not n:
-        return level
-    shards = -(-n // SHARD_NGRAMS)
-    sample = np.sort(np.frombuffer(b"".join(r.sample for r in told), dtype=np.uint64))
-    bounds = np.unique(sample[np.arange(1, shards) * len(sample) // shards]) if len(sample) else sample
-
-    def cut(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                keys, counts = unpress(data.as_py())
-                ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-                for shard, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if i < j:
-                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([press(keys[i:j], counts[i:j])], pa.binary())], ["bucket", "data"])
-
+def _level(counted: DataFrame, trie: Trie, order: int, bits: int, cuts: Cuts, folder: str) -> Level:
     def write(batches):
         for number, keys, counts in _merged_buckets(batches):
-            context, child = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
+            page = cuts.page_of(number)
+            context, child = (keys >> np.uint64(bits)).astype(np.int64) + (page << KEY_BITS - bits), keys & np.uint64((1 << bits) - 1)
             at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             total = Reader(trie).node_counts(order - 1, context[at])
             taken = np.add.reduceat(counts - DISCOUNT, at)
@@ -479,10 +528,12 @@ def _level(counted: DataFrame, trie: Trie, order: int, bits: int, buckets: int,
                 ["number", "file", "first", "n", "contexts", "starts", "taken"],
             )
 
-    rows = kept.select("data").mapInArrow(lean(cut), "bucket int, data binary").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(write), "number long, file string, first long, n long, contexts array<long>, starts array<long>, taken array<double>").collect()
+    dealt = counted.repartition(len(cuts.key) + 1, "bucket").sortWithinPartitions("bucket")
+    rows = dealt.mapInArrow(lean(write), "number long, file string, first long, n long, contexts array<long>, starts array<long>, taken array<double>").collect()
+    level = Level(bits=bits)
     base, open_context, open_start, open_taken = 0, None, 0, 0.0
     for r in sorted(rows):
-        level.shards.append((r.file, r.first, base))
+        level.shards.append((r.file, cuts.page_of(r.number), r.first, base))
         if r.contexts[0] == open_context:
             open_taken += r.taken[0]
         else:
@@ -491,6 +542,7 @@ def _level(counted: DataFrame, trie: Trie, order: int, bits: int, buckets: int,
         if r.contexts[1] != open_context:
             open_context, open_start, open_taken = r.contexts[1], base + r.starts[1], r.taken[1]
         base += r.n
+    level.size = base
     return level
 
 
@@ -505,12 +557,13 @@ def train(docs: DataFrame, order: int = ORDER) -> Trie:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
     trie = _word_shards(_count_words(docs, buckets), buckets, folder)
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("text").checkpoint()
     bits = max(1, trie.size).bit_length()
     nodes = trie.size
     for k in range(2, order + 1):
-        if bits + max(1, nodes).bit_length() > 63:
-            raise ValueError(f"keys of order {k} need more than 63 bits")
-        level = _level(_count_ngrams(docs, trie, k, bits, buckets), trie, k, bits, buckets, folder)
+        cuts = _cuts(sample, share, trie, k, bits, nodes)
+        level = _level(_count_ngrams(docs, trie, k, bits, cuts), trie, k, bits, cuts, folder)
         trie.levels.append(level)
         nodes = level.size
     return trie
@@ -538,7 +591,11 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out and scores all: doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score. Repeated rows count each; other columns are not read."""
+    train_tokens, base_score, score.
+
+    Null and empty texts are their end token; very long texts are read whole; repeated rows count each, in training and
+    in the result; a table without rows gives none, and one without training documents an untrained model's scores;
+    other columns, whatever their names, are not read."""
     out = held_out(F.col("doc_id"), 5, 1)
     slim = docs.select("doc_id", "text")
     trie = train(slim.where(~out))
