@@ -71,17 +71,15 @@ def brute_lm(docs, trained):
     n, v, mass = sum(c[1].values()), len(c[1]), Counter()
     for k in (2, 3):
         for g, x in c[k].items():
-            if x >= 2:
-                mass[g[:-1]] += x - 0.75
+            mass[g[:-1]] += x - 0.75
 
     def p(h, w):
         if not h:
             return (c[1][(w,)] + 0.5) / (n + 0.5 * (v + 1))
         below, k = p(h[1:], w), len(h) + 1
-        if c[k - 1][h] == 0 or k == 3 and c[2][h] < 2:
+        if c[k - 1][h] == 0:
             return below
-        x = c[k][(*h, w)]
-        return (max(x - 0.75, 0) / c[k - 1][h] if x >= 2 else 0) + (1 - mass[h] / c[k - 1][h]) * below
+        return max(c[k][(*h, w)] - 0.75, 0) / c[k - 1][h] + (1 - mass[h] / c[k - 1][h]) * below
 
     return {i: (len(t), sum(c[1][(w,)] > 0 for w in t), n, sum(math.log10(p((), w)) for w in t), sum(math.log10(p(tuple(t[max(0, j - 2) : j]), w)) for j, w in enumerate(t))) for i, t in tok.items()}
 
