@@ -38,6 +38,7 @@ UNIT_ALIASES = (
 MEASURE = r"\b\d+(?:[.,]\d+)?\s*(?:kg|km|g|%|ml|giờ|phút|con|người)?\b"
 NAMED = ("địa điểm", "tỉnh", "xã ", "thành phố", "nghệ sĩ", "tổng thống", "người phụ nữ", "người đàn ông", "câu lạc bộ")
 
+# Ids of videos.
 VIDEO_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 CORPUS_VIDEO_ID = r"^[KL]\d{2}_V\d{3}$"
 
@@ -65,9 +66,22 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+#: Characters that a Unicode normal form may change, and some more: marks, letters that compose with what stands before
+#: them, and the ranges that hold characters with a canonical form of their own.
+MAY_CHANGE = (
+    r"\p{M}|[\u0340-\u0387\u0958-\u0FFF\u1100-\u11FF\u1F00-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4F]"
+    r"|[\x{11000}-\x{12FFF}\x{1D100}-\x{1D1FF}\x{2F800}-\x{2FA1F}]"
+)
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: xs if xs is None else [x if x is None else unicodedata.normalize("NFC", x) for x in xs])
 
 
 @F.pandas_udf(T.StringType())
@@ -75,19 +89,24 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-def unicode_form(text: Column, composed: bool = True) -> Column:
+def nfc(text: Column) -> Column:
+    """The text in NFC. Python gets the texts that may change; of all others it sees a null."""
+    return F.coalesce(_nfc(F.when(text.rlike(MAY_CHANGE), text)), text)
+
+
+def unicode_form(text: Column, composed: bool = False) -> Column:
     """Squeezed text in NFC. composed: the text is known to be NFC already, so no Python is needed."""
-    return squeeze(text) if composed else _nfc(squeeze(text))
+    return squeeze(text if composed else nfc(text))
 
 
-def for_matching(text: Column, composed: bool = True) -> Column:
-    """Lower-case letters and digits; everything else is space, squeezed."""
-    lower = F.lower(F.coalesce(text, F.lit("")) if composed else unicode_form(text, False))
+def for_matching(text: Column, composed: bool = False) -> Column:
+    """Lower-case letters and digits of the text in NFC; everything else is space, squeezed."""
+    lower = F.lower(F.coalesce(text if composed else nfc(text), F.lit("")))
     return squeeze(F.regexp_replace(lower, r"(?U)[^0-9a-zA-ZÀ-ỹđĐ\s]", " "))
 
 
-def accent_fold(text: Column, composed: bool = True) -> Column:
-    """for_matching without marks on letters; as long as for_matching where the text is NFC."""
+def accent_fold(text: Column, composed: bool = False) -> Column:
+    """for_matching without marks on letters, and as long."""
 
     def fold(plain: Column) -> Column:
         return F.when(plain.rlike("[À-ỹ]"), F.trim(F.regexp_replace(F.translate(plain, _FOLD_FROM, _FOLD_TO), " +", " "))).otherwise(plain)
@@ -95,16 +114,16 @@ def accent_fold(text: Column, composed: bool = True) -> Column:
     return let(for_matching(text, composed), fold)
 
 
-def unit_aliases(text: Column) -> Column:
-    out = for_matching(text)
+def unit_aliases(text: Column, composed: bool = False) -> Column:
+    out = for_matching(text, composed)
     for pattern, unit in UNIT_ALIASES:
         out = F.regexp_replace(out, "(?iU)" + pattern, unit)
     return squeeze(out)
 
 
-def for_agreement(text: Column) -> Column:
-    """Lower case; any run of punctuation, underscores and white space is one space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\W_]+", " "))
+def for_agreement(text: Column, composed: bool = False) -> Column:
+    """Lower case of the text in NFC; any run of punctuation, underscores and white space is one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text if composed else nfc(text), F.lit(""))), r"(?U)[\W_]+", " "))
 
 
 def for_metric(text: Column) -> Column:
@@ -318,14 +337,14 @@ def distinct_segments(segments: Column) -> Column:
     begin = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("repeated"))
 
     def step(s: Column, x: Column) -> Column:
-        text, match = unicode_form(x["text"]), accent_fold(x["text"])
+        text, match = unicode_form(x, True), accent_fold(x, True)
         again = (match != "") & F.coalesce(match == s["last"], F.lit(False))
         take = ~again & (text != "")
         return F.struct(F.when(take, match).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["kept"], F.array(text))).otherwise(s["kept"]).alias("kept"), (s["repeated"] | again).alias("repeated"))
 
-    empty = F.array().cast("array<struct<text:string>>")
-    texts = F.transform(F.coalesce(F.transform(segments, lambda x: F.struct(x["text"].cast("string").alias("text"))), empty), lambda x: x)
-    return F.aggregate(texts, begin, step, lambda s: F.struct(squeeze(F.concat_ws(" ", s["kept"])).alias("text"), s["repeated"].alias("repeated")))
+    texts = F.coalesce(F.transform(segments, lambda x: x["text"].cast("string")), F.array().cast("array<string>"))
+    composed = F.coalesce(_nfc_all(F.when(F.exists(texts, lambda x: F.coalesce(x.rlike(MAY_CHANGE), F.lit(False))), texts)), texts)
+    return F.aggregate(composed, begin, step, lambda s: F.struct(squeeze(F.concat_ws(" ", s["kept"])).alias("text"), s["repeated"].alias("repeated")))
 
 
 def reasons(*named: tuple[str, Column], old: Column | None = None) -> Column:

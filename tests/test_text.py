@@ -130,3 +130,27 @@ def test_times(spark):
         df = spark.createDataFrame([(rows,)], f"s {kind}")
         got = df.select(t.invalid_times(F.col("s"), F.lit(60.0)).alias("a"), t.invalid_times_at_ingest(F.col("s"), F.lit(60.0)).alias("b")).first()
         assert (got.a, got.b) == (diagnostics, ingest)
+
+
+def test_forms_that_may_change():
+    """Every character that a normal form changes, alone or behind a letter, is asked for."""
+    import re
+
+    import regex
+
+    pattern = regex.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), t.MAY_CHANGE))
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or pattern.search(c):
+            continue
+        assert unicodedata.normalize("NFC", c) == c and unicodedata.normalize("NFC", "e" + c) == "e" + c, hex(code)
+
+
+def test_decomposed_text_is_the_same(spark):
+    words = "Hãy đăng ký kênh Ổ Ộ ệ Ångström ﬁ 2 kí lô"
+    rows = [(unicodedata.normalize(f, words),) for f in ("NFC", "NFD")] + [(None,)]
+    df = spark.createDataFrame(rows, "text string")
+    c = F.col("text")
+    for f in (t.for_matching, t.accent_fold, t.for_agreement, t.unit_aliases, t.unicode_form):
+        got = [r[0] for r in df.select(f(c)).collect()]
+        assert got[0] == got[1] != "" and got[2] == "", f
