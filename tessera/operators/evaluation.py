@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import display_order, video_max, video_order, worst_tied_rank
+from tessera.operators.ranking import display_order, on_every_query, video_max, video_order, worst_tied
 
 # Depths at which recall is reported.
 STORY_DEPTHS = (1, 3, 5, 10)
@@ -33,14 +33,14 @@ def query_metrics(judged: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     windows and videos, margins, recall flags and reciprocal ranks. Ranks are worst-tied; null without relevance."""
     by = [*keys, "query_id"]
     story = judged.where("video_id = correct_video")
-    story = story.withColumn("story_rank", worst_tied_rank(by)).withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*display_order())))
+    story = worst_tied(story, by, "story_rank").withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*display_order())))
     one = story.groupBy(*by).agg(
         F.min(F.when(F.col("relevant"), F.col("story_rank"))).alias("first_relevant_rank"),
         (F.max(F.when(F.col("relevant"), F.col("score"))) - F.max(F.when(~F.col("relevant"), F.col("score")))).alias("story_score_margin"),
         F.max(F.when(F.col("place") == 1, F.col("window_id"))).alias("top_story_window_id"),
     )
     videos = judged.groupBy(*by, "video_id", "correct_video").agg(F.max("score").alias("score"), F.max((F.col("score") > 0).cast("int")).alias("positive"))
-    videos = videos.withColumn("video_rank", worst_tied_rank(by)).withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*video_order())))
+    videos = worst_tied(videos, by, "video_rank").withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*video_order())))
     right = F.col("video_id") == F.col("correct_video")
     two = videos.groupBy(*by).agg(
         F.max(F.when(right, F.col("video_rank"))).alias("video_rank"),
@@ -153,7 +153,8 @@ def bootstrap_interval(rows: DataFrame, key: str, value: str, confidence: float
         if not len(v):
             return pd.DataFrame({key: [group[key].iloc[0]], "n": [0], "low": [None], "high": [None]})
         rng = np.random.default_rng(seed)
-        means = np.array([rng.choice(v, size=len(v), replace=True).mean() for _ in range(samples)])
+        step = max(1, (1 << 22) // len(v))  # samples drawn at a time
+        means = np.concatenate([rng.choice(v, size=(min(step, samples - k), len(v))).mean(axis=1) for k in range(0, samples, step)])
         low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
         return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(v)], "low": [low], "high": [high]})
 
@@ -180,7 +181,7 @@ def pool_results(pool: DataFrame, queries: DataFrame) -> DataFrame:
         F.count("*").alias("pair_count"), F.max((F.col("video_id") == F.col("correct_video")).cast("int")).alias("v"), F.max(F.col("relevant").cast("int")).alias("r")
     )
     kept, relevant = F.coalesce(F.col("v"), F.lit(0)) == 1, F.coalesce(F.col("r"), F.lit(0)) == 1
-    every = of.select("policy_id", "video_k", "windows_m").distinct().crossJoin(F.broadcast(queries.select("query_id")))
+    every = on_every_query(of.select("policy_id", "video_k", "windows_m").distinct(), queries)
     return every.join(of, ["policy_id", "video_k", "windows_m", "query_id"], "left").select(
         "policy_id", "video_k", "windows_m", "query_id", F.coalesce("pair_count", F.lit(0)).alias("pair_count"),
         kept.alias("video_kept"), relevant.alias("window_kept"), (kept & relevant).alias("joint_success"),
@@ -220,4 +221,4 @@ def regression(actual: DataFrame, expected: DataFrame, keys: list[str], value: s
 def video_scores(scores: DataFrame) -> DataFrame:
     """Videos of each query by best window, ranked for metrics (worst-tied) and for display."""
     v = video_max(scores)
-    return v.withColumn("metric_rank", worst_tied_rank(["query_id"])).withColumn("display_rank", F.row_number().over(W.partitionBy("query_id").orderBy(*video_order())))
+    return worst_tied(v, ["query_id"], "metric_rank").withColumn("display_rank", F.row_number().over(W.partitionBy("query_id").orderBy(*video_order())))

@@ -67,13 +67,23 @@ BENCHMARK_CHECKS = {
 }
 
 
-def pool_contract(pool: DataFrame, video_k: int, windows_m: int) -> DataFrame:
-    """Queries whose candidate pool breaks the contract: repeated windows, more than K videos, K * M rows, empty text."""
-    return (
-        pool.groupBy("query_id")
-        .agg(F.count("*").alias("rows"), F.count_distinct("window_id").alias("windows"), F.count_distinct("video_id").alias("videos"), F.sum((F.coalesce(F.trim("text"), F.lit("")) == "").cast("long")).alias("empty"))
-        .where((F.col("rows") != F.col("windows")) | (F.col("videos") > video_k) | (F.col("rows") > video_k * windows_m) | (F.col("empty") > 0))
+def pool_contract(pool: DataFrame, queries: DataFrame, video_k: int, windows_m: int) -> DataFrame:
+    """Queries whose candidate pool breaks the contract, with what breaks it: no_pool, unknown_query, repeated_window,
+    video_count (not exactly K videos), row_count (more than K * M rows) or empty_text."""
+    held = pool.groupBy("query_id").agg(
+        F.count("*").alias("rows"), F.count_distinct("window_id").alias("windows"), F.count_distinct("video_id").alias("videos"), F.sum((F.coalesce(F.trim("text"), F.lit("")) == "").cast("long")).alias("empty")
     )
+    both = queries.select("query_id").distinct().withColumn("asked", F.lit(True)).join(held, "query_id", "full")
+    broken = F.when(F.col("asked").isNull(), F.array(F.lit("unknown_query"))).when(F.col("rows").isNull(), F.array(F.lit("no_pool"))).otherwise(
+        F.filter(
+            F.array(
+                F.when(F.col("rows") != F.col("windows"), "repeated_window"), F.when(F.col("videos") != video_k, "video_count"),
+                F.when(F.col("rows") > video_k * windows_m, "row_count"), F.when(F.col("empty") > 0, "empty_text"),
+            ),
+            lambda x: x.isNotNull(),
+        )
+    )
+    return both.select("query_id", F.explode(broken).alias("problem"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,15 +6,40 @@ window function are a query's rows or finer, never the table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TIE = 1e-12
 
 
+def worst_tied(rows: DataFrame, by: list[str], name: str = "rank", score: str = "score", tolerance: float = TIE) -> DataFrame:
+    """rows with their rank, best first: a group of ties is a score and all below it by `tolerance` at most, the next
+    group starts with the first score beyond; rows of a group share its worst position.
+
+    Chains of different scores closer than the tolerance are rare, so only these are gathered, to find the scores that
+    start a group; all others start their own."""
+    line = W.partitionBy(*by).orderBy(F.col(score).desc())
+    s = F.col(score)
+    up, down = F.lag(score).over(line) - s, s - F.lead(score).over(line)
+    close = lambda gap: F.coalesce((gap > 0) & (gap <= tolerance), F.lit(False))
+    starts = lambda xs: F.aggregate(
+        F.reverse(F.array_sort(xs)), F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (F.get(a, F.size(a) - 1) - x > tolerance), F.concat(a, F.array(x))).otherwise(a)
+    )
+    chained = rows.withColumn("_close", close(up) | close(down))
+    chained = chained.withColumn("_chain", F.collect_set(F.when(F.col("_close"), s.cast("double"))).over(W.partitionBy(*by)))
+    # equal scores are all marked as soon as one of them has a close neighbour, as they are in the set
+    own = F.when(F.size("_chain") == 0, s.cast("double")).otherwise(F.when(F.array_contains("_chain", s.cast("double")), F.element_at(F.filter(starts(F.col("_chain")), lambda a: a >= s), -1)).otherwise(s))
+    anchored = chained.withColumn("_start", own)
+    return anchored.withColumn(name, F.count("*").over(W.partitionBy(*by).orderBy(F.col("_start").desc()))).drop("_close", "_chain", "_start")
+
+
 def worst_tied_rank(by: list[str], score: str = "score", tolerance: float = TIE) -> Column:
-    """Position of the last row that ties with a row, best first: equal scores share the worst rank."""
+    """worst_tied as a Column, for scores without chains (each close to the next, the ends further apart): there it
+    would tie along the chain."""
     keys = ", ".join(f"`{c}`" for c in by)
     return F.expr(f"count(*) over (partition by {keys} order by -`{score}` range between unbounded preceding and {tolerance}D following)")
 
@@ -52,10 +77,26 @@ def video_max(scores: DataFrame) -> DataFrame:
 
 def video_max_floor(scores: DataFrame, videos: DataFrame, queries: DataFrame) -> DataFrame:
     """Every video for every query, with its best score but not below 0; the queries are the small, stated side."""
-    axis = videos.select("video_id").crossJoin(F.broadcast(queries.select("query_id")))
+    axis = on_every_query(videos.select("video_id"), queries)
     return axis.join(video_max(scores), ["query_id", "video_id"], "left").select("query_id", "video_id", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
+#: A stated query set up to this size is dealt to rows as an array; a larger one goes in parts.
+QUERY_SET = 10_000
+
+
+def on_every_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each row once for every query of a stated set, whose ids travel as arrays of at most QUERY_SET, one a part."""
+    ids = queries.select("query_id").distinct()
+    parts = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-ids.count() // QUERY_SET))))
+    sets = [r.ids for r in ids.groupBy(parts.alias("p")).agg(F.sort_array(F.collect_list("query_id")).alias("ids")).toLocalIterator()]
+    kind = queries.schema["query_id"].dataType
+    if not sets:
+        return rows.limit(0).withColumn("query_id", F.lit(None).cast(kind))
+    each = [rows.withColumn("query_id", F.explode(F.array(*map(F.lit, s)).cast(T.ArrayType(kind)))) for s in sets]
+    return reduce(DataFrame.unionByName, each)
+
+
 def video_top_mean(scores: DataFrame, k: int) -> DataFrame:
     """Mean of the best min(k, n) windows of each video."""
     return top(scores, ["query_id", "video_id"], display_order(), k).groupBy("query_id", "video_id").agg(F.avg("score").alias("score"))
@@ -131,23 +172,31 @@ def supporting_windows(scores: DataFrame, final: DataFrame, n: int = 3) -> DataF
     return top(both, ["query_id", "video_id"], order, n, "support_rank")
 
 
-def pareto_frontier(rows: DataFrame, name: str, up: str, down: str) -> DataFrame:
-    """Rows that no other beats: at least as good in both and better in one. One sweep by `up` with the least `down`
-    of the strictly better ones, so no pair is formed."""
+def pareto_frontier(rows: DataFrame, name: str, up: str, down: str, parts: int = 64) -> DataFrame:
+    """Rows that no other beats: at least as good in both and better in one. A sweep by `up` with the least `down` of the
+    strictly better ones, so no pair is formed: ranges of `up` are swept side by side, each from the least `down` of the
+    ranges above it."""
     of = rows.select(name, up, down)
     best = of.groupBy(up).agg(F.min(down).alias("least"))
-    sweep = best.withColumn("above", F.min("least").over(W.orderBy(F.col(up).desc()).rowsBetween(W.unboundedPreceding, -1)))
-    kept = sweep.where(F.col("above").isNull() | (F.col("above") > F.col("least")))
+    ends = [x for x in best.select(F.percentile_approx(up, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(1000)).alias("e")).first().e or []]
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))), lambda e: e < F.col(up))) if ends else F.lit(0)
+    ranged = best.withColumn("part", part)
+    lows = ranged.groupBy("part").agg(F.min("least").alias("low"))
+    over = lows.withColumn("above_part", F.min("low").over(W.orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)))  # one row a range
+    inside = F.min("least").over(W.partitionBy("part").orderBy(F.col(up).desc()).rowsBetween(W.unboundedPreceding, -1))
+    sweep = ranged.withColumn("inside", inside).join(F.broadcast(over.select("part", "above_part")), "part")
+    above = F.least(F.col("inside"), F.col("above_part"))  # nulls are skipped
+    kept = sweep.where(above.isNull() | (above > F.col("least")))
     return of.join(kept.select(up, F.col("least").alias(down)), [up, down])
 
 
 def recommended_policy(summary: DataFrame, target: float = 1.0, tolerance: float = TIE) -> DataFrame:
     """The summary with `recommended`: the cheapest policy that reaches the target recall, or the best recall there is."""
-    best = summary.agg(F.max("joint_recall").alias("best"))
-    goal = F.when(F.col("best") >= target - tolerance, F.lit(target)).otherwise(F.col("best"))
-    with_goal = summary.crossJoin(F.broadcast(best)).withColumn("reaches", F.col("joint_recall") >= goal - tolerance)
-    order = W.orderBy(F.col("reaches").desc(), "pairs_max", "video_k", "windows_m", "policy_id")
-    return with_goal.withColumn("recommended", F.row_number().over(order) == 1).drop("best", "reaches")
+    best = summary.agg(F.max("joint_recall").alias("best")).first().best  # one number
+    goal = target if best is not None and best >= target - tolerance else best
+    with_goal = summary.withColumn("reaches", F.col("joint_recall") >= F.lit(goal) - tolerance)
+    order = W.orderBy(F.col("reaches").desc(), "pairs_max", "video_k", "windows_m", "policy_id")  # a row a policy
+    return with_goal.withColumn("recommended", F.row_number().over(order) == 1).drop("reaches")
 
 
 def extremes(rows: DataFrame, by: list[str], score: str, key: str, n: int, flagged: Column) -> DataFrame:
@@ -158,9 +207,19 @@ def extremes(rows: DataFrame, by: list[str], score: str, key: str, n: int, flagg
 
 
 def evenly_spaced(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows at even distances in key order, the first and the last included."""
-    order, every = W.orderBy(key), F.count("*").over(W.partitionBy())
-    placed = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("all_rows", every)
-    step = lambda i: F.round(i * (F.col("all_rows") - 1) / F.lit(max(n - 1, 1))).cast("int")
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), step)
-    return placed.where(F.array_contains(wanted, F.col("place"))).drop("all_rows")
+    """n rows at even distances in key order, the first and the last included, with their `place` from 0.
+
+    Rows are dealt by ranges of the key and numbered in them; a range's first number is the sum of the ones before."""
+    ends = rows.select(F.percentile_approx(key, F.array(*(F.lit(k / 64) for k in range(1, 64))), F.lit(1000)).alias("e")).first().e or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))), lambda e: e < F.col(key))) if ends else F.lit(0)
+    ranged = rows.withColumn("part", part)
+    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # 64 at most
+    total, before, first = sum(sizes.values()), 0, []
+    for k in sorted(sizes):
+        first += [F.lit(k), F.lit(before)]
+        before += sizes[k]
+    if not total:
+        return rows.withColumn("place", F.lit(0))
+    wanted = sorted({int(i * (total - 1) / max(n - 1, 1) + 0.5) for i in range(n)})
+    placed = ranged.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(key)) - 1 + F.element_at(F.create_map(*first), F.col("part")))
+    return placed.where(F.col("place").isin(wanted)).drop("part")

@@ -8,6 +8,7 @@ corpus. Minima over all eligible documents follow from counts: they are 0 as soo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import char_grams
-from tessera.operators.ranking import TIE, worst_tied_rank
+from tessera.operators.ranking import TIE, on_every_query, top, worst_tied
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -25,7 +26,7 @@ INELIGIBLE = -2.0
 BROADCAST_QUERIES = 10_000
 
 
-def _small(queries: DataFrame) -> DataFrame:
+def small(queries: DataFrame) -> DataFrame:
     """The query side, broadcast only after its size was checked."""
     return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
 
@@ -37,7 +38,7 @@ def term_frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFr
         rows = rows.repartition("doc_id")  # whole documents move once; what is grouped by doc_id later stays in place
     rows = rows.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     if wanted is not None:
-        rows = rows.join(_small(wanted), "term")
+        rows = rows.join(small(wanted), "term")
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -61,12 +62,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, post
     n, mean = stats.n_docs, stats.mean_length or 1.0
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = terms.select("term").distinct()
-    held = term_frequencies(docs, wanted) if postings is None else postings.join(_small(wanted), "term")
+    held = term_frequencies(docs, wanted) if postings is None else postings.join(small(wanted), "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     if wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         df = F.broadcast(df)  # a row for each wanted term at most
     part = bm25_idf(F.lit(float(n)), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    return held.join(df, "term").join(_small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return held.join(df, "term").join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def term_counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -99,9 +100,9 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, fitted_on: str = "queries"
     holders = base.join(grams, "term").select(key, "gram").distinct()
     idf = holders.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
     if fitted_on == "queries":
-        idf = _small(idf)
+        idf = small(idf)
     left, right = _weights(q, qg, idf, "query_id"), _weights(d, dg, idf, "doc_id")
-    return right.withColumnRenamed("w", "dw").join(_small(left), "gram").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
+    return right.withColumnRenamed("w", "dw").join(small(left), "gram").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
 
 
 def dual_tfidf(docs: DataFrame, folded: DataFrame, queries: DataFrame, folded_queries: DataFrame, fitted_on: str = "queries") -> DataFrame:
@@ -133,22 +134,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _query_matrix(queries: DataFrame, most: int) -> tuple[list | None, np.ndarray | None]:
+    """Ids and vectors of up to `most` queries; None of more."""
+    if queries.limit(most + 1).count() > most:
+        return None, None
+    ids = queries.select("query_id", "embedding").orderBy("query_id").collect()
+    return [r.query_id for r in ids], np.array([r.embedding for r in ids], dtype=np.float64)
+
+
+def _query_parts(queries: DataFrame, most: int) -> list[DataFrame]:
+    part = F.pmod(F.xxhash64("query_id"), F.lit(-(-queries.count() // most) * 2))
+    return [queries.where(part == r.p) for r in queries.select(part.alias("p")).distinct().collect()]
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, most_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, doc_id, score) of every document for a stated set of queries, exact; ineligible ones are -2.
 
     The query matrix is the broadcast side (its size is checked); documents stream past it in blocks, one matrix
     product each. More queries than most_queries go in blocks of as many."""
-    ids = queries.select("query_id", "embedding").orderBy("query_id").collect() if queries.limit(most_queries + 1).count() <= most_queries else None
-    if ids is None:
-        part = F.pmod(F.xxhash64("query_id"), F.lit(-(-queries.count() // most_queries) * 2))
-        parts = [r.p for r in queries.select(part.alias("p")).distinct().collect()]
-        out = None
-        for p in parts:
-            some = dense_scores(vectors, queries.where(part == p), (1 << 31) - 2)
-            out = some if out is None else out.unionByName(some)
-        return out
-    names = [r.query_id for r in ids]
-    matrix = np.array([r.embedding for r in ids], dtype=np.float64)
+    names, matrix = _query_matrix(queries, most_queries)
+    if names is None:
+        return reduce(DataFrame.unionByName, [dense_scores(vectors, q, (1 << 31) - 2) for q in _query_parts(queries, most_queries)])
     kind_q, kind_d = queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
     held = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
@@ -165,11 +171,37 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, most_queries: int = BRO
     return vectors.select("doc_id", "embedding", "eligible").mapInPandas(f, f"query_id {kind_q}, doc_id {kind_d}, score double")
 
 
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = None, most_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k documents of each query with the highest scores, ties by doc_id. Every
+    batch of documents hands on its own best k only, so what meets in a query's window does not grow with the corpus
+    times the queries. digits: scores are rounded before they are compared."""
+    names, matrix = _query_matrix(queries, most_queries)
+    if names is None:
+        parts = [dense_top(vectors, q, k, digits, (1 << 31) - 2) for q in _query_parts(queries, most_queries)]
+        return reduce(DataFrame.unionByName, parts)
+    held = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    kind_q, kind_d = queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, matrix = held.value
+        for rows in batches:
+            rows = rows[rows["eligible"].to_numpy(dtype=bool)].sort_values("doc_id", kind="stable")
+            if not len(rows) or not len(names):
+                continue
+            score = np.stack(rows["embedding"].to_numpy()).astype(np.float64) @ matrix.T
+            score = score if digits is None else np.round(score, digits)
+            best = np.argsort(-score, axis=0, kind="stable")[:k]
+            yield pd.DataFrame({"query_id": np.tile(np.array(names), len(best)), "doc_id": rows["doc_id"].to_numpy()[best].reshape(-1), "score": np.take_along_axis(score, best, axis=0).reshape(-1)})
+
+    some = vectors.select("doc_id", "embedding", "eligible").mapInPandas(f, f"query_id {kind_q}, doc_id {kind_d}, score double")
+    return top(some, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+
+
 def rrf(sources: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of positive evidence: worst-tied ranks among a source's positive rows, 1 / (k + rank)."""
     parts = None
     for s in sources:
-        ranked = s.where("score > 0").withColumn("rank", worst_tied_rank(["query_id"])).select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("part"))
+        ranked = worst_tied(s.where("score > 0"), ["query_id"]).select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("part"))
         parts = ranked if parts is None else parts.unionByName(ranked)
     return parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
@@ -231,5 +263,5 @@ def candidate_blend(pool: DataFrame, first_weight: float = 0.5) -> DataFrame:
 
 def on_every_window(scores: DataFrame, windows: DataFrame, queries: DataFrame) -> DataFrame:
     """Scores on the whole axis of windows for a stated set of queries: 0 where a window has none."""
-    axis = windows.select("window_id").crossJoin(_small(queries.select("query_id")))
+    axis = on_every_query(windows.select("window_id"), queries)
     return axis.join(scores, ["query_id", "window_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -7,7 +7,7 @@ from tessera.functions.text import NAMED
 
 def norm(x: str) -> str:
     """Normalisation for matching."""
-    return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^0-9a-zA-ZÀ-ỹđĐ\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(lower(nfc_normalize({x})), '[^0-9a-zA-ZÀ-ỹđĐ\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def folded(x: str) -> str:
@@ -15,7 +15,7 @@ def folded(x: str) -> str:
 
 
 def agree(x: str) -> str:
-    return rf"trim(regexp_replace(translate(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '_', ' '), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(translate(regexp_replace(lower(nfc_normalize({x})), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '_', ' '), '\s+', ' ', 'g'))"
 
 
 def toks(n: str) -> str:
@@ -199,8 +199,8 @@ _VIEWS = METRICS + """,
 vw AS (SELECT query_id, method_id AS view, video_rank, video_rr FROM m WHERE method_id = 'exact' OR video_rank = 1),
 vc AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.video_rank AS processed_rank, b.video_rank AS raw_rank, coalesce(a.video_rr, 0) - coalesce(b.video_rr, 0) AS rr_delta
        FROM (SELECT * FROM vw WHERE view = 'exact') a FULL JOIN (SELECT * FROM vw WHERE view = 'coarse') b ON a.query_id = b.query_id)"""
-_ROLE = f"""wt AS (SELECT role, window_id, video_id, {toks(norm("text"))} AS w FROM win WHERE role IN ('user', 'assistant')),
-ps AS (SELECT role, window_id, video_id, len(w) AS size, unnest(flatten([[{{'p': array_to_string(w[i : i + k - 1], ' '), 'k': k}} FOR i IN range(1, len(w) - k + 2)] FOR k IN range(3, 5)])) AS g FROM wt),
+_ROLE = f"""wt AS (SELECT role, window_id, video_id, {toks(norm("text"))} AS w FROM win),
+ps AS (SELECT role, window_id, video_id, len(w) AS size, unnest(flatten([[{{'p': array_to_string(w[i : i + k - 1], ' '), 'k': k}} FOR i IN range(1, len(w) - k + 2)] FOR k IN range(4, 9)])) AS g FROM wt),
 e AS (SELECT role, window_id, video_id, size, g.p AS phrase, g.k AS n, count(*) AS c FROM ps GROUP BY ALL),
 f AS (SELECT role AS model_id, phrase, n, sum(c)::BIGINT AS occurrences, count(DISTINCT video_id) AS videos, count(DISTINCT video_id) * max(least(1.0, c * n / size)) AS suspicion FROM e GROUP BY ALL HAVING count(DISTINCT video_id) >= 2)"""
 _REPEATS = f"""wt AS (SELECT window_id, text, {toks(norm("text"))} AS w FROM win),
@@ -213,7 +213,7 @@ gc AS (SELECT window_id, k, g, count(*) AS c FROM gg GROUP BY ALL),
 gs AS (SELECT window_id, k, sum(c)::BIGINT AS total, count(*) AS uniq, max(c) AS most, max_by(g, {{'c': c, 'g': g}}) AS top, (sum(c) - count(*)) / sum(c) AS ratio FROM gc GROUP BY ALL)"""
 SQL |= {
     "token_repetition_diagnostics": f"WITH {WIN}, {_REPEATS} SELECT wt.window_id, len(text) AS raw_characters, len(w) AS raw_tokens, coalesce(longest, 0) AS longest_run, coalesce(runs, 0) AS repeated_runs, round(greatest(coalesce(a.ratio, 0), coalesce(b.ratio, 0), coalesce(c.ratio, 0)), 6) AS repetition_score, coalesce(a.total, 0) AS ngram_3_total, coalesce(a.uniq, 0) AS ngram_3_unique, coalesce(a.most, 0) AS ngram_3_maximum_occurrence, CASE WHEN a.most > 1 THEN a.top END AS ngram_3_most_repeated, 0.1::DOUBLE AS real_time_factor FROM wt LEFT JOIN rn USING (window_id) LEFT JOIN gs a ON a.window_id = wt.window_id AND a.k = 3 LEFT JOIN gs b ON b.window_id = wt.window_id AND b.k = 4 LEFT JOIN gs c ON c.window_id = wt.window_id AND c.k = 5",
-    "runtime_gap": f"WITH {OPS}, n AS (SELECT min(model_id) AS a, (SELECT DISTINCT model_id FROM ops ORDER BY model_id LIMIT 1 OFFSET 1) AS b FROM ops) SELECT stage_id, round(max(mean_rtf) FILTER (model_id = a) - max(mean_rtf) FILTER (model_id = b), 6) AS mean_rtf_gap, round(max(p90_rtf) FILTER (model_id = a) - max(p90_rtf) FILTER (model_id = b), 6) AS p90_rtf_gap FROM ops, n GROUP BY stage_id",
+    "runtime_gap": f"WITH {OPS} SELECT a.stage_id, a.model_id AS model_a, b.model_id AS model_b, round(a.mean_rtf - b.mean_rtf, 6) AS mean_rtf_gap, round(a.p90_rtf - b.p90_rtf, 6) AS p90_rtf_gap FROM ops a JOIN ops b ON a.stage_id = b.stage_id AND a.model_id < b.model_id",
     "view_comparison": f"WITH {_VIEWS} SELECT query_id, processed_rank, raw_rank, {rel('processed_rank', 'raw_rank')} AS relation, round(rr_delta, 6) AS rr_delta FROM vc",
     "view_summary": f"WITH {_VIEWS}, r AS (SELECT {rel('processed_rank', 'raw_rank')} AS relation, rr_delta FROM vc) SELECT relation, count(*) AS queries, round(avg(rr_delta), 6) AS delta_mean, round(median(rr_delta), 6) AS delta_median FROM r GROUP BY relation",
     "pair_gates": f"WITH {_VIEWS}, j AS (SELECT b.view AS fast_view, a.view AS slow_view, a.video_rr - b.video_rr AS d FROM vw a JOIN vw b USING (query_id) WHERE a.view = 'exact' AND b.view = 'coarse') SELECT fast_view, slow_view, count(*) AS queries, round(avg(d), 6) AS deficit, avg(d) <= 0.02 AS passes FROM j GROUP BY ALL",

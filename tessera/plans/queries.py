@@ -89,8 +89,8 @@ def query_coverage(s, x):
 
 @query
 def dense_topk_exact(s, x):
-    scored = r.dense_scores(a.vectors(s, x), a.vector_queries(s, x)).withColumn("score", F.round("score", 9))
-    return k.top(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 20).select("query_id", "doc_id", six("score"), F.col("rank").cast("long").alias("rank"))
+    best = r.dense_top(a.vectors(s, x), a.vector_queries(s, x), 20, digits=9)
+    return best.select("query_id", "doc_id", six("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -102,7 +102,7 @@ def dense_l2_norm_check(s, x):
 def _sparse_for_vectors(s, x):
     """Lexical stand-in for vectors: the last digit of the ids agrees."""
     v, q = a.vectors(s, x).select("doc_id", (F.col("doc_id") % 10).alias("d")), a.vector_queries(s, x).select("query_id", (F.floor(F.col("query_id") / 20) % 10).alias("d"))
-    return v.join(F.broadcast(q), "d").select("query_id", "doc_id", ((F.col("doc_id") % 7 + 1) / 7.0).alias("score"))
+    return v.join(r.small(q), "d").select("query_id", "doc_id", ((F.col("doc_id") % 7 + 1) / 7.0).alias("score"))
 
 
 @query
@@ -153,7 +153,7 @@ def peak_isolation_gap(s, x):
 @query
 def worst_tied_ranks(s, x):
     rows = a.scores(s, x).withColumn("score", F.round("score", 1))
-    return rows.withColumn("rank", k.worst_tied_rank(["query_id"])).select("query_id", "window_id", "score", "rank")
+    return k.worst_tied(rows, ["query_id"]).select("query_id", "window_id", "score", "rank")
 
 
 @query
@@ -264,7 +264,7 @@ def composite_methods(s, x):
 
 @query
 def bootstrap_ci(s, x):
-    return e.bootstrap_interval(_metrics(s, x), "method_id", "video_rr", samples=500)
+    return e.bootstrap_interval(_metrics(s, x), "method_id", "video_rr")
 
 
 @query
@@ -512,8 +512,7 @@ def latest_status(s, x):
 @query
 def runtime_gap(s, x):
     m = d.operational_summary(a.runs(s, x), ["model_id", "stage_id"]).select("stage_id", "model_id", "mean_rtf", "p90_rtf")
-    names = [r_.model_id for r_ in m.select("model_id").distinct().orderBy("model_id").limit(2).collect()]
-    return p.gap_summary(m, ["stage_id"], "model_id", names[0], names[-1], ["mean_rtf", "p90_rtf"]).select("stage_id", six("mean_rtf_gap"), six("p90_rtf_gap"))
+    return p.gaps(m, ["stage_id"], "model_id", ["mean_rtf", "p90_rtf"]).select("stage_id", "model_a", "model_b", six("mean_rtf_gap"), six("p90_rtf_gap"))
 
 
 def _views(s, x):
@@ -546,7 +545,7 @@ def inspection_cases(s, x):
 @query
 def top_phrases_by_role(s, x):
     w_ = a.windows(s, x)
-    each = [d.mine_phrases(w_.where(F.col("role") == role), 3, 4, most=None).withColumn("model_id", F.lit(role)) for role in ("user", "assistant")]
+    each = [d.mine_phrases(w_.where(F.col("role") == role), most=None).withColumn("model_id", F.lit(role)) for role in ("user", "assistant", "system")]
     return p.top_phrases(g.unioned(each), 10).select("model_id", "phrase", "occurrences", "videos", F.col("place").cast("long").alias("place"))
 
 

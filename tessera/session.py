@@ -26,10 +26,16 @@ def session(name: str, cores: int | None = None, **conf: str) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set."""
-    import tempfile
-
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="tessera-shared-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may go without: it gets a
+    temporary one; on a cluster a machine's own folder would lose data, so it is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+            import tempfile
+
+            root = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        context.setCheckpointDir(root)
+    return context.getCheckpointDir()

@@ -185,3 +185,41 @@ def test_reports(spark):
     s = spark.createDataFrame([([([0.0, 1.5], " x  y ")],)], "s array<struct<timestamp:array<double>,text:string>>")
     assert tuple(s.select(p.canonical_segments(F.col("s"), "chunks").alias("c")).first().c[0]) == (0, 0.0, 1.5, "x y")
     assert set(p.pivot_by_view(m.where("model_id = 'w'"), ["video_rr"], ["raw", "processed"]).columns) == {"query_id", "raw", "processed"}
+
+
+def test_ties_start_at_a_groups_first_score(spark):
+    chain = [1.0, 1 - 0.8e-12, 1 - 1.6e-12, 0.5, 0.5, 0.5 - 0.9e-12, 0.1, float("-inf")]
+    s = scored(spark, [(q, f"{i}{q}", "v", 0.0, x) for q in "ab" for i, x in enumerate(chain)])
+    got = [r.rank for r in k.worst_tied(s, ["query_id"]).where("query_id = 'b'").orderBy("window_id").collect()]
+    assert got == [2, 2, 3, 6, 6, 6, 7, 8]
+    assert k.worst_tied(s.limit(0), ["query_id"]).count() == 0
+
+
+def test_pool_contract(spark):
+    pool = spark.createDataFrame([("a", "1", "v", "x"), ("a", "2", "w", "y"), ("b", "1", "v", "x"), ("b", "1", "v", " "), ("d", "1", "v", "x")], "query_id string, window_id string, video_id string, text string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")
+    got = sorted((r.query_id, r.problem) for r in g.pool_contract(pool, asked, 2, 1).collect())
+    assert got == [("b", "empty_text"), ("b", "repeated_window"), ("b", "video_count"), ("c", "no_pool"), ("d", "unknown_query")]
+
+
+def test_frontier_and_spacing(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(str(i), float(rng.randrange(40)), float(rng.randrange(40))) for i in range(500)]
+    want = {n for n, u, d_ in rows if not any(x >= u and y <= d_ and (x > u or y < d_) for _, x, y in rows)}
+    assert {r.name for r in k.pareto_frontier(spark.createDataFrame(rows, "name string, up double, down double"), "name", "up", "down").collect()} == want
+    ids = spark.range(1000).repartition(5)
+    assert [r.id for r in k.evenly_spaced(ids, "id", 4).orderBy("id").collect()] == [0, 333, 666, 999]
+    assert k.evenly_spaced(ids.limit(0), "id", 4).count() == 0 and [r.place for r in k.evenly_spaced(ids.limit(1), "id", 4).collect()] == [0]
+
+
+def test_dense_top_equals_all_scores(spark):
+    import random
+
+    rng = random.Random(6)
+    v = spark.createDataFrame([(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)], i % 7 != 0) for i in range(200)], "doc_id long, embedding array<double>, eligible boolean").repartition(6)
+    q = v.where("doc_id % 20 = 1").select(F.col("doc_id").alias("query_id"), "embedding")
+    every = k.top(r.dense_scores(v, q).where("score > -2"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 5)
+    key = lambda d_: sorted((x.query_id, x.rank, x.doc_id, x.score) for x in d_.collect())
+    assert key(r.dense_top(v, q, 5)) == key(every) == key(r.dense_top(v, q, 5, most_queries=3))
