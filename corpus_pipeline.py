@@ -1,7 +1,10 @@
 """The corpus pipeline: from raw documents to packed token ids, a stage at a time.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return docs' own columns.
+stage's docs. All but the last return docs' own columns, whatever their names.
+
+Every stage works on all rows of docs and on whole texts, however long; a table without rows gives none; nulls may stand
+in any column; equal rows are judged alike. What a stage does with nulls, ties and repeated rows is said with it.
 """
 
 from __future__ import annotations
@@ -18,27 +21,32 @@ from tessera.llm.token_files import token_digest
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the likelihood ratio keep."""
+    """Documents that the rules and the likelihood ratio keep. A null text has no words and goes; a null doc_id is not
+    trusted but judged as any other; a ratio equal to the threshold is kept."""
     return keep_quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the one whose doc_id names it. Null and empty texts are classes of
+    their own; rows without a doc_id stay; rows that repeat a doc_id are judged by their own texts, equal ones stay once."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item."""
+    """Documents without a window of any benchmark item. Null texts have no words and stay; benchmark items without id or
+    words have no windows."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for, each at least once."""
+    """Documents as often as their source's weight asks for, each at least once. A null source is a source of its own;
+    rows that repeat a doc_id are shown each, in order of their texts' digests where the budget's edge parts them."""
     return mix_rows(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token files, and what is read back from them per document."""
+    """Packed token files, and what is read back from them per document. Null texts are the end id alone; null doc_ids
+    come first; rows of one doc_id stand in order of their texts' hashes."""
     return token_digest(docs, tokenizer_path())
 
 

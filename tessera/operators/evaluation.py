@@ -30,25 +30,36 @@ def relevance(scores: DataFrame, queries: DataFrame, radius: float = 60.0, least
 
 def query_metrics(judged: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per query (and keys): first relevant rank inside the right video, the video's rank among videos, best
-    windows and videos, margins, recall flags and reciprocal ranks. Ranks are worst-tied; null without relevance."""
+    windows and videos with their scores, margins, counts of windows with evidence, recall flags and reciprocal ranks.
+    Ranks are worst-tied; null without relevance. judged may have `eligible`; other facts of a query are joined to the
+    result by query_id."""
     by = [*keys, "query_id"]
+    eligible = F.col("eligible") if "eligible" in judged.columns else F.lit(True)
+    positive = (F.col("score") > 0) & eligible
     story = judged.where("video_id = correct_video")
     story = worst_tied(story, by, "story_rank").withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*display_order())))
     one = story.groupBy(*by).agg(
         F.min(F.when(F.col("relevant"), F.col("story_rank"))).alias("first_relevant_rank"),
-        (F.max(F.when(F.col("relevant"), F.col("score"))) - F.max(F.when(~F.col("relevant"), F.col("score")))).alias("story_score_margin"),
-        F.max(F.when(F.col("place") == 1, F.col("window_id"))).alias("top_story_window_id"),
-    )
-    videos = judged.groupBy(*by, "video_id", "correct_video").agg(F.max("score").alias("score"), F.max((F.col("score") > 0).cast("int")).alias("positive"))
+        F.max(F.when(F.col("relevant"), F.col("score"))).alias("best_relevant_score"), F.max(F.when(~F.col("relevant"), F.col("score"))).alias("best_irrelevant_score"),
+        *(F.max(F.when(F.col("place") == 1, F.col(c))).alias(n) for c, n in (("window_id", "top_story_window_id"), ("start_s", "top_story_start_s"), ("end_s", "top_story_end_s"), ("score", "top_story_score"))),
+        F.sum(positive.cast("long")).alias("correct_video_positive_windows"),
+    ).withColumn("story_score_margin", F.col("best_relevant_score") - F.col("best_irrelevant_score"))
+    videos = judged.groupBy(*by, "video_id", "correct_video").agg(F.max("score").alias("score"), F.max(positive.cast("int")).alias("positive"), F.count("*").alias("windows"), F.sum(eligible.cast("long")).alias("eligible_windows"), F.sum(positive.cast("long")).alias("positive_windows"))
     videos = worst_tied(videos, by, "video_rank").withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*video_order())))
     right = F.col("video_id") == F.col("correct_video")
     two = videos.groupBy(*by).agg(
         F.max(F.when(right, F.col("video_rank"))).alias("video_rank"),
-        (F.max(F.when(right, F.col("score"))) - F.max(F.when(~right, F.col("score")))).alias("video_score_margin"),
+        F.max(F.when(right, F.col("score"))).alias("correct_video_score"),
+        F.max(F.when(~right, F.col("score"))).alias("best_wrong_video_score"),
         F.max(F.when(F.col("place") == 1, F.col("video_id"))).alias("top_video_id"),
+        F.max("score").alias("top_video_score"),
+        F.sum("windows").alias("physical_window_count"),
+        F.sum("eligible_windows").alias("eligible_window_count"),
+        F.sum("positive_windows").alias("positive_window_count"),
+        (F.sum("positive_windows") / F.sum("windows")).alias("positive_window_fraction"),
         F.sum("positive").alias("positive_video_count"),
         (F.max("positive") == 0).alias("zero_evidence"),
-    )
+    ).withColumn("video_score_margin", F.col("correct_video_score") - F.col("best_wrong_video_score"))
     out = two.join(one, by, "left")
     at = lambda rank, k: F.coalesce(F.col(rank) <= k, F.lit(False)).cast("double")
     return out.select(

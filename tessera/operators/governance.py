@@ -128,3 +128,85 @@ def table_identity(rows: DataFrame, columns: list[str]) -> DataFrame:
     h = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
     word = lambda k: F.sum(F.conv(F.substring(h, k, 8), 16, 10).cast("decimal(38,0)"))
     return rows.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(word(1 + 8 * k).cast("string") for k in range(8))), 256).alias("digest"))
+
+
+def benchmark_problems(queries: DataFrame, windows: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """What is wrong with a benchmark, as (problem, n): counts that differ from the expected ones (query_count,
+    window_count, video_count), repeated ids, windows without length, queries of videos without windows, and queries
+    that stand in several splits. queries: query_id, correct_video, split; windows: window_id, video_id, start_s, end_s."""
+    videos = windows.select("video_id").distinct()
+    sizes = {"query_count": queries, "window_count": windows, "video_count": videos}
+    counted = [sizes[name].agg((F.count("*") - n).alias("n")).select(F.lit(name).alias("problem"), "n") for name, n in expected.items()]
+    found = [
+        duplicate_keys(windows, ["window_id"]).agg(F.count("*").alias("n")).select(F.lit("repeated_window").alias("problem"), "n"),
+        windows.where(~F.coalesce(F.col("end_s") > F.col("start_s"), F.lit(False))).agg(F.count("*").alias("n")).select(F.lit("no_duration").alias("problem"), "n"),
+        queries.join(videos.withColumnRenamed("video_id", "correct_video"), "correct_video", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_video").alias("problem"), "n"),
+        queries.groupBy("query_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1").agg(F.count("*").alias("n")).select(F.lit("split_overlap").alias("problem"), "n"),
+    ]
+    return unioned([*counted, *found]).where("n <> 0")
+
+
+def corpus_contract(queries: DataFrame, holdout: DataFrame, count: int, digest: str | None, columns: list[str]) -> DataFrame:
+    """Whether a query set is the agreed one, as (check, passes): its count, its digest (see table_identity; not asked
+    for if None), and that no query of the holdout is in it."""
+    own = table_identity(queries, columns).first()
+    leaked = leakage(queries, holdout, "query_id").limit(1).count()
+    rows = [("query_count", own.n == count), ("holdout_leakage", not leaked)] + ([("digest", own.digest == digest)] if digest is not None else [])
+    return queries.sparkSession.createDataFrame(rows, "check string, passes boolean")
+
+
+def frozen(rows: DataFrame, columns: list[str]) -> dict:
+    """The identity of a table to write down: its columns, count and digest."""
+    r = table_identity(rows, columns).first()
+    return {"columns": sorted(columns), "n": r.n, "digest": r.digest}
+
+
+def prerequisite_problems(tables: dict[str, DataFrame], contracts: dict[str, dict]) -> list[str]:
+    """What keeps a stage from starting: a table that is missing, lacks columns, or is not the one that was frozen."""
+    out = []
+    for name, c in sorted(contracts.items()):
+        if name not in tables:
+            out.append(f"{name} is missing")
+            continue
+        lacking = sorted(set(c["columns"]) - set(tables[name].columns))
+        if lacking:
+            out.append(f"{name} lacks {', '.join(lacking)}")
+        elif frozen(tables[name], c["columns"]) != {**c, "columns": sorted(c["columns"])}:
+            out.append(f"{name} is not the frozen table")
+    return out
+
+
+def verify_inventory(inventory: DataFrame, frozen_inventory: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Differences of an inventory from the frozen one, as (key, problem): missing, extra, or changed."""
+    now = inventory.select(key, F.sha2(F.to_json(F.struct(*sorted(fields))), 256).alias("now"))
+    then = frozen_inventory.select(key, F.sha2(F.to_json(F.struct(*sorted(fields))), 256).alias("then"))
+    kind = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "extra").when(F.col("now") != F.col("then"), "changed")
+    return now.join(then, key, "full").select(key, kind.alias("problem")).where("problem is not null")
+
+
+def config_problems(config: dict, required: dict[str, tuple]) -> list[str]:
+    """Keys of a stage's configuration that are missing or not among their allowed values. required: a dotted key to
+    its allowed values (empty: any)."""
+    out = []
+    for key, allowed in sorted(required.items()):
+        at = config
+        for part in key.split("."):
+            at = at.get(part) if isinstance(at, dict) else None
+        if at is None:
+            out.append(f"{key} is missing")
+        elif allowed and at not in allowed:
+            out.append(f"{key} is {at!r}, not one of {list(allowed)}")
+    return out
+
+
+def in_any(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns are each among the wanted values; a column without wanted values is not asked."""
+    for c, values in wanted.items():
+        if values:
+            rows = rows.where(F.col(c).isin(list(values)))
+    return rows
+
+
+def split_rows(rows: DataFrame, split: str, column: str = "split") -> DataFrame:
+    """Rows of an evaluation split, or all."""
+    return rows if split == "all" else rows.where(F.col(column) == split)

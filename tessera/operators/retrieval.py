@@ -265,3 +265,19 @@ def on_every_window(scores: DataFrame, windows: DataFrame, queries: DataFrame) -
     """Scores on the whole axis of windows for a stated set of queries: 0 where a window has none."""
     axis = on_every_query(windows.select("window_id"), queries)
     return axis.join(scores, ["query_id", "window_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def legacy_scores(windows: DataFrame, queries: DataFrame, lexical: DataFrame, semantic: DataFrame, lexical_weight: float = 0.5, semantic_weight: float = 0.5) -> DataFrame:
+    """The oldest scorer's long rows: every window for a stated set of queries, with lexical, semantic and final score,
+    0 where a window is not scored or has no evidence, and why. windows: window_id, video_id, start_s, end_s,
+    zero_reason; lexical and semantic: query_id, doc_id, score (semantic ones are clipped to 0 .. 1)."""
+    total = lexical_weight + semantic_weight
+    if total <= 0:
+        raise ValueError("the weights must sum to more than 0")
+    side = lambda d, name: d.select("query_id", F.col("doc_id").alias("window_id"), F.col("score").alias(name))
+    axis = on_every_query(windows, queries)
+    both = axis.join(side(lexical, "lexical_score"), ["query_id", "window_id"], "left").join(side(clipped(semantic), "semantic_score"), ["query_id", "window_id"], "left")
+    scored = F.col("zero_reason").isNull()
+    value = lambda c: F.when(scored, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    out = both.withColumn("lexical_score", value("lexical_score")).withColumn("semantic_score", value("semantic_score")).withColumn("is_scored", scored)
+    return out.withColumn("final_score", (lexical_weight * F.col("lexical_score") + semantic_weight * F.col("semantic_score")) / total)

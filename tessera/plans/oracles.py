@@ -54,11 +54,12 @@ judged0 AS (SELECT *, video_id = correct_video AND overlap_s >= 30 AS relevant F
 judged AS (SELECT *, 'exact' AS method_id FROM judged0 UNION ALL SELECT * REPLACE (round(score, 1) AS score), 'coarse' AS method_id FROM judged0)"""
 METRICS = JUDGED + f""",
 story AS (SELECT *, {worst("method_id, query_id")} AS story_rank, row_number() OVER (PARTITION BY method_id, query_id ORDER BY score DESC, start_s, window_id) AS place FROM judged WHERE video_id = correct_video),
-one AS (SELECT method_id, query_id, min(story_rank) FILTER (relevant) AS first_relevant_rank, max(score) FILTER (relevant) - max(score) FILTER (NOT relevant) AS story_score_margin, max(window_id) FILTER (place = 1) AS top_story_window_id FROM story GROUP BY ALL),
-vid0 AS (SELECT method_id, query_id, video_id, correct_video, max(score) AS score, max((score > 0)::INT) AS positive FROM judged GROUP BY ALL),
+one AS (SELECT method_id, query_id, min(story_rank) FILTER (relevant) AS first_relevant_rank, max(score) FILTER (relevant) AS best_relevant_score, max(score) FILTER (NOT relevant) AS best_irrelevant_score, best_relevant_score - best_irrelevant_score AS story_score_margin, max(window_id) FILTER (place = 1) AS top_story_window_id,
+        max(start_s) FILTER (place = 1) AS top_story_start_s, max(end_s) FILTER (place = 1) AS top_story_end_s, max(score) FILTER (place = 1) AS top_story_score, count(*) FILTER (score > 0) AS correct_video_positive_windows FROM story GROUP BY method_id, query_id),
+vid0 AS (SELECT method_id, query_id, video_id, correct_video, max(score) AS score, max((score > 0)::INT) AS positive, count(*) AS windows, count(*) FILTER (score > 0) AS positive_windows FROM judged GROUP BY ALL),
 vid AS (SELECT *, {worst("method_id, query_id")} AS video_rank0, row_number() OVER (PARTITION BY method_id, query_id ORDER BY score DESC, video_id) AS place FROM vid0),
-two AS (SELECT method_id, query_id, max(video_rank0) FILTER (video_id = correct_video) AS video_rank, max(score) FILTER (video_id = correct_video) - max(score) FILTER (video_id <> correct_video) AS video_score_margin,
-        max(video_id) FILTER (place = 1) AS top_video_id, sum(positive)::BIGINT AS positive_video_count, max(positive) = 0 AS zero_evidence FROM vid GROUP BY ALL),
+two AS (SELECT method_id, query_id, max(video_rank0) FILTER (video_id = correct_video) AS video_rank, max(score) FILTER (video_id = correct_video) AS correct_video_score, max(score) FILTER (video_id <> correct_video) AS best_wrong_video_score, correct_video_score - best_wrong_video_score AS video_score_margin, max(score) AS top_video_score,
+        sum(windows)::BIGINT AS physical_window_count, sum(positive_windows)::BIGINT AS positive_window_count, sum(positive_windows) / sum(windows) AS positive_window_fraction, max(video_id) FILTER (place = 1) AS top_video_id, sum(positive)::BIGINT AS positive_video_count, max(positive) = 0 AS zero_evidence FROM vid GROUP BY method_id, query_id),
 m AS (SELECT *, coalesce(1.0 / first_relevant_rank, 0) AS story_rr, coalesce(1.0 / video_rank, 0) AS video_rr, (coalesce(video_rank <= 3, false))::INT::DOUBLE AS video_recall_at_3, (coalesce(first_relevant_rank <= 3, false))::INT::DOUBLE AS story_recall_at_3
       FROM two LEFT JOIN one USING (method_id, query_id)),
 c AS (SELECT a.query_id, a.method_id AS candidate_method, a.first_relevant_rank AS s1, b.first_relevant_rank AS s0, a.video_rank AS v1, b.video_rank AS v0, a.story_rr - b.story_rr AS story_rr_delta, a.video_rr - b.video_rr AS video_rr_delta,
@@ -229,5 +230,7 @@ SQL |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from tessera.plans.review_oracles import REVIEWS
+
+    return SQL | REVIEWS
 

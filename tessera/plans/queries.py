@@ -613,4 +613,6 @@ def score_cache_round_trip(s, x):
 
 
 def queries() -> dict[str, Query]:
+    from tessera.plans import review_queries  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
