@@ -7,11 +7,13 @@ corpus. Minima over all eligible documents follow from counts: they are 0 as soo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ RRF_K = 60
 INELIGIBLE = -2.0
 #: Queries up to which the query side is broadcast; beyond it Spark chooses.
 BROADCAST_QUERIES = 10_000
+#: Entries of a matrix of queries and character n-grams up to which it travels with the tasks.
+MATRIX_ENTRIES = 16_000_000
 
 
 def small(queries: DataFrame) -> DataFrame:
@@ -92,11 +96,16 @@ def _weights(terms: DataFrame, grams: DataFrame, idf: DataFrame, key: str) -> Da
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, fitted_on: str = "queries") -> DataFrame:
     """(query_id, doc_id, score): cosine of character 3- to 5-gram TF-IDF vectors, vocabulary and idf from the queries
     or from the eligible documents. idf is ln((1 + n) / (1 + df)) + 1. N-grams lie inside words, so they are made of
-    the distinct words and reach documents through their word counts."""
+    the distinct words and reach documents through their word counts. Vectors of few queries meet the documents where
+    these lie; of many, both sides meet by n-gram."""
     d, q = term_counts(docs.where("eligible"), "doc_id"), term_counts(queries, "query_id")
     dg, qg = grams_of(d), grams_of(q)
     base, grams, key, side = (q, qg, "query_id", queries) if fitted_on == "queries" else (d, dg, "doc_id", docs.where("eligible"))
     n = side.count()
+    if fitted_on == "queries":
+        sizes = qg.agg(F.count_distinct("gram").alias("grams")).first().grams
+        if sizes * n <= MATRIX_ENTRIES:
+            return _tfidf_in_batches(docs.where("eligible"), queries)
     holders = base.join(grams, "term").select(key, "gram").distinct()
     idf = holders.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
     if fitted_on == "queries":
@@ -105,6 +114,58 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, fitted_on: str = "queries"
     return right.withColumnRenamed("w", "dw").join(small(left), "gram").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
 
 
+def _char_grams(word: str, low: int = 3, high: int = 5) -> list[str]:
+    """text.char_grams of one word."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in range(low, max(low, min(high, len(padded))) + 1) for i in range(max(1, len(padded) - n + 1))]
+
+
+def _tfidf_in_batches(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """tfidf_cosine fitted on few queries, in one scan of the documents: the queries' vectors are a matrix of checked
+    size that travels with the tasks; a document's vector, its norm and its products are made where it lies."""
+    rows = queries.select("query_id", "terms").collect()
+    counts = [Counter(g for x in r.terms for g in _char_grams(x)) for r in rows]
+    at = {g: k for k, g in enumerate(sorted({g for c in counts for g in c}))}
+    df = Counter(g for c in counts for g in c)
+    idf = np.array([np.log((1 + len(rows)) / (1 + df[g])) + 1 for g in at])
+    matrix = np.zeros((len(rows), len(at)))
+    for k, c in enumerate(counts):
+        for g, n in c.items():
+            matrix[k, at[g]] = n * idf[at[g]]
+    matrix /= np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), 1e-300)
+    held = docs.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], at, idf, matrix))
+    kind_q, kind_d = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, at, idf, matrix = held.value
+        ids = pa.array(names)
+        known: dict[str, np.ndarray] = {}
+        step = max(1, (1 << 21) // max(1, len(at)))
+        for batch in batches:
+            lists = batch.column(1)
+            terms, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            for low in range(0, batch.num_rows, step):
+                high = min(batch.num_rows, low + step)
+                w = np.zeros((high - low, len(at)))
+                for row in range(low, high):
+                    for term, n in Counter(terms[ends[row] : ends[row + 1]]).items():
+                        places = known.get(term)
+                        if places is None:
+                            places = np.array([at[g] for g in _char_grams(term) if g in at], dtype=np.int64)
+                            if len(known) < 1_000_000:
+                                known[term] = places
+                        if len(places):
+                            np.add.at(w[row - low], places, n)
+                w *= idf
+                norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
+                score = (w / np.maximum(norm, 1e-300)) @ matrix.T
+                x, y = np.nonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(y)), batch.column(0).take(pa.array(x + low)), pa.array(score[x, y])], ["query_id", "doc_id", "score"])
+
+    return docs.select("doc_id", "terms").mapInArrow(f, f"query_id {kind_q}, doc_id {kind_d}, score double")
+
+
 def dual_tfidf(docs: DataFrame, folded: DataFrame, queries: DataFrame, folded_queries: DataFrame, fitted_on: str = "queries") -> DataFrame:
     """The better of the cosines with and without marks on letters."""
     a = tfidf_cosine(docs, queries, fitted_on)

@@ -223,3 +223,13 @@ def test_dense_top_equals_all_scores(spark):
     every = k.top(r.dense_scores(v, q).where("score > -2"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 5)
     key = lambda d_: sorted((x.query_id, x.rank, x.doc_id, x.score) for x in d_.collect())
     assert key(r.dense_top(v, q, 5)) == key(every) == key(r.dense_top(v, q, 5, most_queries=3))
+
+
+def test_tfidf_of_few_and_many_queries(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["hổ", "vàng", "hổ"], True), (2, ["vàngs", "x"], True), (3, [], True), (4, ["hổ"], False), (5, ["qq"], True)], "doc_id long, terms array<string>, eligible boolean")
+    q = spark.createDataFrame([("a", ["hổ", "to"]), ("b", ["vàng", "vàng"]), ("c", [])], "query_id string, terms array<string>")
+    key = lambda d_: {(x.query_id, x.doc_id): pytest.approx(x.score, abs=1e-12) for x in d_.collect()}
+    few = key(r.tfidf_cosine(docs, q))
+    monkeypatch.setattr(r, "MATRIX_ENTRIES", 0)
+    many = key(r.tfidf_cosine(docs, q))
+    assert few == many and len(few) >= 3
