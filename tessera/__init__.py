@@ -11,9 +11,10 @@ import importlib
 
 _PUBLIC = {
     "tessera.operators.evaluation": "compare_methods metric_summary query_metrics relevance",
-    "tessera.operators.governance": "contract identity_sides missing_and_extra",
+    "tessera.operators.governance": "benchmark_problems contract corpus_contract frozen identity_sides missing_and_extra pool_contract prerequisite_problems verify_inventory",
     "tessera.operators.ranking": "aggregate_videos candidate_pool capped_pool final_order pareto_frontier supporting_windows",
-    "tessera.operators.retrieval": "bm25 dense_scores dual_tfidf rrf tfidf_cosine weighted_fusion",
+    "tessera.operators.retrieval": "bm25 dense_scores dense_top dual_tfidf legacy_scores rrf tfidf_cosine weighted_fusion",
+    "tessera.operators.summaries": "aggregation_summary dual_summary failure_review method_summary rerank_metrics target_results target_summary",
     "tessera.operators.windowing": "consecutive_duplicates physical_windows processed",
     "tessera.plans.search": "Engine SearchConfig",
     "tessera.sources.release": "Release activate active build_release load_release validate_release",

@@ -6,7 +6,7 @@ import hashlib
 import io
 import math
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,3 +94,39 @@ def probe(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "rate", "channels", "samples", "duration_s", "error"])
 
     return files.select("path", "content").mapInPandas(f, "path string, rate int, channels int, samples long, duration_s double, error string")
+
+
+def command(program: str, *arguments: str, seconds: float = 60.0, content: bytes = b"") -> bytes:
+    """Output of an external program that reads standard input; an error if it is not there, fails or takes too long."""
+    import shutil
+    import subprocess
+
+    if shutil.which(program) is None:
+        raise FileNotFoundError(f"{program} is not installed")
+    done = subprocess.run([program, *arguments], input=content, capture_output=True, timeout=seconds, check=False)
+    if done.returncode:
+        raise ValueError(f"{program} failed: {done.stderr.decode(errors='replace')[-500:]}")
+    return done.stdout
+
+
+def wav_by_ffmpeg(content: bytes, rate: int = RATE, seconds: float = 600.0) -> bytes:
+    """A container's first audio track as mono 16-bit WAV, by ffmpeg."""
+    return command("ffmpeg", "-v", "error", "-i", "pipe:0", "-map", "0:a:0", "-ac", "1", "-ar", str(rate), "-c:a", "pcm_s16le", "-f", "wav", "pipe:1", seconds=seconds, content=content)
+
+
+def extract(files: DataFrame, decode: Callable[[bytes], bytes] = wav_by_ffmpeg) -> DataFrame:
+    """WAV of media rows (path, content): path, content, error. WAV files are taken as they are and others go through
+    decode; a file that cannot be decoded is a row with an error and no content."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    raw = bytes(content)
+                    rows.append((path, raw if raw[:4] == b"RIFF" else decode(raw), None))
+                except Exception as e:
+                    rows.append((path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(f, "path string, content binary, error string")
