@@ -4,8 +4,9 @@ A text is first given to a language family, by one linear support vector machine
 then to a language of that family, by one-versus-one linear support vector machines. Features are the square roots
 of the relative frequencies of hashed byte trigrams of the whole lower-cased text, so they have unit length.
 
-Training uses at most about TRAIN_ROWS labelled documents of each language (a documented bound; they are picked by a
-hash, evenly over the table), whose features are gathered on the driver: TRAIN_ROWS * DIM floats a language.
+Training uses at most about TRAIN_ROWS labelled documents of each language, TRAIN_TOTAL of all, of the LANGUAGES
+languages with the most labelled documents (documented bounds; documents are picked by a hash, evenly over the table).
+Their features are gathered on the driver: at most TRAIN_TOTAL * DIM floats, whatever stands in the lang column.
 Prediction is one scan without a shuffle; the weights, one row of DIM floats per machine, are broadcast.
 """
 
@@ -22,10 +23,14 @@ from tessera.llm.shared import lean, slices, text_array
 from tessera.llm.textvec import raw_bytes
 
 DIM = 1 << 12
-TRAIN_ROWS = 300
+TRAIN_ROWS, TRAIN_TOTAL, LANGUAGES = 300, 30_000, 200
+#: Bytes whose features are made at a time.
+SPAN_BYTES = 2 << 20
+#: Rows whose features are held at a time.
+MOST_ROWS = 1024
 UNDECIDED = "und"
-#: Passes of dual coordinate descent, and the machines' penalty.
-PASSES, PENALTY = 30, 10.0
+#: Passes of dual coordinate descent at most, the gradient at which it ends, and the machines' penalty.
+PASSES, NEAR, PENALTY = 300, 1e-2, 10.0
 #: Slope from a machine's margin to a probability.
 SLOPE = 4.0
 
@@ -62,19 +67,35 @@ def features(texts: pa.LargeStringArray) -> np.ndarray:
     n = len(offsets) - 1
     if not len(data):
         return np.zeros((n, DIM), dtype=np.float32)
-    b = _FOLD[data].astype(np.uint32)
-    fresh = np.zeros(len(b) + 1, dtype=bool)
-    fresh[offsets] = True
-    before = np.where(fresh[:-1], np.uint32(0x20), np.concatenate([b[:1], b[:-1]]))
-    after = np.where(fresh[1:], np.uint32(0x20), np.concatenate([b[1:], b[-1:]]))
-    code = ((before << np.uint32(16)) | (b << np.uint32(8)) | after) * np.uint32(0x9E3779B1) >> np.uint32(20)
-    keep = ~((b == 0x20) & ((before == 0x20) | (after == 0x20)))
-    text = np.repeat(np.arange(n, dtype=np.int64) * DIM, np.diff(offsets))
-    counts = np.bincount((text + code)[keep], minlength=n * DIM).reshape(n, DIM)
+    counts = np.zeros(n * DIM, dtype=np.int64)
+    starts = np.zeros(len(data) + 1, dtype=bool)
+    starts[offsets] = True
+    for low in range(0, len(data), SPAN_BYTES):
+        high = min(len(data), low + SPAN_BYTES)
+        b = _FOLD[data[max(0, low - 1) : high + 1]].astype(np.uint32)  # with a byte on either side
+        own = b[low > 0 :][: high - low]
+        fresh = starts[low : high + 1]
+        before = np.where(fresh[:-1], np.uint32(0x20), b[: high - low] if low else np.concatenate([b[:1], own[:-1]]))
+        after = np.where(fresh[1:], np.uint32(0x20), b[(low > 0) + 1 :][: high - low] if high < len(data) else np.concatenate([own[1:], own[-1:]]))
+        code = ((before << np.uint32(16)) | (own << np.uint32(8)) | after) * np.uint32(0x9E3779B1) >> np.uint32(20)
+        keep = ~((own == 0x20) & ((before == 0x20) | (after == 0x20)))
+        first, last = np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high)
+        text = np.repeat(np.arange(first, last, dtype=np.int64) * DIM, np.diff(np.clip(offsets[first : last + 1], low, high)))
+        place = (text + code)[keep]
+        part = np.bincount(place - first * DIM, minlength=(last - first) * DIM)
+        counts[first * DIM : last * DIM] += part
+    counts = counts.reshape(n, DIM)
     total = counts.sum(axis=1, keepdims=True)
     return np.sqrt(counts / np.maximum(total, 1)).astype(np.float32)
 
 
+def _parts(texts: pa.LargeStringArray):
+    """Row ranges of bounded bytes and of at most MOST_ROWS rows, a row of features each."""
+    for a, b in slices(texts):
+        for low in range(a, b, MOST_ROWS):
+            yield low, min(b, low + MOST_ROWS)
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (the last is the bias) of a linear support vector machine with squared hinge loss, y of -1 and 1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
@@ -84,12 +105,16 @@ def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     a, w = np.zeros(len(x)), np.zeros(x.shape[1], np.float32)
     order = np.random.default_rng(0)
     for _ in range(PASSES):
+        far = 0.0
         for i in order.permutation(len(x)):
             g = y[i] * float(x[i] @ w) - 1 + a[i] * slack[i]
+            far = max(far, abs(g) if a[i] > 0 else -g)
             new = max(0.0, a[i] - g / norm[i])
             if new != a[i]:
                 w += np.float32((new - a[i]) * y[i]) * x[i]
                 a[i] = new
+        if far < NEAR:
+            break
     return w
 
 
@@ -138,19 +163,20 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 def train(docs: DataFrame) -> Model | None:
     """A model of the languages in docs.lang, or None without labelled text."""
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
+    each = min(TRAIN_ROWS, TRAIN_TOTAL // len(sizes))
     share = F.lit(0)
     for c in languages:
-        share = F.when(F.col("lang") == c, int(min(1.0, TRAIN_ROWS / sizes[c]) * 1_000_000)).otherwise(share)
+        share = F.when(F.col("lang") == c, int(min(1.0, each / sizes[c]) * 1_000_000)).otherwise(share)
     some = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share).select("text", "lang")
 
     def measure(batches):
         for batch in batches:
             texts = text_array(batch)
-            rows = [v.tobytes() for a, b in slices(texts) for v in features(texts.slice(a, b - a))]
+            rows = [v.tobytes() for a, b in _parts(texts) for v in features(texts.slice(a, b - a))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["lang", "x"])
 
     rows = sorted((r.lang, bytes(r.x)) for r in some.mapInArrow(lean(measure), "lang string, x binary").collect())
@@ -164,8 +190,9 @@ def train(docs: DataFrame) -> Model | None:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """The language of every whole text: one row per input row with doc_id, lang_pred and score.
 
-    A text that is null or has no letter is `und` with score 0, as is every text if there is no model. Repeated rows
-    get the same answer; only doc_id and text are read.
+    A text that is null or has no letter is `und` with score 0, as is every text if there is no model. Of machines or
+    languages with equal margins the first by name wins; very long texts are read whole; repeated rows get the same
+    answer; a table without rows gives none; only doc_id and text are read, whatever other columns are called.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = text_array(batch)
             language, score = [], []
-            for a, b in slices(texts):
+            for a, b in _parts(texts):
                 part = texts.slice(a, b - a)
                 lettered = np.array([any(map(str.isalpha, t.as_py())) for t in part])
                 if m is None:

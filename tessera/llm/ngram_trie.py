@@ -47,6 +47,8 @@ ORDER = 3
 DISCOUNT = 0.75
 #: Text bytes of a vectorised step, and entries after which a task's sums are merged.
 STEP_BYTES, MERGE_AT = 4 << 20, 3_000_000
+#: Tokens of a single text that are worked on at a time.
+SPAN_TOKENS = 1 << 20
 #: Entries that a task holds before it hands them on.
 FLUSH_AT = 12_000_000
 #: Text bytes that one bucket of words stands for; n-grams of a level's shard, about; text bytes of the sample.
@@ -80,6 +82,18 @@ def token_hashes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def spans(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(tokens, offsets, tokens to leave out) of the texts, a single very long one in spans that begin with the ORDER - 1
+    tokens before: what is made of a token and its context is the same, in bounded memory."""
+    if len(first) != 2 or len(hashes) <= SPAN_TOKENS:
+        yield hashes, first, 0
+        return
+    for at in range(0, len(hashes), SPAN_TOKENS):
+        low = max(0, at - (ORDER - 1))
+        part = hashes[low : at + SPAN_TOKENS]
+        yield part, np.array([0, len(part)]), at - low
+
+
 class Sums:
     """Counts of 64-bit keys, merged now and then."""
 
@@ -412,11 +426,12 @@ def _count_words(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _ngrams(reader: Reader, texts: pa.LargeStringArray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(page, keys) of the n-grams of an order, all orders below being in the trie."""
-    context, child, _ = reader.walk(*token_hashes(texts), order - 1).keys(order)
-    can = child >= 0
-    page, keys = _paged(context[can], child[can], bits)
-    for p in np.unique(page).tolist():
-        yield p, keys[page == p]
+    for hashes, first, skip in spans(*token_hashes(texts)):
+        context, child, tokens = reader.walk(hashes, first, order - 1).keys(order)
+        can = (child >= 0) & (tokens >= skip)
+        page, keys = _paged(context[can], child[can], bits)
+        for p in np.unique(page).tolist():
+            yield p, keys[page == p]
 
 
 @dataclass
@@ -579,9 +594,12 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             out: list[list[np.ndarray]] = [[], [], [], []]
             for texts in _steps(batch):
                 hashes, first = token_hashes(texts)
-                walk = reader.walk(hashes, first, 1 + len(trie.levels))
-                sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
-                for column, x in zip(out, (np.diff(first), sums((walk.count > 0).astype(np.int64)), sums(np.log10(walk.p1)), sums(np.log10(walk.p))), strict=True):
+                parts = []
+                for h, f, skip in spans(hashes, first):
+                    walk = reader.walk(h, f, 1 + len(trie.levels))
+                    values = ((walk.count > 0).astype(np.int64), np.log10(walk.p1), np.log10(walk.p))
+                    parts.append([np.add.reduceat(x, f[:-1]) if not skip else x[skip:].sum(keepdims=True) for x in values])
+                for column, x in zip(out, (np.diff(first), *(sum(p[1:], p[0]) for p in zip(*parts, strict=True))), strict=True):
                     column.append(x)
             whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(whole, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])

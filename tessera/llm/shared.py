@@ -14,14 +14,18 @@ SLICE_BYTES = 2 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir; a temporary one is set only where none is configured."""
-    root = spark.sparkContext.getCheckpointDir()
+    """The shared folder of the session's spark.checkpoint.dir. Only a local session may go without: it gets a temporary
+    one; on a cluster a machine's own folder would lose data, so it is an error."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir()
     if root is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(root)
+        root = context.getCheckpointDir()
     return root
 
 
