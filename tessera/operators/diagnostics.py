@@ -63,10 +63,11 @@ def near_pairs(windows: DataFrame, least: float = NEAR, block: int = BLOCK) -> D
     """Pairs of windows with a character n-gram cosine of `least` or more: (left_id, right_id, similarity).
 
     windows: window_id and text. Windows of one text are one class, named by its first window, so copies form no
-    pairs. The similarity of TF-IDF vectors has no selective filter at this threshold, so classes are compared in
-    pairs of blocks, each by its inverted lists: a task holds two blocks of vectors, only pairs above the threshold
-    become rows, and no list of a frequent n-gram leaves its task. Work grows with the square of the classes over
-    the block size; for whole corpora use a shingle join."""
+    pairs. Classes are compared in pairs of blocks: a task holds two blocks of vectors and only pairs above the threshold
+    become rows. Inside, a vector's n-grams stand by rarity; two vectors can only be similar if they share one of the
+    first, before what is left of the vector is shorter than the threshold, so only the lists of these are read, and what
+    they give is verified exactly. What is moved grows with the classes times their blocks; for whole corpora use a
+    shingle join."""
     norm = windows.select("window_id", t.for_matching(F.col("text")).alias("norm")).where("norm <> ''")
     classes = norm.groupBy("norm").agg(F.min("window_id").alias("class_id"), F.count("*").alias("members"))
     size = classes.agg(F.sum("members").alias("n"), F.count("*").alias("k")).first()
@@ -91,21 +92,39 @@ def _compare_blocks(least: float):
         grams, weights = np.concatenate(rows["g"].to_numpy()), np.concatenate(rows["w"].to_numpy())
         holder = np.repeat(np.arange(len(ids)), sizes)
         weights = weights / np.sqrt(np.bincount(holder, weights=weights * weights))[holder]
-        value, place = np.unique(grams, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        ends = np.cumsum(np.bincount(place, minlength=len(value)))
-        first = ends - np.bincount(place, minlength=len(value))
-        listed, of = holder[order], weights[order]
+        value, place, df = np.unique(grams, return_inverse=True, return_counts=True)
+        rarity = np.lexsort((value, df))  # rare n-grams first
+        rank = np.empty(len(value), dtype=np.int64)
+        rank[rarity] = np.arange(len(value))
+        order = np.lexsort((rank[place], holder))  # each vector by rarity
+        place, weights = rank[place[order]], weights[order]
         where = np.concatenate([[0], np.cumsum(sizes)])
+        # what is left of a vector from each n-gram on; once that is shorter than `least`, the pair must share one before
+        left = np.cumsum(weights[::-1] ** 2)[::-1]
+        left = left - np.repeat(np.append(left, 0.0)[where[1:]], sizes)
+        prefix = left >= least * least - 1e-9
+        in_prefix = np.flatnonzero(prefix)
+        listed = in_prefix[np.argsort(place[in_prefix], kind="stable")]  # prefix entries by n-gram
+        first = np.searchsorted(place[listed], np.arange(len(value) + 1))
+        dense = np.zeros(len(value))
         out = []
         for x in range(len(ids)):
-            slots, mine = place[where[x] : where[x + 1]], weights[where[x] : where[x + 1]]
-            many = ends[slots] - first[slots]
-            at = np.repeat(first[slots], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            like = np.bincount(listed[at], weights=of[at] * np.repeat(mine, many), minlength=len(ids))
-            for y in np.flatnonzero(like >= least).tolist():
-                if ids[x] < ids[y] and (i == j or own[x] != own[y]):
-                    out.append((ids[x], ids[y], float(like[y])))
+            mine = slice(where[x], where[x + 1])
+            ahead = np.flatnonzero(prefix[mine]) + where[x]
+            many = first[place[ahead] + 1] - first[place[ahead]]
+            at = np.repeat(first[place[ahead]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            meets = listed[at]
+            # at the first n-gram that two vectors share, what is left of both bounds their product
+            near = np.unique(holder[meets[np.repeat(left[ahead], many) * left[meets] >= least**4 - 1e-9]])
+            near = near[[ids[x] < ids[y] and (i == j or own[x] != own[y]) for y in near.tolist()]] if len(near) else near
+            if not len(near):
+                continue
+            dense[place[mine]] = weights[mine]
+            sizes_of = sizes[near]
+            entries = np.repeat(where[near], sizes_of) + np.arange(sizes_of.sum()) - np.repeat(np.cumsum(sizes_of) - sizes_of, sizes_of)
+            like = np.add.reduceat(weights[entries] * dense[place[entries]], np.cumsum(sizes_of) - sizes_of)
+            dense[place[mine]] = 0.0
+            out += [(ids[x], ids[y], float(v)) for y, v in zip(near.tolist(), like.tolist(), strict=True) if v >= least]
         return pd.DataFrame(out, columns=["left_id", "right_id", "similarity"])
 
     return f
