@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracles import _VIEWS, AGREE, BLEND, GRID, JUDGED, METRICS, OPS, POOL, RUNS, SC, SPARSE, TFIDF, VEC, WIN, _six, folded, norm, rel, toks, worst
+from tessera.plans.oracles import _VIEWS, AGREE, BLEND, CHARS, GRID, JUDGED, METRICS, OPS, POOL, RUNS, SC, SPARSE, TFIDF, VEC, WIN, _six, folded, norm, rel, toks, worst
 
 _AT = ", ".join(f"coalesce({r} <= {k}, false)::INT::DOUBLE AS {v}_recall_at_{k}" for r, v, ks in (("video_rank", "video", (1, 3, 5, 10, 20)), ("first_relevant_rank", "story", (1, 3, 5, 10))) for k in ks)
 _ALL = METRICS + f", ma AS (SELECT * EXCLUDE (video_recall_at_3, story_recall_at_3), {_AT} FROM m)"
@@ -128,4 +128,14 @@ REVIEWS: dict[str, str] = {
     "report_round_trip": "SELECT * FROM labels",
     "error_rates": f"""WITH {AGREE}, e AS (SELECT conv_id, turn, len(r) AS n, len(c) AS k, list_reduce(list_prepend(range(0, len(c) + 1), list_transform(r, lambda x, i: [i])), lambda prev, w: list_reduce(list_prepend([prev[1] + 1], list_transform(c, lambda y, j: [least(prev[j + 1] + 1, prev[j] + (r[w[1]] <> y)::INT)])), lambda acc, z: list_append(acc, least(z[1], acc[-1] + 1))))[-1] AS edits FROM st)
 SELECT conv_id, turn, round(CASE WHEN n > 0 THEN edits / n END, 6) AS wer, round(edits / greatest(n, k, 1), 6) AS symmetric_distance FROM e""",
+    "duplicate_report": f"""WITH {WIN}, {CHARS}, nw AS (SELECT window_id, video_id, window_index, {norm('text')} AS t FROM win),
+p0 AS (SELECT first_value(window_id) OVER (PARTITION BY t ORDER BY window_id) AS a, window_id AS b FROM nw WHERE t <> ''
+  UNION ALL SELECT x.id, y.id FROM un x JOIN un y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9
+  UNION ALL SELECT lag(window_id) OVER (PARTITION BY video_id ORDER BY window_index, window_id), window_id FROM nw),
+p AS (SELECT DISTINCT least(a, b) AS l, greatest(a, b) AS r FROM p0 WHERE a IS NOT NULL AND a <> b),
+bag AS (SELECT window_id, x, count(*) AS c FROM (SELECT window_id, unnest({toks('t')}) AS x FROM nw) GROUP BY ALL), size AS (SELECT window_id, sum(c) AS n FROM bag GROUP BY ALL),
+ov AS (SELECT l, r, sum(least(u.c, v.c)) AS o FROM p JOIN bag u ON u.window_id = l JOIN bag v ON v.window_id = r AND v.x = u.x GROUP BY ALL)
+SELECT p.l AS left_id, p.r AS right_id, CASE WHEN a.video_id = b.video_id AND abs(a.window_index - b.window_index) = 1 THEN 'adjacent_same_video' WHEN a.video_id = b.video_id THEN 'non_adjacent_same_video' ELSE 'cross_video' END AS relationship,
+  a.t = b.t AND a.t <> '' AS exact, round(CASE WHEN s.n IS NULL AND z.n IS NULL THEN 1 WHEN coalesce(o, 0) = 0 THEN 0 ELSE 2 * (o / z.n) * (o / s.n) / (o / z.n + o / s.n) END, 6) AS token_f1
+FROM p JOIN nw a ON a.window_id = p.l JOIN nw b ON b.window_id = p.r LEFT JOIN ov ON ov.l = p.l AND ov.r = p.r LEFT JOIN size s ON s.window_id = p.l LEFT JOIN size z ON z.window_id = p.r""",
 }

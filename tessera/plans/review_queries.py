@@ -422,3 +422,12 @@ def report_round_trip(s, x):
     folder, rows = _folder(s, "reports"), a.table(s, x, "labels")
     tables.write_reports({"labels": rows}, folder, {"n": 1})
     return tables.read_csv(s, f"{folder}/labels", rows.schema)
+
+
+@query
+def diagnostics_of_windows(s, x):
+    """All diagnostics of the conversations' windows: how many rows each report has."""
+    w_ = a.windows(s, x)
+    rows = w_.select("window_id", "video_id", "window_index", F.col("text").alias("raw_text"), F.col("text").alias("retrieval_text"), F.lit("ok").alias("status"), F.lit(60.0).alias("duration_s"), F.lit(6.0).alias("runtime_s"), F.array().cast("array<string>").alias("rejections"))
+    found = p.diagnose(rows, a.runs(s, x), w_.select("window_id", "text"))
+    return g.unioned([r_.agg(F.count("*").alias("n")).select(F.lit(name).alias("report"), "n") for name, r_ in found.items()])
