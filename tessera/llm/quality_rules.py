@@ -121,8 +121,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """Rules and verdict of every document, one row per input row.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr. A null or
-    empty text has no words and fails; repeated rows are judged alike; without trusted documents every ratio is 0
-    and only the rules decide; other columns are not read.
+    empty text has no words and fails; very long texts are read whole; a ratio equal to the threshold is kept; repeated
+    rows are judged alike; without trusted documents every ratio is 0 and only the rules decide; a table without rows
+    gives none; other columns, whatever their names, are not read.
     """
     c = quality_columns(docs, trusted, threshold)
     base = docs.select("doc_id", "text").select("doc_id", c["measured"].alias("m"))

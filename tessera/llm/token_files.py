@@ -42,6 +42,8 @@ END_ID = 2
 SHARD_BYTES = 32 << 20
 #: Pieces kept encoded by a worker; once full, further ones are encoded whenever they occur.
 KEPT_PIECES = 400_000
+#: Characters of a piece above which it is not kept, so that what is kept is bounded in bytes as well.
+LONG_PIECE = 64
 #: Pieces that go to the library in one text.
 JOINED_PIECES = 1000
 
@@ -246,8 +248,10 @@ class Encoder:
             out[k] = b"".join(ids)
         for k, pieces in cut:
             out[k] = b"".join(map(others.__getitem__, pieces))
-        for x in missing[max(0, KEPT_PIECES - len(self.kept) + len(missing)) :]:
-            del self.kept[x]
+        room = max(0, KEPT_PIECES - len(self.kept) + len(missing))
+        for k, x in enumerate(missing):
+            if k >= room or len(x) > LONG_PIECE:
+                del self.kept[x]
         return out
 
 
@@ -265,7 +269,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     """Encodes every document, appends end_id, and writes shards in ascending doc_id order.
 
     Returns the folder and one record per shard, in order: path, documents, tokens, shard_base. Null texts are empty
-    texts: the end id alone. Null doc_ids come first; repeated rows are written each; other columns are not read.
+    texts: the end id alone. Very long texts are encoded whole. Null doc_ids come first; rows of one doc_id stand in order
+    of their texts' hashes, and repeated rows are written each; a table without rows gives no shard; other columns,
+    whatever their names, are not read. The files stay until the folder is removed.
     """
     from pyarrow import fs
 

@@ -30,3 +30,14 @@ def test_models_of_spans(spark, monkeypatch):
         monkeypatch.setattr(module, "STEP_BYTES", 1)  # a step a text
     monkeypatch.setattr(nt, "SPAN_TOKENS", 7)
     assert scored() == whole and odd() == perplexity
+
+
+def test_long_pieces_are_not_kept():
+    from tessera.llm import token_files as tf
+    from tessera.llm.queries import tokenizer_path
+
+    e = tf.Encoder(tokenizer_path())
+    text = "a short one and " + "x" * 5000 + " end"
+    for _ in range(2):
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(map(len, e.kept)) <= tf.LONG_PIECE
