@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,8 +61,19 @@ def bm25_idf(n: Column, df: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of the documents that hold a query term. Repeated query terms count once. Only the
-    postings of query terms are grouped; their document frequencies come from the same rows."""
+    """(query_id, doc_id, score) of the documents that hold a query term. Repeated query terms count once.
+
+    Queries of few terms (their matrix's size is checked) meet the documents where these lie, and nothing is shuffled;
+    doc_ids are taken as unique there. Otherwise, or where postings are given, postings of query terms meet their
+    document frequencies and queries by term."""
+    if postings is None:
+        words = _query_words(queries)
+        if words is not None:
+            return bm25_in_batches(docs, queries, k1, b, words=words)
+    return _bm25_by_term(docs, queries, k1, b, postings)
+
+
+def _bm25_by_term(docs: DataFrame, queries: DataFrame, k1: float, b: float, postings: DataFrame | None) -> DataFrame:
     stats = corpus_statistics(docs).first()
     n, mean = stats.n_docs, stats.mean_length or 1.0
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
@@ -74,6 +86,103 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, post
     return held.join(df, "term").join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+Words = tuple[list, list[str], np.ndarray]  # query ids, their terms, and which query holds which term
+
+
+def _query_words(queries: DataFrame) -> Words | None:
+    """The queries as a matrix of terms, or None if it would have more than MATRIX_ENTRIES."""
+    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    sizes = terms.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    if sizes.q * sizes.t > MATRIX_ENTRIES:
+        return None
+    rows = terms.collect()
+    names, words = sorted({r.query_id for r in rows}), sorted({r.term for r in rows})
+    at, of = {x: k for k, x in enumerate(words)}, {x: k for k, x in enumerate(names)}
+    matrix = np.zeros((len(words), len(names)))
+    for r in rows:
+        matrix[at[r.term], of[r.query_id]] = 1.0
+    return names, words, matrix
+
+
+def _held_words(lists: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, times) of the words that each row's terms hold, and the rows' numbers of terms."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    code = pc.index_in(lists.flatten(), value_set=words)
+    known = np.flatnonzero(~code.is_null().to_numpy(zero_copy_only=False))
+    row = np.searchsorted(ends - ends[0], known, side="right") - 1
+    pair, times = np.unique(row * max(1, len(words)) + code.drop_null().to_numpy().astype(np.int64), return_counts=True)
+    return pair // max(1, len(words)), pair % max(1, len(words)), times, np.diff(ends)
+
+
+def bm25_in_batches(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, best_of: str | None = None, top_k: int | None = None, digits: int | None = None, words: Words | None = None) -> DataFrame:
+    """bm25 of queries of few terms in two scans of the documents: one for the terms' document frequencies, one for the
+    scores, as products of a batch of documents with the queries' matrix. best_of: the best score of each value of that
+    column instead of each document's; top_k: each batch hands on its k best documents of a query only. digits: scores
+    are rounded before they are compared."""
+    words = words or _query_words(queries)
+    if words is None:  # too many terms: by term, and reduced afterwards
+        scored = _bm25_by_term(docs, queries, k1, b, None)
+        scored = scored if digits is None else scored.withColumn("score", F.round("score", digits))
+        return scored.join(docs.select("doc_id", best_of), "doc_id").groupBy("query_id", best_of).agg(F.max("score").alias("score")) if best_of else scored
+    names, vocabulary, matrix = words
+    eligible = docs.where("eligible")
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((names, vocabulary, matrix))
+    kind_q = queries.schema["query_id"].dataType.simpleString()
+    key = best_of or "doc_id"
+    schema = f"query_id {kind_q}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(held.value[1], pa.string())
+        df, n, length = np.zeros(len(words), dtype=np.int64), 0, 0
+        for batch in batches:
+            _, word, _, size = _held_words(batch.column(0), words)
+            df += np.bincount(word, minlength=len(words))
+            n += len(size)
+            length += int(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([length]), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "length", "df"])
+
+    partial = eligible.select("terms").mapInArrow(count, "n long, length long, df array<long>")
+    totals = partial.select("n", "length", F.posexplode_outer("df").alias("word", "df")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.sum("df").alias("df")).collect()
+    n, length = (totals[0].n, totals[0].length) if totals else (0, 0)
+    if not n or not names:
+        return spark.createDataFrame([], schema)
+    df = np.zeros(len(vocabulary))
+    for r in totals:
+        df[r.word] = r.df
+    idf, mean = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0), length / n or 1.0
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vocabulary, matrix = held.value
+        words, ids = pa.array(vocabulary, pa.string()), pa.array(names)
+        step = max(1, (1 << 21) // max(1, len(words)))
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                row, word, times, size = _held_words(part.column(1), words)
+                weight = np.zeros((part.num_rows, len(words)))
+                weight[row, word] = idf[word] * times * (k1 + 1) / (times + k1 * (1 - b + b * size[row] / mean))
+                score = weight @ matrix
+                score = score if digits is None else np.round(score, digits)
+                own = part.column(0)
+                if best_of:
+                    value = own.dictionary_encode()
+                    code = value.indices.fill_null(len(value.dictionary)).to_numpy(zero_copy_only=False)
+                    order = np.argsort(code, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
+                    score, own = np.maximum.reduceat(score[order], starts, axis=0), own.take(pa.array(order[starts]))
+                if top_k and len(score) > top_k:
+                    place = np.argsort(pc.sort_indices(own).to_numpy())  # ties by id
+                    best = np.lexsort((np.broadcast_to(place[:, None], score.shape), -score), axis=0)[:top_k]
+                    kept = np.zeros(score.shape, dtype=bool)
+                    np.put_along_axis(kept, best, True, axis=0)
+                    score = np.where(kept, score, 0.0)
+                x, y = np.nonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(y)), own.take(pa.array(x)), pa.array(score[x, y])], ["query_id", key, "score"])
+
+    return eligible.select(key, "terms").mapInArrow(f, schema)
+
+
 def term_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, term, tf) of rows with terms."""
     return rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))

@@ -42,11 +42,17 @@ def _bm25(s, x, folded=False):
     return r.bm25(a.documents(s, x, folded), a.queries(s, x, folded))
 
 
+def _bm25_top(s, x, n, folded=False):
+    best = r.bm25_in_batches(a.documents(s, x, folded), a.queries(s, x, folded), top_k=n, digits=6)
+    return k.top(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], n)
+
+
 @query
 def search(s, x):
     """BM25, best document of each source, ten sources for each query."""
-    scored = _bm25(s, x).join(a.documents(s, x).select("doc_id", "video_id"), "doc_id").withColumn("score", F.round("score", 6)).withColumn("window_id", F.col("doc_id")).withColumn("start_s", F.col("doc_id"))
-    return k.top(k.video_max(scored), ["query_id"], k.video_order(), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", "score")
+    q = a.queries(s, x)
+    best = r.bm25_in_batches(a.documents(s, x), q, best_of="video_id", digits=6)
+    return k.top(k.video_max(best), ["query_id"], k.video_order(), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", "score")
 
 
 @query
@@ -56,12 +62,12 @@ def bm25_scores(s, x):
 
 @query
 def bm25_topk(s, x):
-    return k.top(_bm25(s, x).withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 20).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _bm25_top(s, x, 20).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def bm25_folded_topk(s, x):
-    return k.top(_bm25(s, x, True).withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 20).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _bm25_top(s, x, 20, True).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query

@@ -233,3 +233,25 @@ def test_tfidf_of_few_and_many_queries(spark, monkeypatch):
     monkeypatch.setattr(r, "MATRIX_ENTRIES", 0)
     many = key(r.tfidf_cosine(docs, q))
     assert few == many and len(few) >= 3
+
+
+def test_bm25_of_few_and_many_queries(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, f"v{i % 5}" if i % 11 else None, [rng.choice(words) for _ in range(rng.randrange(0, 25))], i % 9 != 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, video_id string, terms array<string>, eligible boolean").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", [rng.choice([*words, "never"]) for _ in range(rng.randrange(0, 8))]) for i in range(12)], "query_id string, terms array<string>")
+    key = lambda d_: {(x.query_id, x.doc_id): pytest.approx(x.score, abs=1e-9) for x in d_.collect()}
+    few = key(r.bm25(docs, q))
+    top = {(x.query_id, x.doc_id, x.rank) for x in k.top(r.bm25_in_batches(docs, q, top_k=3, digits=9), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 3).collect()}
+    best = {(x.query_id, x.video_id): pytest.approx(x.score, abs=1e-9) for x in k.video_max(r.bm25_in_batches(docs, q, best_of="video_id")).collect()}
+    monkeypatch.setattr(r, "MATRIX_ENTRIES", 0)
+    every = r.bm25(docs, q)
+    assert key(every) == few
+    assert {(x.query_id, x.video_id): pytest.approx(x.score, abs=1e-9) for x in r.bm25_in_batches(docs, q, best_of="video_id").collect()} == best
+    assert top == {(x.query_id, x.doc_id, x.rank) for x in k.top(every.withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 3).collect()}
+    assert best == {(x.query_id, x.video_id): x.score for x in k.video_max(every.join(docs.select("doc_id", "video_id"), "doc_id")).collect()}
+    monkeypatch.undo()
+    assert r.bm25(docs.limit(0), q).count() == 0 and r.bm25(docs, q.limit(0)).count() == 0
