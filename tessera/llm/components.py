@@ -47,14 +47,15 @@ def _in_one_task(batches):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each node's component, for nodes that have an edge.
 
-    edges: string columns a and b. Up to ONE_TASK_EDGES edges are solved in one task. Beyond that, each round gives every node its smallest neighbour, follows these pointers to their
-    roots, and contracts the graph to the roots, which at least halves the nodes that still have edges. Rounds are
-    written to the shared checkpoint folder, so lineage stays short. Only a few flags reach the driver.
+    edges: string columns a and b. Up to ONE_TASK_EDGES edges are solved in one task, and its rows dealt evenly. Beyond
+    that, each round gives every node its smallest neighbour, follows these pointers to their roots, and contracts the
+    graph to the roots, which at least halves the nodes that still have edges. Rounds are written to the shared
+    checkpoint folder, so lineage stays short. Only a few flags reach the driver.
     """
     checkpoint_root(edges.sparkSession)
     left = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     if left.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
-        return left.coalesce(1).mapInArrow(_in_one_task, "node string, component string")
+        return left.coalesce(1).mapInArrow(_in_one_task, "node string, component string").repartition("node")
     rounds: list[DataFrame] = []
     for _ in range(MOST_ROUNDS):
         both = left.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label").union(left.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
