@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -262,17 +263,16 @@ def _blocks(size: str, most: int) -> tuple[Column, Column]:
     return blocks, F.pmod(F.xxhash64("sig"), blocks).cast("int")
 
 
-def compared(rows: DataFrame, key: str, most: int, compare: Callable, schema: str) -> DataFrame:
+def compared(rows: DataFrame, key: str, most: int, compare: Callable, schema: str, large: bool) -> DataFrame:
     """compare over all pairs of blocks of each group. rows: key (a long), n (of the group), sig and what compare reads;
-    compare gets batches of (key, i, j, own, sig, ..) sorted by the first three."""
+    compare gets batches of (key, i, j, own, sig, ..) sorted by the first three. large: all groups have more than `most`
+    rows, otherwise none has; rows are made once either way."""
     payload = [c for c in rows.columns if c not in (key, "n", "sig")]
     columns = [key, "i", "j", "own", "sig", *payload]
-    zero = F.lit(0)
-    one = rows.where(F.col("n") <= most).select(key, zero.alias("i"), zero.alias("j"), zero.alias("own"), "sig", *payload)
-    out = one.repartition(key).sortWithinPartitions(key).mapInArrow(lean(compare), schema)
-    large = rows.where(F.col("n") > most)
-    if not large.limit(1).count():
-        return out
+    if not large:
+        zero = F.lit(0)
+        one = rows.select(key, zero.alias("i"), zero.alias("j"), zero.alias("own"), "sig", *payload)
+        return one.repartition(key).sortWithinPartitions(key).mapInArrow(lean(compare), schema)
     spark = rows.sparkSession
     folder = shared_folder(spark, "blocks")
     from pyarrow import fs
@@ -312,12 +312,10 @@ def compared(rows: DataFrame, key: str, most: int, compare: Callable, schema: st
                 arrays = [pa.array(np.full(n, g)), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, j, np.int32)), both.column("own").combine_chunks(), both.column("sig").combine_chunks(), *(both.column(c).combine_chunks() for c in payload)]
                 yield from compare(iter([pa.RecordBatch.from_arrays(arrays, columns)]))
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    dealt = large.select(F.col(key).alias("g"), own.alias("own"), blocks.alias("blocks"), "sig", *payload).repartition("g", "own").sortWithinPartitions("g", "own")
-    assert types[key] == "bigint"
+    dealt = rows.select(F.col(key).alias("g"), own.alias("own"), blocks.alias("blocks"), "sig", *payload).repartition("g", "own").sortWithinPartitions("g", "own")
     groups = dealt.mapInArrow(lean(write), "g long, blocks int").distinct().checkpoint()
     each = groups.select("g", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i")).select("g", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
-    return out.unionByName(each.repartition("g", "i", "j").mapInArrow(lean(pairs), schema))
+    return each.repartition("g", "i", "j").mapInArrow(lean(pairs), schema)
 
 
 def _verify(similarity: float) -> Callable:
@@ -411,29 +409,39 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     marks = nodes.select("sig", "sketch")
     least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / SKETCH)
     paths = nodes.select("sig", "sample").mapInArrow(lean(_first_paths(runs_for(recall, similarity), similarity)), "path long, run int, sig string")
-    leaves = None
+    leaves, deep = [], None
     for level in range(2, DEPTH + 2):
         paths = paths.checkpoint()
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
         sized = hot_join(paths, sizes, "path", sizes).checkpoint()
-        last = level == DEPTH + 1
-        small = (sized if last else sized.where(F.col("n") <= SMALL)).select("path", "sig", "n")
-        leaves = small if leaves is None else leaves.unionByName(small)
-        if last or not sized.where(F.col("n") > SMALL).limit(1).count():
+        leaves.append(sized.where(F.col("n") <= SMALL).select("path", "sig", "n"))
+        more = sized.where(F.col("n") > SMALL)
+        if not more.limit(1).count():
             break
-        large = sized.where(F.col("n") > SMALL).select("path", "run", "sig").join(nodes.select("sig", "sample"), "sig")
+        if level == DEPTH + 1:
+            deep = more.select("path", "sig", "n")
+            break
+        large = more.select("path", "run", "sig").join(nodes.select("sig", "sample"), "sig")
         paths = large.select("path", "run", "sig", "sample").mapInArrow(lean(_next_paths(level, similarity)), "path long, run int, sig string")
-    stars = compared(leaves.join(marks, "sig").select("path", "n", "sig", "sketch"), "path", SMALL, _compare_sketches(least), "a string, b string")
+    marked = lambda rows: rows.join(marks, "sig").select("path", "n", "sig", "sketch")
+    stars = compared(marked(reduce(DataFrame.unionByName, leaves)), "path", SMALL, _compare_sketches(least), "a string, b string", large=False)
+    if deep is not None:
+        stars = stars.unionByName(compared(marked(deep), "path", SMALL, _compare_sketches(least), "a string, b string", large=True))
     candidates = connected_components(stars).select(F.col("node").alias("sig"), "component").checkpoint()
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n")).checkpoint()
     wanted = hot_join(candidates, sizes, "component", sizes).join(nodes.select("sig", "rep", "copies"), "sig").select("component", "n", "sig", "rep", "copies").checkpoint()
-    ids = wanted.select(F.col("rep").alias("wanted_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    again = slim.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = again.mapInArrow(lean(_sets_of), "sig string, set binary")
-    parts = wanted.drop("rep").join(sets, "sig").select(F.xxhash64("component").alias("c"), "n", "sig", "copies", "set")
-    found = compared(parts, "c", BLOCK, _verify(similarity), "a string, b string, links long").checkpoint()
+
+    def verified(of: DataFrame, large: bool) -> DataFrame:
+        ids = _ids(of.select(F.col("rep").alias("wanted_id")).distinct())
+        again = slim.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+        sets = again.mapInArrow(lean(_sets_of), "sig string, set binary")
+        parts = of.drop("rep").join(sets, "sig").select(F.xxhash64("component").alias("c"), "n", "sig", "copies", "set")
+        return compared(parts, "c", BLOCK, _verify(similarity), "a string, b string, links long", large)
+
+    found = verified(wanted.where(F.col("n") <= BLOCK), large=False)
+    if wanted.where(F.col("n") > BLOCK).limit(1).count():
+        found = found.unionByName(verified(wanted.where(F.col("n") > BLOCK), large=True))
+    found = found.checkpoint()
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("sig"), "component").checkpoint()
     named = classes.join(nodes.select("sig", "rep"), "sig").groupBy("component").agg(F.min("rep").alias("class_rep"), F.count("*").alias("n")).checkpoint()

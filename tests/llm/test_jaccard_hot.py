@@ -40,16 +40,16 @@ def test_large_groups_move_once(spark, monkeypatch):
     dealt = []
     write = jj.compared
 
-    def counted(rows, key, most, compare, schema):
-        dealt.append(rows.count())
-        return write(rows, key, most, compare, schema)
+    def counted(rows, key, most, compare, schema, large):
+        dealt.append((large, rows.count()))
+        return write(rows, key, most, compare, schema, large)
 
     monkeypatch.setattr(jj, "compared", counted)
     monkeypatch.setattr(jj, "BLOCK", 16)
     rows = [(i, " ".join(["a"] * 3 + [f"x{k}" for k in range(60)] + [f"own{i}"])) for i in range(300)]
     out = jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.class_id, r.n_links) for r in out} == {(0, 299)}
-    assert dealt[-1] == 300  # whole sets: one row a node, whatever the number of blocks
+    assert dealt[-1] == (True, 300) and dealt[-2] == (False, 0)  # whole sets: one row a node, whatever the number of blocks
 
 
 def test_recall_at_the_similarity(spark):
