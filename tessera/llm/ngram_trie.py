@@ -211,7 +211,7 @@ class Level:
     bits: int = 0  # of a child in a key
     size: int = 0
     #: the first context of each shard, which may begin in an earlier one: (number of the first child, g)
-    split: dict[int, tuple[int, float]] = field(default_factory=dict)
+    split: dict[int, tuple] = field(default_factory=dict)
 
 
 @dataclass
@@ -308,14 +308,16 @@ class Reader:
             place, same = contexts.successor(c.astype(np.uint64))
             held = np.flatnonzero(same)
             place = place[held]
-            g_of, start_of, low_of, high_of, base_of = np.ones(len(c)), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.uint64)
-            g_of[held] = restore(a["g"][place])
+            g_of, total_of, start_of, low_of, high_of, base_of = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.uint64)
+            g_of[held], total_of[held] = self._of_contexts(order, file, a, place)
             low_of[held] = pointers.get(place).astype(np.int64)
             start_of[held] = base + low_of[held]
-            for x, (first, whole) in level.split.items():
+            for x, (first, whole, *total) in level.split.items():
                 k = np.searchsorted(c, x)
                 if k < len(c) and c[k] == x:
                     start_of[k], g_of[k] = first, whole
+                    if total:
+                        total_of[k] = total[0]
             g[at], start[at] = g_of[order_of], start_of[order_of]
             ask = np.flatnonzero(same[order_of] & _passes(a["sieve"], key[at]))
             if not len(ask):
@@ -331,9 +333,21 @@ class Reader:
             found = same_child & (found_at >= low_of[o]) & (found_at < high_of[o])
             hit = at[ask[found]]
             node[hit] = base + found_at[found]
-            share[hit] = restore(a["share"][found_at[found]])
+            share[hit] = self._of_nodes(order, file, a, found_at[found], total_of[o[found]])
         return node, share, g, start
 
+    def _of_contexts(self, order: int, file: str, a: dict, place: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """g of a shard's contexts, and the total that their children's shares are of, where these are not stored."""
+        return restore(a["g"][place]), 1.0
+
+    def _of_nodes(self, order: int, file: str, a: dict, place: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Discounted shares of a shard's nodes."""
+        return restore(a["share"][place])
+
+    def unigrams(self, number: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Probabilities of words alone, by number (-1 if not held) and training count."""
+        return (count + 0.5) / (self.trie.tokens + 0.5 * (self.trie.size + 1))
+
     def walk(self, hashes: np.ndarray, first: np.ndarray, order: int) -> Walk:
         """Nodes of every token up to an order; see Walk."""
         return Walk(self, hashes, first, order)
@@ -344,11 +358,10 @@ class Walk:
     it is not held), with the probability of the token given the k - 1 before."""
 
     def __init__(self, reader: Reader, hashes: np.ndarray, first: np.ndarray, order: int):
-        trie = reader.trie
         known, back = distinct(hashes)
         number, count = reader.words(known)
         self.number, self.count = number[back], count[back]
-        self.p1 = (self.count + 0.5) / (trie.tokens + 0.5 * (trie.size + 1))
+        self.p1 = reader.unigrams(self.number, self.count)
         self.node, self.start, self.p = self.number, None, self.p1
         n = len(hashes)
         self.depth = np.arange(n) - np.repeat(first[:-1], np.diff(first))  # tokens before, in the text
@@ -358,8 +371,9 @@ class Walk:
             if len(ask):
                 pair, back = _unique_pairs(context, child)
                 found, share, g, first_child = reader.children(k, *pair)
-                node[ask], start[ask] = found[back], first_child[back]
-                p[ask] = share[back] + g[back] * self.p[ask]
+                held = child >= 0  # the number in place of -1 may be that of a child which these texts do not ask for
+                node[ask], start[ask] = np.where(held, found[back], -1), first_child[back]
+                p[ask] = np.where(held, share[back], 0.0) + g[back] * self.p[ask]
             self.node, self.start, self.p = node, start, p
 
     def keys(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -387,7 +401,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _unique_pairs(context: np.ndarray, child: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Distinct pairs, sorted, and the place of each input pair among them. A child of -1 becomes one past the largest
-    that can be asked for, which no context has."""
+    that is asked for; it is for the caller to leave out what is found for it."""
     child = np.where(child < 0, child.max(initial=0) + 1, child)
     bits = int(child.max(initial=0)).bit_length()
     if bits + int(context.max(initial=0)).bit_length() > KEY_BITS:  # too wide for one key: contexts by their rank
@@ -449,8 +463,8 @@ class Cuts:
         return int(self.page[bucket - 1]) if bucket else 0
 
 
-def _cuts(sample: DataFrame, share: float, trie: Trie, order: int, bits: int, nodes: int) -> Cuts:
-    """Shards of about SHARD_NGRAMS n-grams each, by the n-grams of the sample, a share of the texts."""
+def _cuts(sample: DataFrame, share: float, trie: Trie, order: int, bits: int, nodes: int, shard_ngrams: int | None = None) -> Cuts:
+    """Shards of about shard_ngrams (SHARD_NGRAMS if not given) n-grams each, by the n-grams of the sample, a share of the texts."""
 
     def f(batches):
         reader, sums = Reader(trie), {}
@@ -468,7 +482,7 @@ def _cuts(sample: DataFrame, share: float, trie: Trie, order: int, bits: int, no
     keys = [(p, np.unique(np.concatenate(held[p]))) for p in sorted(held)]
     n = sum(len(k) for _, k in keys)
     expected = n / share
-    shards = max(1, math.ceil(expected / SHARD_NGRAMS), min(sample.sparkSession.sparkContext.defaultParallelism, math.ceil(expected / 100_000)))
+    shards = max(1, math.ceil(expected / (shard_ngrams or SHARD_NGRAMS)), min(sample.sparkSession.sparkContext.defaultParallelism, math.ceil(expected / 100_000)))
     step = max(1, n // shards)
     ends = [(p, int(x)) for p, k in keys for x in k[step::step]] + [(p, 0) for p in pages]
     ends = sorted(set(ends) - {(0, 0)})
@@ -561,7 +575,7 @@ def _level(counted: DataFrame, trie: Trie, order: int, bits: int, cuts: Cuts, fo
     return level
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Trie:
+def train(docs: DataFrame, order: int = ORDER, shard_ngrams: int | None = None) -> Trie:
     """A trie of the texts of docs, in a new folder under the shared one. Null texts are empty texts: an end token."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "ngram-trie")
@@ -577,7 +591,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Trie:
     bits = max(1, trie.size).bit_length()
     nodes = trie.size
     for k in range(2, order + 1):
-        cuts = _cuts(sample, share, trie, k, bits, nodes)
+        cuts = _cuts(sample, share, trie, k, bits, nodes, shard_ngrams)
         level = _level(_count_ngrams(docs, trie, k, bits, cuts), trie, k, bits, cuts, folder)
         trie.levels.append(level)
         nodes = level.size
