@@ -7,16 +7,16 @@ fixed threshold decides on every document.
 
 Everything is DataFrame functions. The corpus is scanned twice (counts, scores) and its rows are never shuffled:
 counting shuffles one partial row per bucket and task, and the table of BUCKETS ratios, of fixed size, reaches the
-scoring scan as a literal. Only trusted document ids, at most about TRUSTED_ROWS, are broadcast.
+scoring scan as a scalar subquery: a literal would stand in every description of the plan that the driver keeps. Only trusted document ids, at most about TRUSTED_ROWS, are broadcast.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import checkpoint_root
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
@@ -89,9 +89,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def quality_columns(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> dict[str, Column]:
-    """The rules' columns over docs.text, by name; see quality_rules."""
-    ratios = ratio_table(docs, trusted).first()["ratios"]
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to one literal by the optimizer
+    """The rules' columns over text and ratios, by name, and that column of ratios; see quality_rules."""
+    checkpoint_root(docs.sparkSession)
+    table = F.col("ratios")
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def measured(w: Column) -> Column:
@@ -109,7 +109,7 @@ def quality_columns(docs: DataFrame, trusted: DataFrame, threshold: float = THRE
         )
 
     m = _let(_words(text), measured)
-    return {"measured": m, "threshold": F.lit(float(threshold))}
+    return {"measured": m, "threshold": F.lit(float(threshold)), "ratios": ratio_table(docs, trusted).checkpoint().scalar().alias("ratios")}
 
 
 def verdict(m: Column, threshold: Column) -> tuple[Column, Column]:
@@ -126,7 +126,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     gives none; other columns, whatever their names, are not read.
     """
     c = quality_columns(docs, trusted, threshold)
-    base = docs.select("doc_id", "text").select("doc_id", c["measured"].alias("m"))
+    base = docs.select("doc_id", "text", c["ratios"]).select("doc_id", c["measured"].alias("m"))
     failed, kept = verdict(F.col("m"), c["threshold"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return base.select("doc_id", *(F.col("m")[n].alias(n) for n in names), failed.alias("base_failed"), kept.alias("kept"), F.col("m")["llr"].alias("llr"))
@@ -135,9 +135,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 def keep_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their own columns only."""
     c = quality_columns(docs, trusted, threshold)
-    packed = docs.select(F.struct("*").alias("row"), "text").select("row", c["measured"].alias("m"))
-    _, kept = verdict(F.col("m"), c["threshold"])
-    return packed.where(kept).select("row.*")
+    packed = docs.select(F.struct("*").alias("row"), "text", c["ratios"])
+    # one use of what is measured: a filter is pushed below its column and would measure for each use
+    return packed.where(_let(c["measured"], lambda m: verdict(m, c["threshold"])[1])).select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
