@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ END_ID = 2
 SHARD_BYTES = 32 << 20
 #: Pieces kept encoded by a worker; once full, further ones are encoded whenever they occur.
 KEPT_PIECES = 400_000
+#: Text bytes that are encoded at a time: what is no longer kept is encoded once in each.
+STEP_BYTES = 6 << 20
 #: Characters of a piece above which it is not kept, so that what is kept is bounded in bytes as well.
 LONG_PIECE = 64
 #: Pieces that go to the library in one text.
@@ -212,15 +215,10 @@ class Encoder:
             out += [data[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], encode) -> list[str]:
-        missing = list(wanted.difference(known))
-        known.update(zip(missing, encode(missing), strict=True))
-        return missing
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[str]]] = []  # the first piece, and the others without their space
+        plain: list[int] = []
         cut: list[tuple[int, list[str]]] = []
         whole: list[int] = []
         for k, text in enumerate(texts):
@@ -231,28 +229,47 @@ class Encoder:
             elif _ODD_SPACE.search(text):
                 cut.append((k, _BEFORE_SPACE.split(text)))
             else:
-                plain.append((k, text.split(" ")))
+                plain.append(k)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        firsts = [pieces[0] for _, pieces in plain]
-        for _, pieces in plain:
-            pieces[0] = "."  # any frequent name: its ids are replaced below
-        names = set().union(*(pieces for _, pieces in plain)) if plain else set()
-        missing = self._learn(self.kept, names, self._spaced)
+        firsts = [texts[k].partition(" ")[0] for k in plain]
         others: dict[str, bytes] = {"": b""}
-        self._learn(others, {x for x in firsts if x}.union(*(pieces for _, pieces in cut)), self._whole)
-        get = self.kept.__getitem__
-        for (k, pieces), first in zip(plain, firsts, strict=True):
-            ids = list(map(get, pieces))
-            ids[0] = others[first]
-            out[k] = b"".join(ids)
+        fresh = list({x for x in firsts if x}.union(*(pieces for _, pieces in cut)))
+        others.update(zip(fresh, self._whole(fresh), strict=True))
+        if plain:
+            for k, first, ids in zip(plain, firsts, self._by_names([texts[k] for k in plain]), strict=True):
+                out[k] = others[first] + ids
         for k, pieces in cut:
             out[k] = b"".join(map(others.__getitem__, pieces))
+        return out
+
+    def _by_names(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text without its first piece. Names are told apart in arrays, and only distinct ones are looked
+        up; the ids of all texts are then one gathering from those of the names."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.string())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")
+        names = joined[0].as_py().split(" ")  # no name holds a space
+        missing = [x for x in names if x not in self.kept]
+        self.kept.update(zip(missing, self._spaced(missing), strict=True))
+        held = list(map(self.kept.__getitem__, names))
+        ids = np.frombuffer(b"".join(held), dtype="<u4")
+        many = np.fromiter(map(len, held), np.int64, len(held)) >> 2
+        begins = np.cumsum(many) - many
+        code = coded.indices.to_numpy()
+        first = split.offsets.to_numpy().astype(np.int64)
+        many, begins = many[code], begins[code]
+        many[first[:-1] - first[0]] = 0  # the texts' first pieces
+        ends = np.cumsum(many)
+        data = ids[np.repeat(begins - ends + many, many) + np.arange(len(code) and ends[-1])].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[first - first[0]]).tolist()
         room = max(0, KEPT_PIECES - len(self.kept) + len(missing))
         for k, x in enumerate(missing):
             if k >= room or len(x) > LONG_PIECE:
                 del self.kept[x]
-        return out
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield data[low:high]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -302,7 +319,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
                 hidden = f"{at}/.shard-{number:06d}-{uuid.uuid4().hex}"
                 writer = ShardWriter(place.open_output_stream(hidden), bits)
             texts = text_array(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, STEP_BYTES):
                 for ids in enc.encode(texts.slice(a, b - a).to_pylist()):
                     writer.add(np.concatenate([np.frombuffer(ids, dtype="<u4"), last]))
             ids_of.append(batch.column(0))
