@@ -96,7 +96,7 @@ REVIEWS: dict[str, str] = {
     "smoke_models": f"WITH {RUNS} SELECT model_id, count(*) FILTER (status = 'ok') AS successful_windows, round(avg(runtime_s / 60), 6) AS mean_rtf, round(avg(runtime_s / 100), 6) AS mean_wer, round(avg(runtime_s / 200), 6) AS mean_cer, round(avg(len(raw_text)), 6) AS mean_length_ratio, max(stage_id) AS maximum_peak_memory, count(*) FILTER (stage_id = 1) AS boilerplate_windows FROM runs WHERE model_id <> 'click' GROUP BY model_id",
     "size_description": "SELECT count(n_chars) AS count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, round(quantile_cont(n_chars, 0.25), 6) AS q25, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.75), 6) AS q75, min(n_chars) AS min, max(n_chars) AS max FROM documents",
     "prefix_counts": f"WITH {WIN} SELECT split_part(window_id, '_', 1) AS prefix, count(*) AS n FROM win GROUP BY prefix",
-    "effect_counts": f"WITH {_VIEWS} SELECT CASE {rel('processed_rank', 'raw_rank')} WHEN 'better' THEN 'improved' WHEN 'worse' THEN 'worsened' ELSE 'unchanged' END AS effect, count(*) AS n FROM vc GROUP BY effect",
+    "effect_counts": f"WITH {_VIEWS.replace(' WHERE vec_id % 20 = 0', '')} SELECT CASE {rel('processed_rank', 'raw_rank')} WHEN 'better' THEN 'improved' WHEN 'worse' THEN 'worsened' ELSE 'unchanged' END AS effect, count(*) AS n FROM vc GROUP BY effect",
     "legacy_scores": f"WITH {VEC}, {SPARSE}, tx AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), y AS (SELECT d.query_id, d.doc_id AS window_id, tx.doc_id IS NULL AS ok, coalesce(sp.score, 0) AS l, greatest(0, least(1, list_sum(list_transform(list_zip(e.embedding, q.qe), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))) AS s FROM dense d JOIN embeddings e ON e.vec_id = d.doc_id JOIN vq q ON q.query_id = d.query_id LEFT JOIN sp ON sp.query_id = d.query_id AND sp.doc_id = d.doc_id LEFT JOIN tx ON tx.doc_id = d.doc_id) SELECT query_id, window_id, ok AS is_scored, CASE WHEN NOT ok THEN 'processed_rejection' END AS zero_reason, round(CASE WHEN ok THEN l ELSE 0 END, 6) AS lexical_score, round(CASE WHEN ok THEN s ELSE 0 END, 6) AS semantic_score, round(CASE WHEN ok THEN 0.5 * l + 0.5 * s ELSE 0 END, 6) AS final_score FROM y",
     "clipped_scores": f"WITH {SC} SELECT query_id, window_id, round(greatest(0, least(1, sc.score)), 6) AS score FROM sc",
     "identity_scores": f"WITH {SC} SELECT 'control' AS method_id, query_id, window_id, round(sc.score, 6) + 0.0 AS score FROM sc",

@@ -16,7 +16,7 @@ from tessera.operators import retrieval as r
 from tessera.operators import summaries as m
 from tessera.operators import windowing as w
 from tessera.plans import adapters as a
-from tessera.plans.queries import _folder, _metrics, _pool_results, _reranked, _sparse_for_vectors, _views, query, six
+from tessera.plans.queries import _as_views, _folder, _metrics, _pool_results, _reranked, _sparse_for_vectors, _videos, _views, query, six
 from tessera.plans.search import structural_problems
 from tessera.sources import tables
 
@@ -227,8 +227,9 @@ def prefix_counts(s, x):
 
 @query
 def effect_counts(s, x):
-    """How often each method improves, worsens or leaves the right video's rank."""
-    v = p.view_comparison(_views(s, x), "exact", "coarse", ["query_id"])
+    """How often each method improves, worsens or leaves the right video's rank. Every vector is a query."""
+    ranks = e.video_metrics(_videos(s, x, a.vector_queries(s, x, every=1), positive=False), ["method_id", "query_id"])
+    v = p.view_comparison(_as_views(ranks.withColumn("video_rr", 1.0 / F.col("video_rank"))), "exact", "coarse", ["query_id"])
     return v.select(e.rank_effect(F.col("processed_rank"), F.col("raw_rank")).alias("effect")).groupBy("effect").agg(F.count("*").alias("n"))
 
 
