@@ -9,7 +9,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,11 +66,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-#: Characters that a Unicode normal form may change, and some more: marks, letters that compose with what stands before
+#: Characters that a Unicode normal form may change (none below U+0300, which is asked first), and some more: marks, letters that compose with what stands before
 #: them, and the ranges that hold characters with a canonical form of their own.
 MAY_CHANGE = (
-    r"\p{M}|[\u0340-\u0387\u0958-\u0FFF\u1100-\u11FF\u1F00-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4F]"
-    r"|[\x{11000}-\x{12FFF}\x{1D100}-\x{1D1FF}\x{2F800}-\x{2FA1F}]"
+    r"[\u0300-\x{10FFFF}&&[\p{M}\u0340-\u0387\u0958-\u0FFF\u1100-\u11FF\u1F00-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4F"
+    r"\x{11000}-\x{12FFF}\x{1D100}-\x{1D1FF}\x{2F800}-\x{2FA1F}]]"
 )
 
 
@@ -141,6 +141,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(rows: DataFrame, made: str) -> DataFrame:
+    """Rows whose column `made` is worked out once: without this, a filter on it goes below the column and works it out
+    a second time."""
+    return rows.withColumn(made, F.when(F.spark_partition_id() >= 0, F.col(made)))  # always so, but not for the optimiser
+
+
 def unique_terms(terms: Column) -> Column:
     return F.array_distinct(terms)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
@@ -56,7 +57,7 @@ def window_diagnostics(windows: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), f
 def exact_duplicates(windows: DataFrame, text: Column, key: str = "window_id") -> DataFrame:
     """Groups of windows of one normalised text: its digest, members, and the first window."""
     norm = t.for_matching(text)
-    return windows.select(key, norm.alias("norm")).where("norm <> ''").groupBy(F.sha2("norm", 256).alias("digest")).agg(F.count("*").alias("members"), F.min(key).alias("first_id")).where("members > 1")
+    return t.once(windows.select(key, norm.alias("norm")), "norm").where("norm <> ''").groupBy(F.sha2("norm", 256).alias("digest")).agg(F.count("*").alias("members"), F.min(key).alias("first_id")).where("members > 1")
 
 
 def near_pairs(windows: DataFrame, least: float = NEAR, block: int = BLOCK) -> DataFrame:
@@ -68,7 +69,7 @@ def near_pairs(windows: DataFrame, least: float = NEAR, block: int = BLOCK) -> D
     first, before what is left of the vector is shorter than the threshold, so only the lists of these are read, and what
     they give is verified exactly. What is moved grows with the classes times their blocks; for whole corpora use a
     shingle join."""
-    norm = windows.select("window_id", t.for_matching(F.col("text")).alias("norm")).where("norm <> ''")
+    norm = t.once(windows.select("window_id", t.for_matching(F.col("text")).alias("norm")), "norm").where("norm <> ''")
     classes = norm.groupBy("norm").agg(F.min("window_id").alias("class_id"), F.count("*").alias("members"))
     size = classes.agg(F.sum("members").alias("n"), F.count("*").alias("k")).first()
     if not size.k:
@@ -141,6 +142,17 @@ def strong_duplicates(pairs: DataFrame) -> DataFrame:
     return strong.select(F.col("left_id").alias("window_id")).union(strong.select("right_id")).distinct()
 
 
+def strong_duplicate_windows(windows: DataFrame) -> DataFrame:
+    """strong_duplicates among all copies of a text, without forming their pairs: a window counts if its text has more
+    copies than the window itself and those next to it in its video. windows: window_id, video_id, window_index, text."""
+    w = windows.select("window_id", "video_id", "window_index", t.for_matching(F.col("text")).alias("norm"))
+    w = t.once(w, "norm").where("norm <> ''").select("window_id", "video_id", "window_index", F.sha2("norm", 256).alias("digest")).distinct()
+    members = w.groupBy("digest").agg(F.count("*").alias("members")).where("members > 1")
+    line = W.partitionBy("digest", "video_id").orderBy("window_index").rangeBetween
+    beside = F.count("*").over(line(-1, -1)) + F.count("*").over(line(1, 1))
+    return w.join(members, "digest").withColumn("beside", beside).where(F.col("members") - 1 > F.col("beside")).select("window_id").distinct()
+
+
 def mine_phrases(windows: DataFrame, low: int = 4, high: int = 8, least_videos: int = 2, most: int | None = 500) -> DataFrame:
     """Token n-grams found in several videos: occurrences, windows, videos, largest share of a window, and their
     product with the videos. windows: window_id, video_id, text. Counts are summed per window before they meet."""

@@ -37,7 +37,7 @@ def documents(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFra
     """Documents as windows of their sources, tokenised; eligible if any token is left."""
     norm = t.accent_fold(F.col("text")) if folded else t.for_matching(F.col("text"))
     d = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("video_id"), "text"))
-    d = d.select("doc_id", "video_id", t.tokens(norm).alias("terms"))
+    d = t.once(d.select("doc_id", "video_id", t.tokens(norm).alias("terms")), "terms")
     return d.withColumn("eligible", F.size("terms") > 0)
 
 
