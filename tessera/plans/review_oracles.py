@@ -113,7 +113,7 @@ REVIEWS: dict[str, str] = {
     "inventory_differences": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'missing' WHEN doc_id % 10 = 7 THEN 'extra' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 10 IN (3, 5, 7)",
     "frozen_prerequisites": "SELECT 'documents is not the frozen table' AS problem UNION ALL SELECT 'pages lacks nowhere'",
     "search_structure_problems": f"WITH {SC}, v AS (SELECT query_id, video_id, max(score) AS s FROM sc GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, video_id) AS rank FROM v), h AS (SELECT * FROM r WHERE NOT (rank = 2 AND query_id % 40 = 0)) SELECT query_id, count(*) AS n, min(rank) AS low, max(rank) AS high, count(DISTINCT video_id) AS videos FROM h GROUP BY query_id HAVING min(rank) <> 1 OR max(rank) <> count(*)",
-    "strong_duplicate_ids": f"WITH {WIN}, n AS (SELECT window_id, video_id, window_index, {norm('text')} AS t FROM win), h AS (SELECT *, first_value(window_id) OVER (PARTITION BY t ORDER BY window_id) AS head FROM n WHERE t <> ''), p AS (SELECT a.window_id AS x, b.window_id AS y, a.video_id = b.video_id AND abs(a.window_index - b.window_index) = 1 AS adjacent FROM h a JOIN h b ON a.head = b.window_id WHERE a.window_id <> b.window_id) SELECT x AS window_id FROM p WHERE NOT adjacent UNION SELECT y FROM p WHERE NOT adjacent",
+    "strong_duplicate_ids": f"WITH {WIN}, n AS (SELECT window_id, video_id, window_index, {norm('text')} AS t FROM win), h AS (SELECT *, first_value(window_id) OVER (PARTITION BY t ORDER BY window_id) AS head FROM n WHERE t <> ''), p AS (SELECT a.window_id AS x, b.window_id AS y, a.video_id = b.video_id AND abs(a.window_index - b.window_index) = 1 AS adjacent FROM h a JOIN h b ON a.t = b.t WHERE a.window_id <> b.window_id) SELECT x AS window_id FROM p WHERE NOT adjacent UNION SELECT y FROM p WHERE NOT adjacent",
     "reused_vectors": "SELECT vec_id AS doc_id, vec_id % 4 IN (2, 3) AS reused, CASE WHEN vec_id % 4 IN (2, 3) THEN vec_id * 2 END AS value FROM embeddings",
     "run_differences": f"WITH {METRICS}, a AS (SELECT query_id, video_rank FROM m WHERE method_id = 'exact'), b AS (SELECT query_id, video_rank FROM m WHERE method_id = 'coarse') SELECT *, 'first' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
     "acceptance_gates": "SELECT false AS accepted, 'mrr' AS blockers",
