@@ -107,11 +107,12 @@ def for_matching(text: Column, composed: bool = False) -> Column:
 
 def accent_fold(text: Column, composed: bool = False) -> Column:
     """for_matching without marks on letters, and as long."""
+    return let(for_matching(text, composed), fold_marks)
 
-    def fold(plain: Column) -> Column:
-        return F.when(plain.rlike("[À-ỹ]"), F.trim(F.regexp_replace(F.translate(plain, _FOLD_FROM, _FOLD_TO), " +", " "))).otherwise(plain)
 
-    return let(for_matching(text, composed), fold)
+def fold_marks(plain: Column) -> Column:
+    """accent_fold of a text that for_matching made."""
+    return F.when(plain.rlike("[À-ỹ]"), F.trim(F.regexp_replace(F.translate(plain, _FOLD_FROM, _FOLD_TO), " +", " "))).otherwise(plain)
 
 
 def unit_aliases(text: Column, composed: bool = False) -> Column:

@@ -41,6 +41,13 @@ def documents(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFra
     return d.withColumn("eligible", F.size("terms") > 0)
 
 
+def both_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their terms with (`terms`) and without marks on letters (`folded`)."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = t.once(d.select("doc_id", t.for_matching(F.col("text")).alias("plain")), "plain")
+    return d.select("doc_id", t.tokens(F.col("plain")).alias("terms"), t.tokens(t.fold_marks(F.col("plain"))).alias("folded"))
+
+
 def queries(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
     """Benchmark passages as queries, with all their tokens."""
     norm = t.accent_fold(F.col("text")) if folded else t.for_matching(F.col("text"))

@@ -399,7 +399,7 @@ def evenly_spaced_documents(s, x):
 
 @query
 def tfidf_dual_cosine(s, x):
-    out = r.dual_tfidf(a.documents(s, x), a.documents(s, x, True), a.queries(s, x), a.queries(s, x, True))
+    out = r.dual_tfidf_of_rows(a.both_terms(s, x), a.queries(s, x), a.queries(s, x, True))
     return out.select("query_id", "doc_id", six("score"))
 
 
